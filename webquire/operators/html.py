@@ -298,8 +298,10 @@ def html_text(
     strip_classes: Sequence[str] | str | None = None,
 ) -> DataFrame:
     """``(key, text)``: the readable text of the main content, in document order."""
-    tokens = content_tokens(pages, key, html, strip_tags, strip_classes)
-    part = F.struct("pos", token_text(F.col("kind"), F.col("token")).alias("text"))
+    # the text is a column of its own, so that it is compiled, not interpreted in the aggregate
+    tokens = content_tokens(pages, key, html, strip_tags, strip_classes).select(
+        key, F.struct("pos", token_text(F.col("kind"), F.col("token")).alias("text")).alias("part")
+    )
     return tokens.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"]), "").alias("text")
     )
