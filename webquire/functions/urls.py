@@ -56,6 +56,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _fields(**fields: Column) -> Column:
+    """Struct whose names also hold inside lambda functions."""
+    return F.named_struct(*[c for name, value in fields.items() for c in (F.lit(name), value)])
+
+
 def _host_ok(authority: Column) -> Column:
     def check(host: Column) -> Column:
         return (
@@ -138,13 +143,13 @@ def _normal(parts: Column) -> Column:
 
 
 def _split(u: Column) -> Column:
-    return F.struct(
-        _scheme(u).alias("scheme"),
-        _authority(u).alias("authority"),
-        _path(u).alias("path"),
-        _query(u).alias("query"),
-        _fragment(u).alias("fragment"),
-        u.rlike(CONTROL).alias("control"),
+    return _fields(
+        scheme=_scheme(u),
+        authority=_authority(u),
+        path=_path(u),
+        query=_query(u),
+        fragment=_fragment(u),
+        control=u.rlike(CONTROL),
     )
 
 
@@ -193,13 +198,13 @@ def _remove_dot_segments(path: Column) -> Column:
 
 def _reference_parts(href: Column) -> Column:
     hier = F.regexp_extract(href, r"^([^?#]*)", 1)  # scheme, authority and path
-    return F.struct(
-        hier.alias("hier"),
-        F.regexp_replace(hier, f"^{SCHEME}:", "").alias("rest"),
-        _scheme(hier).alias("scheme"),
-        _query(href).alias("query"),
-        _fragment(href).alias("fragment"),
-        href.rlike(CONTROL).alias("control"),
+    return _fields(
+        hier=hier,
+        rest=F.regexp_replace(hier, f"^{SCHEME}:", ""),
+        scheme=_scheme(hier),
+        query=_query(href),
+        fragment=_fragment(href),
+        control=href.rlike(CONTROL),
     )
 
 
@@ -226,16 +231,15 @@ def _merge(base: Column, ref: Column) -> Column:
         )
 
     same_document = (own_path == "") & (ref["query"] == "") & ~has_authority
-    return F.struct(
-        F.when(scheme != "", scheme).otherwise(_scheme(base)).alias("scheme"),
-        F.when(malformed, "")
+    return _fields(
+        scheme=F.when(scheme != "", scheme).otherwise(_scheme(base)),
+        authority=F.when(malformed, "")
         .when(has_authority, F.regexp_extract(rest, r"^//([^/]*)", 1))
-        .otherwise(_authority(base))
-        .alias("authority"),
-        let(let(encode_path(own_path), against_base), _remove_dot_segments).alias("path"),
-        F.when(same_document, _query(base)).otherwise(ref["query"]).alias("query"),
-        ref["fragment"].alias("fragment"),
-        ref["control"].alias("control"),
+        .otherwise(_authority(base)),
+        path=let(let(encode_path(own_path), against_base), _remove_dot_segments),
+        query=F.when(same_document, _query(base)).otherwise(ref["query"]),
+        fragment=ref["fragment"],
+        control=ref["control"],
     )
 
 
