@@ -20,6 +20,21 @@ class Ranked:
     count: int
 
 
+def partition_sizes(df: DataFrame, row_id: str = "row_id") -> dict[int, int]:
+    """Rows per sort partition of a written table with sorted row ids; one entry per partition."""
+    part = F.shiftright(row_id, PARTITION_BITS).alias("part")
+    return {r["part"]: r["n"] for r in df.groupBy(part).agg(F.count("*").alias("n")).collect()}
+
+
+def nth_row_id(sizes: dict[int, int], n: int) -> int:
+    """Row id of the ``n``-th row in sort order (``n`` from 1)."""
+    for part in sorted(sizes):
+        if n <= sizes[part]:
+            return (part << PARTITION_BITS) + n - 1
+        n -= sizes[part]
+    raise ValueError("fewer rows than asked for")
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "ranked", start: int = 0) -> Ranked:
     """Sort by ``order`` (which must be unique) and number the rows from ``start + 1``.
 
@@ -29,7 +44,7 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "ranked", start: int
     """
     wide = cut(df.orderBy(*order).withColumn("row_id", F.monotonically_increasing_id()), name)
     part = F.shiftright("row_id", PARTITION_BITS)
-    sizes = {r["part"]: r["n"] for r in wide.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    sizes = partition_sizes(wide)
     offsets, total = [], 0
     for p in sorted(sizes):
         offsets += [F.lit(p), F.lit(start + total)]

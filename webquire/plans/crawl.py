@@ -9,17 +9,16 @@ level at most.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquire.functions.urls import normalize_url
 from webquire.operators.links import dedup_first, extract_links, frontier_lookup, scope_filter, unvisited
-from webquire.operators.ranking import ranked
-from webquire.session import cut
+from webquire.operators.ranking import nth_row_id, partition_sizes, ranked
+from webquire.session import cut, work_path
 
-OUTCOME = "url string, depth int, crawl_order bigint, status string, error string"
+LEVEL = "url string, seq bigint"
 
 
 def seeds(spark: SparkSession, urls: Sequence[str] | DataFrame, url: str = "url") -> DataFrame:
@@ -46,11 +45,13 @@ def crawl(
 
     ``max_pages`` counts error rows too; 0 means no cap.  A page missing from the
     store is an error row and a leaf.  Inside a level the order is (order of the
-    discovering page, position of the link).
+    discovering page, position of the link).  The store should hold one row per URL.
     """
     spark = pages.sparkSession
-    start = ranked(seeds(spark, [seed]), "pos", name="level").df.select("url", F.lit(0).alias("depth"), "rank")
-    if start.isEmpty():
+    walked = work_path(spark, "crawl")
+    start = seeds(spark, [seed]).select("url", F.lit(0).cast("bigint").alias("seq"))
+    start.coalesce(1).write.parquet(f"{walked}/depth=0")
+    if spark.read.schema(LEVEL).parquet(f"{walked}/depth=0").isEmpty():
         raise ValueError(f"invalid seed: {seed}")
 
     # only pages of the seed's own scope can be reached, so only their HTML is parsed
@@ -58,23 +59,35 @@ def crawl(
     links = scope_filter(extract_links(reachable, url, html, final_url), seed)
     edges = cut(links.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "edges")
 
-    levels, used = [start], 1
-    while not (max_pages and used >= max_pages) and (max_depth is None or len(levels) <= max_depth):
-        last = levels[-1].select(F.col("url").alias("src_url"), F.col("rank").alias("parent"))
+    depth, used, last_seq = 0, 1, None
+    while not (max_pages and used >= max_pages) and (max_depth is None or depth < max_depth):
+        # all levels so far are one table, however many there are
+        visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
         found = (
-            last.join(edges, "src_url")
+            visited.filter(F.col("depth") == depth)
+            .select(F.col("url").alias("src_url"), F.col("seq").alias("parent"))
+            .join(edges, "src_url")
             .groupBy(F.col("dst_url").alias("url"))
             .agg(F.min(F.struct("parent", "pos")).alias("first"))
         )
-        new = unvisited(found, _union(levels), link="url").select("url", "first.parent", "first.pos")
-        level = ranked(new, "parent", "pos", name="level", start=used)
-        if not level.count:
+        # the sorted row id keeps the order of the level; the next level refers to it
+        level = unvisited(found, visited, link="url").orderBy("first").select(
+            "url", F.monotonically_increasing_id().alias("seq")
+        )
+        depth += 1
+        level.write.parquet(f"{walked}/depth={depth}")
+        sizes = partition_sizes(spark.read.schema(LEVEL).parquet(f"{walked}/depth={depth}"), "seq")
+        size = sum(sizes.values())
+        if max_pages and used + size > max_pages:
+            last_seq = nth_row_id(sizes, max_pages - used)
+        used += size
+        if not size:
             break
-        kept = level.df.filter(F.col("rank") <= max_pages) if max_pages else level.df
-        levels.append(kept.select("url", F.lit(len(levels)).alias("depth"), "rank"))
-        used += level.count
-    walked = _union(levels).select("url", "depth", F.col("rank").alias("crawl_order"))
-    return frontier_lookup(walked, pages, url, html)
+    visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
+    if last_seq is not None:
+        visited = visited.filter((F.col("depth") < depth) | (F.col("seq") <= last_seq))
+    order = ranked(visited, "depth", "seq", name="walk").df.withColumnRenamed("rank", "crawl_order")
+    return frontier_lookup(order.select("url", "depth", "crawl_order"), pages, url, html)
 
 
 def crawl_retry(
@@ -86,6 +99,3 @@ def crawl_retry(
     level = kept.select("url", F.lit(0).alias("depth"), F.col("rank").alias("crawl_order"))
     return frontier_lookup(level, pages, url, html)
 
-
-def _union(levels: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, levels)

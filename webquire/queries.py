@@ -276,8 +276,11 @@ def url_cache_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def spaced(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with Unicode white space and runs of newlines put in."""
-    text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(". 　\n\n\n\n")), F.lit(" a"), F.lit("\u0085a"))
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", F.concat(F.lit(" \n"), text, F.lit(" \n")).alias("text"))
+    text = F.replace("text", F.lit(". "), F.lit(".\u00a0\u3000\n\n\n\n"))
+    text = F.replace(text, F.lit(" a"), F.lit("\u0085a"))
+    return table(spark, sf, "documents").select(
+        "doc_id", "source", "lang", F.concat(F.lit("\u2003\n"), text, F.lit("\u00a0\n")).alias("text")
+    )
 
 
 @query
@@ -539,7 +542,7 @@ def _lines(md: DataFrame, pattern: str) -> DataFrame:
 
 @query
 def md_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(_markdown(spark, sf, ("<(/?)p>", "<$1h2>")), r"(?m)^#+ [^\n]*$").groupBy("page_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("nth") == 0, F.col("line"))).alias("first_line"))
+    return _lines(_markdown(spark, sf, ("<(/?)h1>", "<$1h3>")), r"(?m)^#+ [^\n]*$")
 
 
 @query
