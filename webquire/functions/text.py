@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import html as _stdlib_html
 import html.entities as _entities
 import json
 import re
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,27 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def by_name(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a long expression once per application and tuple of column names.
+
+    A Column over names is immutable and may stand in any plan; building one takes
+    hundreds of calls to the JVM.
+    """
+    built: dict[tuple, Column] = {}
+
+    @functools.wraps(make)
+    def column(*args: ColumnOrName) -> Column:
+        context = SparkContext._active_spark_context
+        if context is None or not all(isinstance(a, str) for a in args):
+            return make(*args)
+        key = (context.applicationId, *args)
+        if key not in built:
+            built[key] = make(*args)
+        return built[key]
+
+    return column
+
+
 def trim_unicode(c: ColumnOrName) -> Column:
     """Trim Unicode white space (``trim`` only knows the ASCII blank)."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -99,6 +123,7 @@ def _code_point(digits: Column, base: int) -> Column:
     )
 
 
+@by_name
 def unescape_html(c: ColumnOrName) -> Column:
     """Decode character references in one pass (``&amp;lt;`` gives ``&lt;``)."""
     text = _col(c)

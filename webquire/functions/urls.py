@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webquire.functions.text import ColumnOrName, _col, trim_unicode
+from webquire.functions.text import ColumnOrName, _col, by_name, trim_unicode
 
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 CONTROL = r"[\x00-\x1f\x7f]"
@@ -91,11 +91,13 @@ def _encode(c: Column, bare: str) -> Column:
     return F.when(c.rlike(f"^[{bare}]*$"), c).otherwise(F.array_join(F.transform(pieces, piece), ""))
 
 
+@by_name
 def canonical_path(c: ColumnOrName) -> Column:
     """Default encoding of a path; two paths are the same bytes iff these are equal."""
     return _encode(_col(c), PATH_BARE)
 
 
+@by_name
 def encode_path(c: ColumnOrName) -> Column:
     """Percent-encode a path only when it holds a character a URL may not hold."""
     path = _col(c)
@@ -153,6 +155,7 @@ def _split(u: Column) -> Column:
     )
 
 
+@by_name
 def normalize_url(url: ColumnOrName) -> Column:
     """Canonical form: lower-case scheme and host, no fragment, no trailing slash.
 
@@ -243,6 +246,7 @@ def _merge(base: Column, ref: Column) -> Column:
     )
 
 
+@by_name
 def resolve_href(base: ColumnOrName, href: ColumnOrName) -> Column:
     """Resolve a reference against an absolute base URL, then normalise.
 
@@ -253,6 +257,7 @@ def resolve_href(base: ColumnOrName, href: ColumnOrName) -> Column:
     return let(let(_reference_parts(href), lambda ref: _merge(base, ref)), _normal)
 
 
+@by_name
 def in_scope(base: ColumnOrName, target: ColumnOrName) -> Column:
     """Same host and port, and the target path is the base path or lies below it.
 
@@ -273,6 +278,7 @@ def is_http(url: ColumnOrName) -> Column:
     return url.startswith("http://") | url.startswith("https://")
 
 
+@by_name
 def url_to_filename(url: ColumnOrName) -> Column:
     """Relative file path of a page: host, then the decoded path, ending in ``.html``.
 

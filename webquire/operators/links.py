@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquire.functions.text import ColumnOrName, _col, by_name
 from webquire.functions.urls import cache_key, in_scope, is_http, let, normalize_url, resolve_href
 from webquire.operators.html import WS, attribute, token_array
 
 
-def page_links(html: Column, base: Column) -> Column:
+@by_name
+def page_links(html: ColumnOrName, base: ColumnOrName) -> Column:
     """Array of the distinct absolute links of one page, in document order.
 
     Row-local: neither the tokens nor the links of a page are shuffled.
     """
+    html, base = _col(html), _col(base)
     openers = F.filter(token_array(html), lambda t: t.rlike(rf"(?i)^<(?:a|link)[{WS}/>]"))
     hrefs = F.array_distinct(F.filter(F.transform(openers, lambda t: attribute(t, "href")), lambda h: h != ""))
 
@@ -29,14 +32,14 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", final_
     ``src_url`` is the page's normalised URL; links resolve against ``final_url``
     where it is set.  ``pos`` counts the page's distinct links from 0.
     """
-    base = F.coalesce(F.col(final_url), F.col("src_url")) if final_url else F.col("src_url")
-    keep = [final_url] if final_url else []
+    normal = normalize_url(url)
+    base = F.coalesce(F.col(final_url), normal) if final_url else normal
     return (
         pages.filter(F.col(html).isNotNull())
-        .select(normalize_url(url).alias("src_url"), F.col(html).alias("html"), *keep)
+        .select(normal.alias("src_url"), base.alias("base"), F.col(html).alias("html"))
         .filter(F.col("src_url").isNotNull())
         # the outer form, because the inner one makes the optimizer evaluate the array three times
-        .select("src_url", F.posexplode_outer(page_links(F.col("html"), base)).alias("pos", "dst_url"))
+        .select("src_url", F.posexplode_outer(page_links("html", "base")).alias("pos", "dst_url"))
         .filter(F.col("pos").isNotNull())
         .select("src_url", "dst_url", "pos")
     )
@@ -66,10 +69,18 @@ def unvisited(links: DataFrame, visited: DataFrame, link: str = "dst_url", seen:
     return links.join(visited.select(F.col(seen).alias(link)), link, "left_anti").select(links.columns)
 
 
-def scope_filter(links: DataFrame, seed: Column | str, link: str = "dst_url") -> DataFrame:
-    """HTTP links inside the seed's scope (always the seed's, not the parent page's)."""
-    base = normalize_url(F.lit(seed) if isinstance(seed, str) else seed)
-    return links.filter(in_scope(base, F.col(link)) & is_http(F.col(link)))
+def normal_seed(spark: SparkSession, seed: str) -> str | None:
+    """The seed in normal form, as a plain string: one value, made without a job."""
+    return spark.sql("SELECT 1").select(normalize_url(F.lit(seed))).head()[0]
+
+
+def scope_filter(links: DataFrame, seed: str, link: str = "dst_url") -> DataFrame:
+    """HTTP links inside the seed's scope (always the seed's, not the parent page's).
+
+    The seed enters as a literal, so its host and path prefix are folded to constants.
+    """
+    base = normal_seed(links.sparkSession, seed)
+    return links.filter(in_scope(F.lit(base).cast("string"), F.col(link)) & is_http(link))
 
 
 def frontier_lookup(frontier: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

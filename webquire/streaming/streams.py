@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webquire.functions.urls import normalize_url
 from webquire.operators.links import extract_links, scope_filter
 from webquire.operators.markdown import convert
 
@@ -17,6 +16,7 @@ def stream_html(spark: SparkSession, path: str, max_files: int | None = None) ->
     """New ``.html`` files of a directory as ``(path, content)``."""
     reader = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[hH][tT][mM][lL]")
     )
@@ -62,5 +62,5 @@ def stream_links(pages: DataFrame, seed: str | None = None, url: str = "url", ht
     """
     links = extract_links(pages, url, html)
     if seed:
-        links = scope_filter(links, normalize_url(F.lit(seed)))
+        links = scope_filter(links, seed)
     return links.select("dst_url").dropDuplicates(["dst_url"])
