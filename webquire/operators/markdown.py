@@ -344,8 +344,8 @@ def convert(
 ) -> DataFrame:
     """``(key, *keep, path, markdown, status, error)``: one row per page.
 
-    ``path`` names the column whose extension becomes ``.md``.  A page without HTML is
-    an ``error`` row; the others go on.
+    ``path`` names the column whose extension becomes ``.md`` (a key called ``path`` is
+    handed on as ``source``).  A page without HTML is an ``error`` row; the others go on.
     """
     carried = list(dict.fromkeys([*keep, *([path] if path and path != key else [])]))
     tokens = content_tokens(pages, key, html, strip_tags, strip_classes, keep=carried)
@@ -353,7 +353,7 @@ def convert(
     missing = F.col("page.missing")
     source = F.col(key) if path == key else F.col(f"page.{path}") if path else F.col(key).cast("string")
     return done.select(
-        key,
+        F.col(key).alias("source" if key == "path" else key),
         *[F.col(f"page.{k}").alias(k) for k in keep],
         md_path(source).alias("path"),
         F.when(~missing, F.col("markdown")).alias("markdown"),
