@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquire.functions.text import part_path, path_order_key
-from webquire.session import checkpoint
+from webquire.session import checkpoint, cut
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -182,6 +182,8 @@ def assign_parts(
         F.coalesce(F.col(words), F.lit(0)).cast("bigint").alias("words"),
         (F.coalesce(F.col(empty), F.lit(False)) if empty else F.lit(False)).alias("empty"),
     )
+    # Written first: a range sort reads its input twice, and that must not be the content.
+    meta = cut(meta, "metadata")
     ordered = meta.orderBy("grp", path_order_key("path"), "path").select(
         "*",
         F.spark_partition_id().alias("block"),

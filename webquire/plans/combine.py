@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webquire.functions.text import word_count
 from webquire.operators.packing import DEFAULT_MAX_WORDS, assign_parts, corpus_summary, parts_of
+from webquire.session import cut
 
 
 @dataclass
@@ -34,7 +35,8 @@ def combine(
     measured = readable.select(
         "*", word_count(content).alias("_words"), (F.col(content) == "").alias("_empty")
     )
-    assigned = assign_parts(measured, max_words, group_by, path, "_words", "_empty")
+    # used three times below; one narrow table instead of three folds
+    assigned = cut(assign_parts(measured, max_words, group_by, path, "_words", "_empty"), "assigned")
     return Combined(
         parts_of(docs, assigned, max_words, output, path, content), corpus_summary(docs, assigned, group_by), assigned
     )
