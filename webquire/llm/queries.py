@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webquire.llm.common import table
+from webquire.llm.covering_simhash import near_duplicates
+from webquire.llm.factorization import held_out, toxicity
 from webquire.llm.mixing import mix
 from webquire.llm.quality_cascade import quality_cascade
 from webquire.llm.warc_chunks import record_table, warc_round_trip
@@ -74,3 +77,14 @@ select doc_id, size, source_size, target,
        (size * (epochs + case when epochs < 3 and size > 0 and reach - size / 2 <= target - epochs * source_size then 1 else 0 end))::bigint as taken
 from o
 """
+
+
+@query
+def op5_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf, "labels")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
