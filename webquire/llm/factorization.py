@@ -81,7 +81,7 @@ def select_terms(rows: list[np.ndarray], labels: np.ndarray, min_z: float, max_t
     return np.sort(best[z[best] >= min_z])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 2_400, rate: float = 0.1, l2: float = 1e-4, l2_pairs: float = 1e-3, min_z: float = MIN_Z, max_terms: int = MAX_TERMS, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 2_400, rate: float = 0.3, l2: float = 1e-5, l2_pairs: float = 3e-4, min_z: float = MIN_Z, max_terms: int = MAX_TERMS, seed: int = 5) -> Machine:
     """Fit by Adagrad on the logistic loss. One class only gives its base rate; no rows give 0."""
     if not len(labels) or labels.min() == labels.max():
         rate_of = (labels.sum() + 1e-3) / (len(labels) + 1) if len(labels) else 1e-6

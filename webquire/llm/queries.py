@@ -12,6 +12,7 @@ from webquire.llm.covering_simhash import near_duplicates
 from webquire.llm.factorization import held_out, toxicity
 from webquire.llm.mixing import mix
 from webquire.llm.quality_cascade import quality_cascade
+from webquire.llm.template_decontam import contaminated
 from webquire.llm.warc_chunks import record_table, warc_round_trip
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,8 @@ def op5_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return toxicity(docs, table(spark, sf, "labels")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
