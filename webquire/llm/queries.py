@@ -13,6 +13,8 @@ from webquire.llm.factorization import held_out, toxicity
 from webquire.llm.mixing import mix
 from webquire.llm.quality_cascade import quality_cascade
 from webquire.llm.template_decontam import contaminated
+from webquire.llm.token_attribution import section_tokens
+from webquire.llm.token_shards import write_shards
 from webquire.llm.warc_chunks import record_table, warc_round_trip
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,14 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op2_token_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    return section_tokens(table(spark, sf, "documents"))
+
+
+@query
+def op3_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of the written shards: a row per slot."""
+    return write_shards(table(spark, sf, "documents")).drop("file")

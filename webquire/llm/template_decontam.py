@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webquire.llm.common import WORD, small
+from webquire.llm.common import small
 from webquire.session import cut
 
 WINDOW = 8
@@ -38,14 +38,15 @@ def template(text: Column) -> Column:
     t = F.regexp_replace(text, r"[$€£]?[0-9](?:[0-9.,:/]*[0-9])?%?", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER}[ -]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]*+", NAME)
-    marks = rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{NUMBER}{NAME}{UNIT}]++"
-    edge = r"\p{L}\p{N}" + NUMBER + NAME + UNIT
-    t = F.regexp_replace(t, rf"(?<=[{edge}]){marks}(?![{edge}])|(?<![{edge}\x21-\x7e]){marks}(?=[{edge}])", "")
+    space, edge = r"\x20\x09-\x0D", r"\p{L}\p{N}" + NUMBER + NAME + UNIT
+    mark = f"[^{edge}{space}]"
+    # marks after a word's last letter, or before its first one
+    t = F.regexp_replace(t, rf"{mark}(?:(?<=[{edge}].){mark}*+(?=[{space}]|\z)|(?<![^{space}].){mark}*+(?=[{edge}]))", "")
     return F.lower(t)
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def _hashes(tokens: Column, lengths: list[int]) -> Column:
