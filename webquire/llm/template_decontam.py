@@ -25,6 +25,8 @@ MIN_WINDOWS = 6
 
 # Typed placeholders: private-use characters, one per type.
 NUMBER, NAME, UNIT = "", "", ""
+# Marks taken off the edges of words, as a character class.
+MARKS = r"""!"'()*,\-./:;?\[\]_`{}¡¿«»‘’“”…–—"""
 # Units recognised directly after a number.
 UNITS = (
     "km", "m", "cm", "mm", "mi", "ft", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "s", "min", "h", "miles", "meters", "metres",
@@ -38,10 +40,9 @@ def template(text: Column) -> Column:
     t = F.regexp_replace(text, r"[$€£]?[0-9](?:[0-9.,:/]*[0-9])?%?", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER}[ -]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]*+", NAME)
-    space, edge = r"\x20\x09-\x0D", r"\p{L}\p{N}" + NUMBER + NAME + UNIT
-    mark = f"[^{edge}{space}]"
-    # marks after a word's last letter, or before its first one
-    t = F.regexp_replace(t, rf"{mark}(?:(?<=[{edge}].){mark}*+(?=[{space}]|\z)|(?<![^{space}].){mark}*+(?=[{edge}]))", "")
+    # marks after a word's last letter, or before its first one; a word of marks alone stays
+    rest = rf"[^{MARKS}\x20\x09-\x0D]"
+    t = F.regexp_replace(t, rf"[{MARKS}](?:(?<={rest}.)[{MARKS}]*+(?=[\x20\x09-\x0D]|\z)|(?<![^\x20\x09-\x0D].)[{MARKS}]*+(?={rest}))", "")
     return F.lower(t)
 
 
@@ -49,13 +50,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def _hashes(tokens: Column, lengths: list[int]) -> Column:
-    """``struct(pos, hash)`` (``pos`` from 0) of every window of each length."""
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(n), F.slice(tokens, i + 1, n)).alias("hash")))
+def _hashed(rows: DataFrame, tokens: Column) -> DataFrame:
+    """``rows`` with ``size`` (its tokens) and ``h4``: at each token the hash of it and the three that follow.
 
-    return of(lengths[0]) if len(lengths) == 1 else F.concat(*map(of, lengths))
+    Hashes double their reach twice, so each window costs a few operations on longs. Past the end they cover less.
+    """
+    double = lambda c, by: F.zip_with(c, F.slice(c, by + 1, F.size(c)), lambda x, y: F.xxhash64(x, y))
+    rows = rows.withColumn("tok", tokens).withColumn("h1", F.transform("tok", lambda t: F.xxhash64(t))).withColumn("size", F.size("tok"))
+    return rows.withColumn("h2", double(F.col("h1"), 1)).drop("h1").withColumn("h4", double(F.col("h2"), 2)).drop("h2")
+
+
+def _windows(n: int) -> Column:
+    """Hashes of the windows of ``n`` tokens (5 to 8): two of ``h4``, overlapping below 8."""
+    whole = F.zip_with("h4", F.slice("h4", n - 3, F.col("size")), lambda x, y: F.xxhash64(F.lit(n), x, y))
+    return F.slice(whole, 1, F.greatest(F.col("size") - n + 1, F.lit(0)))
 
 
 def _value(word: Column) -> Column:
@@ -65,17 +73,17 @@ def _value(word: Column) -> Column:
 
 def _item_windows(items: DataFrame, tokens: Column, lengths: list[int], exact: bool) -> DataFrame:
     """``item_id, k, hash, n_windows, slots, values``: an item's distinct windows; of equal ones the first."""
-    n = F.least(F.size("raw"), F.lit(WINDOW))
-    rows = items.select("item_id", words(F.col("text")).alias("raw"), tokens.alias("tok")).where(F.size("raw") >= MIN_WORDS)
-    rows = rows.withColumn("n", n).withColumn("w", F.explode(_hashes(F.col("tok"), lengths)))
+    n = F.least(F.col("size"), F.lit(WINDOW))
+    rows = _hashed(items.select("item_id", "text", words(F.col("text")).alias("raw")), tokens).where(F.col("size") >= MIN_WORDS)
+    own = F.coalesce(*(F.when(n == k, _windows(k)) for k in lengths))
+    rows = rows.withColumn("n", n).select("item_id", "raw", "tok", "n", F.posexplode(own).alias("k", "hash"))
     slot = lambda x: x.rlike(f"[{NUMBER}{NAME}{UNIT}]")
-    part = F.slice("tok", F.col("w.pos") + 1, F.col("n"))
-    rows = rows.where(F.col("w.hash") == F.xxhash64(F.col("n"), part)).withColumn("part", part)
+    rows = rows.withColumn("part", F.slice("tok", F.col("k") + 1, F.col("n")))
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: slot(F.element_at("part", i + 1)))
     rows = rows.withColumn("slots", places)
     if not exact:
         rows = rows.where(F.col("n") - F.size("slots") >= F.least(F.lit(MIN_LITERALS), F.col("n")))
-    rows = rows.groupBy("item_id", F.col("w.hash").alias("hash")).agg(F.min(F.struct(F.col("w.pos").alias("k"), "slots", "raw")).alias("f"))
+    rows = rows.groupBy("item_id", "hash").agg(F.min(F.struct("k", "slots", "raw")).alias("f"))
     values = F.transform("f.slots", lambda p: _value(F.element_at(F.col("f.raw"), F.col("f.k") + p + 1)))
     counts = rows.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_windows"))
     return rows.join(counts, rows["item_id"].eqNullSafe(counts["i"])).select("item_id", "hash", F.col("f.k").alias("k"), "n_windows", F.col("f.slots").alias("slots"), values.alias("values"))
@@ -84,11 +92,11 @@ def _item_windows(items: DataFrame, tokens: Column, lengths: list[int], exact: b
 def _matches(docs: DataFrame, windows: DataFrame, tokens: Column, lengths: list[int]) -> DataFrame:
     """``doc, item_id, at, k, n_windows, pairs`` for every window of a document that is one of an item."""
     n = windows.count()
-    rows = docs.withColumn("tok", tokens).select("doc", "text", F.explode(_hashes(F.col("tok"), lengths)).alias("w"))
+    rows = _hashed(docs, tokens).select("doc", "text", F.explode(F.array(*map(_windows, lengths))).alias("w"))
+    rows = rows.select("doc", "text", F.posexplode("w").alias("pos", "hash"))
     zipped = lambda raw: F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at(raw, F.col("pos") + p + 1)).alias("doc")))
     pair = lambda raw: F.transform(F.array(raw), zipped)[0]  # noqa: E731  binds the words, so that they are cut once
     found = ["doc", "item_id", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
-    rows = rows.select("doc", "text", "w.pos", "w.hash")
     if small(windows, n) is not windows:  # the texts ride along at no cost, as nothing is shuffled
         return rows.join(small(windows, n), "hash").select(*found, pair(words(F.col("text"))).alias("pairs"))
     narrow = rows.select("doc", F.xxhash64("text").alias("which"), "pos", "hash").join(windows, "hash")
