@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from webquire.llm.common import table
 from webquire.llm.covering_simhash import near_duplicates
+from webquire.llm.dom_boosting import main_text
 from webquire.llm.factorization import held_out, toxicity
+from webquire.llm.line_templates import drop_recurring_lines
 from webquire.llm.mixing import mix
 from webquire.llm.quality_cascade import quality_cascade
 from webquire.llm.template_decontam import contaminated
@@ -107,3 +109,13 @@ def op2_token_attribution(spark: SparkSession, sf: str) -> DataFrame:
 def op3_token_shards(spark: SparkSession, sf: str) -> DataFrame:
     """The index of the written shards: a row per slot."""
     return write_shards(table(spark, sf, "documents")).drop("file")
+
+
+@query
+def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_dom_boosting(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
