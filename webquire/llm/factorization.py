@@ -144,15 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([flat[a:b] for a, b in zip(ends, ends[1:])], got.column("y").to_numpy().astype(np.int64))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score reaches ``threshold``), which replace columns of these names.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1) and ``predicted_col`` (1 if the score reaches ``threshold``), which replace columns of these names.
 
     Only the text enters a score; a null or empty text gets the model's bias. Every row is scored, repeated and null ids
     included. Without usable labels all scores are near 0. An empty table gives no rows.
     """
     model = train(docs, labels, id_col, text_col, label_col, train_rows)
-    docs = docs.drop("score", "predicted")
-    schema = StructType([*docs.schema, *StructType.fromDDL("score double, predicted int")])
+    docs = docs.drop(score_col, predicted_col)
+    schema = StructType([*docs.schema, *StructType.fromDDL(f"`{score_col}` double, `{predicted_col}` int")])
     arrow = to_arrow_schema(schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,9 +127,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     found, at = recurring(docs, id_col, text_col, min_docs)
     hits = at.join(found.select(F.col("leaf").alias("l"), F.col("v").alias("x"), "first_doc"), (F.col("leaf") == F.col("l")) & (F.col("v") == F.col("x")))
-    goes = hits.where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc").agg(F.collect_set("v").alias("__drop"))  # bounded by a document's lines
+    goes = hits.where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("v").alias("__drop"))  # bounded by a document's lines
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept).join(goes, F.col(id_col).eqNullSafe(F.col("doc")), "left").drop("doc").withColumn("__lines", F.when(F.col("__drop").isNotNull(), line_hashes(F.col(text_col))))
+    rows = docs.select(*kept).join(goes, F.col(id_col).eqNullSafe(F.col("__doc")), "left").drop("__doc").withColumn("__lines", F.when(F.col("__drop").isNotNull(), line_hashes(F.col(text_col))))
     schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("n_lines int, n_dropped int")])
     arrow = to_arrow_schema(schema)
     place = kept.index(text_col)

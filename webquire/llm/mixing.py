@@ -62,20 +62,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
-) -> DataFrame:
-    """One row per document: ``id_col, source, size, source_size, target, copies, taken``.
-
-    ``copies`` is how often the mix holds the document (0 to ``max_epochs``), ``taken = copies * size``. The document at
-    the edge of the budget is taken if that brings the source nearer to its target. Null texts have size 0 and quality
-    0.05; a null source is a source of its own; rows that share an id share their draw and are ordered by size and text
-    hash, and equal rows in any order. Other columns of ``docs`` are left out. An empty table gives no rows.
-    """
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
+    """``id, source, size, tie, source_size, target, copies`` for every row."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), n_words(text).alias("size"), quality_weight(text).alias("quality"), F.xxhash64(text).alias("tie"))
-    u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text).alias("size"), quality_weight(text).alias("quality"), F.xxhash64(text).alias("tie"))
+    u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     narrow = cut(rows.withColumn("key", -F.log(u) / F.col("quality")), "mix-sizes")
     targets = cut(source_targets(narrow, weights, max_epochs).withColumn("buckets", 1 + F.floor(F.col("n_docs") / BUCKET_DOCS)), "mix-targets")
     n_sources = targets.count()
@@ -84,12 +75,37 @@ def mix(
     keyed = keyed.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * F.col("buckets")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("s")).select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "__id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows that nothing tells apart are peers: they share the running sum and so the decision
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "tie")
     run = keyed.withColumn("reach", F.sum("size").over(inside)).join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("size") > 0) & (F.col("offset") + F.col("reach") - F.col("size") / 2 <= rest) & (F.col("epochs") < max_epochs)
-    return (
-        run.withColumn("epochs", epochs).withColumn("copies", (F.col("epochs") + chosen.cast("int")).cast("int"))
-        .select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
-    )
+    return run.withColumn("epochs", epochs).select("id", "source", "size", "tie", "source_size", "target", (F.col("epochs") + chosen.cast("int")).cast("int").alias("copies"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
+) -> DataFrame:
+    """One row per document: ``id_col, source, size, source_size, target, copies, taken``.
+
+    ``copies`` is how often the mix holds the document (0 to ``max_epochs``), ``taken = copies * size``. The document at
+    the edge of the budget is taken if that brings the source nearer to its target. Null texts have size 0 and quality
+    0.05; a null source is a source of its own; rows that share an id share their draw and are ordered by size and text
+    hash, and rows that agree in these as well get the same number of copies. Other columns of ``docs`` are left out. An
+    empty table gives no rows.
+    """
+    plan = _plan(docs, id_col, text_col, source_col, weights, max_epochs, seed)
+    return plan.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def draw(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
+) -> DataFrame:
+    """``docs`` as the mix holds them, in their own columns: a row for each of ``mix``'s copies. Texts move once."""
+    plan = _plan(docs, id_col, text_col, source_col, weights, max_epochs, seed).where("copies > 0")
+    plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).distinct()
+    same = docs[id_col].eqNullSafe(plan["__id"]) & docs[source_col].eqNullSafe(plan["__source"]) & (F.xxhash64(docs[text_col]) == plan["__tie"])
+    return docs.join(plan, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")

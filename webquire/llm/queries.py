@@ -76,7 +76,7 @@ t as (
   from r),
 o as (
   select k.*, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
-         sum(k.size) over (partition by k.source order by k.key, k.doc_id rows unbounded preceding) as reach
+         sum(k.size) over (partition by k.source order by k.key, k.doc_id) as reach
   from k join t on k.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (size * (epochs + case when epochs < 3 and size > 0 and reach - size / 2 <= target - epochs * source_size then 1 else 0 end))::bigint as taken
