@@ -141,7 +141,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 text, drop, dropped = text.as_py(), drop.as_py(), 0
                 lines = [] if text is None else text.split("\n")
                 n_lines.append(len(lines))
-                if drop:
+                if drop and text is not None:
                     gone = set(drop)
                     left = [x for x, h in zip(lines, hashes.as_py()) if h not in gone]
                     dropped, text = len(lines) - len(left), "\n".join(left)
