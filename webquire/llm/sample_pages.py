@@ -136,7 +136,7 @@ class Site:
         return self.named("article", tag, "1") + body + f"</{tag}>"
 
     def page(self) -> str:
-        parts = [self.article()]
+        parts = [self.article()] if self.r.random() < 0.96 else []
         if self.r.random() < 0.35:
             parts.append(self.comments())
         if self.r.random() < 0.4:
