@@ -38,7 +38,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def masked(line: Column) -> Column:
     """The line's words with ``FIELD`` for those that hold a digit."""
-    return F.array_remove(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), SPACE), "")
+    fields = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
+    return F.array_remove(F.split(F.when(line.rlike("[0-9]"), fields).otherwise(line), SPACE), "")
 
 
 def line_hashes(text: Column) -> Column:
@@ -92,13 +93,14 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> tup
     """``v, t, first_doc`` of the masked lines whose template recurs, and ``v, doc`` of their occurrences."""
     doc = F.col(id_col).alias("doc")
     lines = docs.select(doc, F.explode(F.split(text_col, "\n")).alias("line")).select("doc", masked(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    lines = lines.select("doc", F.xxhash64(F.size("w"), F.slice("w", 1, LEADING)).alias("leaf"), F.xxhash64("w").alias("v"), "w")
+    # one pass over the texts; what follows reads the columns that it needs
+    lines = cut(lines.select("doc", F.xxhash64(F.size("w"), F.slice("w", 1, LEADING)).alias("leaf"), F.xxhash64("w").alias("v"), F.array_join("w", " ").alias("words")), "lines")
     some, other = F.min("doc"), F.max("doc")
     leaves = lines.groupBy("leaf").agg(some.alias("a"), other.alias("b"), F.bool_or(F.col("doc").isNull()).alias("z")).where("a <> b or (z and a is not null)")
     leaves = cut(leaves.select(F.col("leaf").alias("l")), "line-leaves")
     shared = lines.join(small(leaves, leaves.count()), F.col("leaf") == F.col("l"), "left_semi")
     at = cut(shared.groupBy("leaf", "v", "doc").agg(F.count(F.lit(1)).alias("n")).select("leaf", "v", "doc"), "line-docs")
-    texts = shared.select("leaf", "v", F.array_join("w", " ").alias("words")).groupBy("leaf", "v").agg(F.first("words").alias("words"))
+    texts = shared.groupBy("leaf", "v").agg(F.first("words").alias("words"))
     counts = at.groupBy(F.col("leaf").alias("l"), F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc"))
     variants = cut(texts.join(counts, (F.col("leaf") == F.col("l")) & (F.col("v") == F.col("x"))).select("leaf", "v", "words", "n", "first_doc"), "line-variants")
     sizes = variants.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
