@@ -27,18 +27,35 @@ MEDIA = ("img", "svg", "picture")
 NON_CONTENT = ("head", "script", "style", "link", "meta", "iframe", "noscript", "input", "textarea")
 # raw elements whose inside is still readable text
 RAW_SHOWN = ("xmp",)
-# main content selectors in order of priority
-REGION_TIERS = ("main article", "main", "[role=main]", "article", "body")
+# elements in which the ones with optional end tags stand
+SCOPES = ("ul", "ol", "menu", "dl", "table", "select")
+# optional end tags: the element, the start tags that end it within its scope
+OPTIONAL_END = (
+    (("li",), ("li",)),
+    (("dt", "dd"), ("dt", "dd")),
+    (("option",), ("option", "optgroup")),
+    (("td", "th"), ("td", "th", "tr", "thead", "tbody", "tfoot")),
+    (("tr",), ("tr", "thead", "tbody", "tfoot")),
+    (("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot")),
+)
+# start tags that end a paragraph
+ENDS_P = (
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+    "li", "dt", "dd", "td", "th", "tr",
+)
+# elements whose end also ends a paragraph inside
+HOLDS_P = tuple(t for t in ENDS_P if t not in ("p", "hr")) + ("body", "html")
 # ------------------------------------------------------------------------------
 
 WS = r" \t\n\f\r"
-# after a tag name: a quote delimits a value only directly behind "="
-TAG_REST = rf"(?:[^>=]++|=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+# after a tag name: a quote delimits a value only directly behind "="; a tag may meet the end of the page
+TAG_REST = rf"(?:[^>=]++|=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:>|\z)"
 TOKEN = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
     rf"|<({'|'.join(RAW_TEXT)})(?=[{WS}/>]){TAG_REST}.*?(?:</\1(?=[{WS}/>])[^>]*+>|\z)"
     rf"|</?[a-z]{TAG_REST}"
-    r"|<[!?/][^>]*+>"
+    r"|<[!?/][^>]*+(?:>|\z)"
     r"|[^<]++|<"
 )
 ATTRIBUTE = rf"([^{WS}/>=][^{WS}/>=]*)(?:[{WS}]*=[{WS}]*(\"[^\"]*\"|'[^']*'|[^{WS}>]+))?"
@@ -92,6 +109,7 @@ def _kind(token: Column, tag: Column) -> Column:
     return (
         F.when(~token.startswith("<") | (token == "<"), "text")
         .when(tag == "", "comment")
+        .when(~token.endswith(">") & (~tag.isin(*RAW_TEXT) | token.startswith("</")), "comment")
         .when(token.startswith("</"), "end")
         .when(tag.isin(*RAW_TEXT), "raw")
         .when(tag.isin(*VOID), "void")
@@ -102,7 +120,8 @@ def _kind(token: Column, tag: Column) -> Column:
 def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``(key, pos, kind, tag, token)``: every token of every page; concatenated they are the page.
 
-    ``kind`` is text, comment, raw (a whole raw-text element), void, start or end.
+    ``kind`` is text, comment, raw (a whole raw-text element), void, start or end.  A tag
+    that the end of the page cuts off counts as a comment, as HTML parsers drop it.
     """
     # the outer form, because the inner one makes the optimizer run the expression three times
     tokens = pages.select(key, F.posexplode_outer(token_array(F.col(html))).alias("pos", "token")).filter(
@@ -122,26 +141,58 @@ def html_attrs(tokens: DataFrame) -> DataFrame:
     )
 
 
+def _implied_end(tokens: DataFrame, key: str) -> DataFrame:
+    """Add ``implied``: the token before which a start tag with an optional end tag ends at the latest.
+
+    ``scope`` is the depth in lists and tables; a scope's own tags belong to the outside
+    when they open it and to the inside when they close it, so within one depth the next
+    tag that ends the element is the one wanted.
+    """
+    start, end = F.col("kind") == "start", F.col("kind") == "end"
+    tag, pos = F.col("tag"), F.col("pos")
+    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(key, "scope").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    step = F.when(start & tag.isin(*SCOPES), 1).when(end & tag.isin(*SCOPES), -1)
+    leaves = end & tag.isin(*SCOPES)
+    implied = [
+        F.when(start & tag.isin(*own), F.min(F.when(leaves | (start & tag.isin(*enders)), pos)).over(ahead)) for own, enders in OPTIONAL_END
+    ]
+    ends_p = ((start | (F.col("kind") == "void")) & tag.isin(*ENDS_P)) | (end & tag.isin(*HOLDS_P))
+    implied.append(F.when(start & (tag == "p"), F.min(F.when(ends_p, pos)).over(ahead)))
+    return tokens.withColumn("scope", F.coalesce(F.sum(step).over(so_far), F.lit(0))).withColumn("implied", F.coalesce(*implied)).drop("scope")
+
+
 def _paired(tokens: DataFrame, key: str) -> DataFrame:
     """Add ``close_pos`` to start tags and ``open_pos`` to end tags.
 
     The depth of a tag within its own name gives each pair a common level; two
     starts on one level always have an end between them, so the neighbour in
-    (page, tag, level) is the mate.  Unclosed starts keep NULL.
+    (page, tag, level) is the mate.  An element whose end tag may be left out ends
+    before the tag that implies its end, if that comes first; an end tag that is then
+    without a start has no ``open_pos``.  Other unclosed starts keep NULL.
     """
     by_tag = Window.partitionBy(key, "tag").orderBy("pos")
     by_level = Window.partitionBy(key, "tag", "level").orderBy("pos")
     step = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1).otherwise(0)
+    early = F.col("implied") < F.col("next_pos")
     return (
-        tokens.withColumn("depth", F.sum(step).over(by_tag))
+        _implied_end(tokens, key)
+        .withColumn("depth", F.sum(step).over(by_tag))
         .withColumn("level", F.when(F.col("kind") == "end", F.col("depth") + 1).otherwise(F.col("depth")))
         .withColumn("next_pos", F.lead("pos").over(by_level))
-        .withColumn("prev", F.lag(F.struct("kind", "pos")).over(by_level))
-        .withColumn("close_pos", F.when(F.col("kind") == "start", F.col("next_pos")))
+        .withColumn("prev", F.lag(F.struct("kind", "pos", "implied")).over(by_level))
+        .withColumn(
+            "close_pos",
+            F.when(F.col("kind") == "start", F.when(early | F.col("next_pos").isNull(), F.col("implied") - 1).otherwise(F.col("next_pos"))),
+        )
         .withColumn(
-            "open_pos", F.when((F.col("kind") == "end") & (F.col("prev.kind") == "start"), F.col("prev.pos"))
+            "open_pos",
+            F.when(
+                (F.col("kind") == "end") & (F.col("prev.kind") == "start") & ~F.coalesce(F.col("prev.implied") < F.col("pos"), F.lit(False)),
+                F.col("prev.pos"),
+            ),
         )
-        .drop("depth", "next_pos", "prev")
+        .drop("depth", "next_pos", "prev", "implied", "level")
     )
 
 
@@ -154,13 +205,10 @@ def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     tags = html_tokens(by_page(pages, key, html), key, html).filter(
         F.col("kind").isin("start", "end", "void", "raw")
     )
-    # one-token elements take no part in the pairing; a level of their own keeps them apart
-    paired = _paired(tags.filter(F.col("kind").isin("start", "end")), key)
-    single = tags.filter(F.col("kind").isin("void", "raw"))
-    return (
-        paired.filter(F.col("kind") == "start")
-        .select(key, "tag", F.col("pos").alias("open_pos"), "close_pos", "token")
-        .unionByName(single.select(key, "tag", F.col("pos").alias("open_pos"), F.col("pos").alias("close_pos"), "token"))
+    # one-token elements add nothing to the depths; they only pass through the pairing
+    single = F.col("kind").isin("void", "raw")
+    return _paired(tags, key).filter(F.col("kind") != "end").select(
+        key, "tag", F.col("pos").alias("open_pos"), F.when(single, F.col("pos")).otherwise(F.col("close_pos")).alias("close_pos"), "token"
     )
 
 

@@ -17,7 +17,7 @@ def page_links(html: ColumnOrName, base: ColumnOrName) -> Column:
     Row-local: neither the tokens nor the links of a page are shuffled.
     """
     html, base = _col(html), _col(base)
-    openers = F.filter(token_array(html), lambda t: t.rlike(rf"(?i)^<(?:a|link)[{WS}/>]"))
+    openers = F.filter(token_array(html), lambda t: t.rlike(rf"(?i)^<(?:a|link)[{WS}/>]") & t.endswith(">"))
     hrefs = F.array_distinct(F.filter(F.transform(openers, lambda t: attribute(t, "href")), lambda h: h != ""))
 
     def resolved(b: Column) -> Column:
@@ -83,20 +83,45 @@ def scope_filter(links: DataFrame, seed: str, link: str = "dst_url") -> DataFram
     return links.filter(in_scope(F.lit(base).cast("string"), F.col(link)) & is_http(link))
 
 
-def frontier_lookup(frontier: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Outcome of each frontier URL against the page store: ``ok`` or ``error``.
+def store_status(pages: DataFrame, url: str = "url", html: str = "html", error: str | None = None, normal: bool = False) -> DataFrame:
+    """``(url, has_html, stored_error)`` of each normalised URL of the store: narrow, HTML stays behind.
 
-    Only the URL and whether HTML is there leave the scan, not the HTML.
+    ``normal``: ``pages`` is a ``link_table``, whose URLs are normal and whose ``html`` is a boolean.
     """
-    stored = (
-        pages.select(normalize_url(url).alias("url"), F.col(html).isNotNull().alias("has_html"))
+    stored = F.col(error) if error else F.lit(None).cast("string")
+    has = F.col(html) if normal else F.col(html).isNotNull()
+    return (
+        pages.select((F.col(url) if normal else normalize_url(url)).alias("url"), has.alias("has_html"), stored.alias("stored_error"))
         .filter(F.col("url").isNotNull())
         .groupBy("url")
-        .agg(F.max("has_html").alias("has_html"))
+        .agg(F.max("has_html").alias("has_html"), F.min("stored_error").alias("stored_error"))
     )
-    found = frontier.join(stored, "url", "left")
+
+
+def link_table(pages: DataFrame, url: str = "url", html: str = "html", final_url: str | None = None, error: str | None = None) -> DataFrame:
+    """``(url, has_html, stored_error, links)``: all that a crawl needs of a page, one row per store row."""
+    normal = normalize_url(url)
+    base = F.coalesce(F.col(final_url), normal) if final_url else normal
+    stored = F.col(error) if error else F.lit(None).cast("string")
+    rows = pages.select(normal.alias("url"), F.col(html).isNotNull().alias("has_html"), stored.alias("stored_error"), base.alias("_base"), F.col(html).alias("_html"))
+    return rows.filter(F.col("url").isNotNull()).select("url", "has_html", "stored_error", F.when(F.col("has_html"), page_links("_html", "_base")).alias("links"))
+
+
+def frontier_lookup(
+    frontier: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", error: str | None = None
+) -> DataFrame:
+    """Outcome of each frontier URL against the page store: ``ok`` or ``error``.
+
+    A page without HTML keeps the error that the store holds for it, if ``error`` names the column.
+    """
+    return with_status(frontier, store_status(pages, url, html, error))
+
+
+def with_status(frontier: DataFrame, status: DataFrame) -> DataFrame:
+    """Outcome of each frontier URL by ``store_status``."""
+    found = frontier.join(status, "url", "left")
     ok = F.coalesce("has_html", F.lit(False))
-    reason = F.when(F.col("has_html").isNull(), "not in page store").otherwise("page has no html")
+    reason = F.when(F.col("has_html").isNull(), "not in page store").otherwise(F.coalesce("stored_error", F.lit("page has no html")))
     return found.select(
         *frontier.columns,
         F.when(ok, "ok").otherwise("error").alias("status"),

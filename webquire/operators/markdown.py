@@ -84,7 +84,7 @@ def _with_context(tokens: DataFrame, key: str) -> DataFrame:
     inline_end = F.coalesce("close_pos", F.lit(-1))
     open_link = F.max(F.when(F.col("link").isNotNull(), F.struct(pos.alias("at"), inline_end.alias("to"), F.col("link").alias("tail"))))
     first_number = F.expr(
-        "coalesce(try_cast(nullif(regexp_extract(token, '(?i)[ \\t\\n\\f\\r]start[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*[\"\\']?([0-9]{1,9})', 1), '') as bigint), 1)"
+        "coalesce(try_cast(nullif(regexp_extract(token, '(?i)[ \\t\\n\\f\\r]start[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*[\"\\']?([0-9]++)', 1), '') as int), 1)"
     )
 
     # One select per dependency level: the windows of a level share a single pass.

@@ -9,7 +9,7 @@ empty, would grow past the cap.  It is run here without ever gathering a group:
 2. A block that lies wholly inside one group is summarised as a table "words in
    the open part on entry -> words in the open part on exit, parts started".
    Only rows inside the first cap of words can be the first start, so the table
-   has at most min(rows, cap + 1) entries.
+   has at most min(rows, cap + 1) entries; it travels as one row of arrays.
 3. The open state is walked along the blocks of each spanning group; it is one
    row per block.
 4. Every block is folded on its own, given its entry state.
@@ -36,11 +36,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DEFAULT_MAX_WORDS = 500_000  # fixed value: the cap used for 0 or less
 SEPARATOR = "\n\n---\n\n"  # fixed value: stands between two documents of a part
 
-STEP = "grp string, block int, reach bigint, words_out bigint, parts bigint, total bigint"
+STEP = "grp string, block int, reach array<bigint>, words_out array<bigint>, parts array<bigint>, total bigint"
 ENTRY = "block int, words_in bigint, parts_in bigint"
 ASSIGNED = "grp string, path string, words bigint, seq bigint, part bigint, leading boolean"
 
 
+def _group(group_by: Column | str | None) -> Column:
+    """The group as text; one group, the empty text, without ``group_by``."""
+    grp = F.lit("") if group_by is None else (F.col(group_by) if isinstance(group_by, str) else group_by)
+    return F.coalesce(grp.cast("string"), F.lit(""))
+
+
 def effective_cap(max_words: int | None) -> int:
     """``None`` is unlimited; 0 or less is the default cap."""
     if max_words is None:
@@ -48,11 +54,13 @@ def effective_cap(max_words: int | None) -> int:
     return max_words if max_words > 0 else DEFAULT_MAX_WORDS
 
 
-def segment_steps(words: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_steps(words: np.ndarray, cap: int, most: int = 2**62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Step function of one run of documents: for each possible first start
     ``(reach, words_out, parts)``, where ``reach`` is the running word count up to it.
 
-    The first start for an entry of ``c`` words is the first row with ``reach > cap - c``.
+    The first start for an entry of ``c`` words is the first row with ``reach > cap - c``;
+    ``most`` is the largest entry that can come, and starts that it cannot cause are left out
+    (but the first row, for an entry without a part).
     """
     n = len(words)
     reach = np.cumsum(words)
@@ -68,7 +76,7 @@ def segment_steps(words: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray,
             break
         parts = parts + ahead
         jump = jump[jump]
-    possible = row <= np.searchsorted(reach, cap, side="right")
+    possible = (row <= np.searchsorted(reach, cap, side="right")) & ((row == 0) | (reach > cap - most))
     first_of_reach = np.r_[True, reach[1:] != reach[:-1]] if n else np.zeros(0, bool)
     pick = possible & first_of_reach
     last = jump[pick]
@@ -84,8 +92,8 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]
                 yield pdf["grp"].iloc[piece[0]], pdf.iloc[piece]
 
 
-def _summarise(batches: Iterator[pd.DataFrame], cap: int, inner: frozenset, tail: frozenset) -> Iterator[pd.DataFrame]:
-    """Step table of a block inside one group, or the exit state of a group that starts here."""
+def _summarise(batches: Iterator[pd.DataFrame], cap: int, most: int, inner: frozenset, tail: frozenset) -> Iterator[pd.DataFrame]:
+    """One row per block: the step table of a block inside one group, or the exit state of a group that starts here."""
     group, words, block = None, [], None
     for grp, run in _runs(batches):
         if grp != group:
@@ -97,43 +105,30 @@ def _summarise(batches: Iterator[pd.DataFrame], cap: int, inner: frozenset, tail
     if block is None or (block not in inner and block not in tail):
         return
     flat = np.concatenate(words)
-    if not len(flat):
-        table = pd.DataFrame({"reach": [None], "words_out": [None], "parts": [None], "total": [0]})
-    else:
-        reach, words_out, parts = segment_steps(flat, cap)
-        if block in tail:  # starts fresh: only the first row can be the first start
-            reach, words_out, parts = reach[:1], words_out[:1], parts[:1]
-        table = pd.DataFrame({"reach": reach, "words_out": words_out, "parts": parts, "total": int(flat.sum())})
-    table.insert(0, "block", block)
-    table.insert(0, "grp", group)
-    yield table
+    reach, words_out, parts = segment_steps(flat, cap, most) if len(flat) else (flat, flat, flat)
+    if block in tail:  # starts fresh: only the first row can be the first start
+        reach, words_out, parts = reach[:1], words_out[:1], parts[:1]
+    row = {"grp": group, "block": block, "reach": reach, "words_out": words_out, "parts": parts, "total": int(flat.sum())}
+    yield pd.DataFrame([row])
 
 
 def _walk(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
-    """Carry the open state along the blocks of each group; step rows arrive sorted."""
-    group, block, words, parts = None, None, 0, 0
-    target, done, total, out = 0, False, 0, []
-
-    def leave() -> None:
-        nonlocal words
-        if block is not None and not done and parts:
-            words += total  # no new part started inside the block
-
+    """Carry the open state along the blocks of each group: one row and one search per block."""
+    group, words, parts = None, 0, 0
     for pdf in batches:
+        out = []
         for row in pdf.itertuples(index=False):
-            if row.grp != group or row.block != block:
-                leave()
-                if row.grp != group:
-                    group, words, parts = row.grp, 0, 0
-                else:
-                    out.append((row.block, words, parts))
-                block, total, done = row.block, int(row.total), False
-                target = cap - words
-                fresh = parts == 0
-            if not done and not pd.isna(row.reach) and (fresh or row.reach > target):
-                words, parts, done = int(row.words_out), parts + int(row.parts), True
+            if row.grp != group:
+                group, words, parts = row.grp, 0, 0
+            else:
+                out.append((row.block, words, parts))
+            # a fresh group starts at its first document, whatever its size
+            at = 0 if parts == 0 else int(np.searchsorted(row.reach, cap - words, side="right"))
+            if at < len(row.reach):
+                words, parts = int(row.words_out[at]), parts + int(row.parts[at])
+            elif parts:
+                words += int(row.total)
         yield pd.DataFrame(out, columns=["block", "words_in", "parts_in"])
-        out = []
 
 
 def _fold(batches: Iterator[pd.DataFrame], cap: int, entry: dict[int, tuple[int, int]]) -> Iterator[pd.DataFrame]:
@@ -170,14 +165,13 @@ def assign_parts(
 ) -> DataFrame:
     """``(grp, path, words, seq, part, leading)``: the part of each document, in walk order.
 
-    ``docs`` has unique ``path`` and ``words``; ``empty`` names a boolean column for
+    ``docs`` has ``path``, unique in its group, and ``words``; ``empty`` names a boolean column for
     documents without any characters.  Without ``group_by`` all documents are one group.
     ``leading`` marks empty documents that no part shows.
     """
     cap = effective_cap(max_words)
-    grp = F.lit("") if group_by is None else (F.col(group_by) if isinstance(group_by, str) else group_by)
     meta = docs.select(
-        F.coalesce(grp.cast("string"), F.lit("")).alias("grp"),
+        _group(group_by).alias("grp"),
         F.col(path).alias("path"),
         F.coalesce(F.col(words), F.lit(0)).cast("bigint").alias("words"),
         (F.coalesce(F.col(empty), F.lit(False)) if empty else F.lit(False)).alias("empty"),
@@ -204,15 +198,17 @@ def assign_parts(
 
     entry: dict[int, tuple[int, int]] = {}
     if joints:
-        steps = blocks.mapInPandas(partial(_summarise, cap=cap, inner=inner, tail=tail), STEP)
+        # no entry exceeds the words before it, so without a cap a block has one step
+        most = min(cap, blocks.agg(F.sum("words")).first()[0] or 0)
+        steps = blocks.mapInPandas(partial(_summarise, cap=cap, most=most, inner=inner, tail=tail), STEP)
         # the last block of a group needs an entry state but no step table
         stops = blocks.sparkSession.createDataFrame(
-            [(head, b, None, None, None, 0) for b, head, _ in ends if b in comes_in and b not in inner], STEP
+            [(head, b, [], [], [], 0) for b, head, _ in ends if b in comes_in and b not in inner], STEP
         )
         walked = (
             steps.unionByName(stops)
             .repartition("grp")
-            .sortWithinPartitions("grp", "block", "reach")
+            .sortWithinPartitions("grp", "block")
             .mapInPandas(partial(_walk, cap=cap), ENTRY)
         )
         entry = {r["block"]: (r["words_in"], r["parts_in"]) for r in walked.collect()}
@@ -226,18 +222,20 @@ def parts_of(
     output: str = "combined.md",
     path: str = "path",
     content: str = "content",
+    group_by: Column | str | None = None,
 ) -> DataFrame:
     """``(grp, part, file, words, files, content)``: the text of every part.
 
-    Content moves twice: to its assignment by path, and to its part, which holds no
-    more than the cap (or one over-size document).
+    Paths are unique within a group, so content meets its assignment by both.  It
+    moves twice: to its assignment, and to its part, which holds no more than the cap
+    (or one over-size document).
     """
     cap = effective_cap(max_words)
     totals = assigned.groupBy("grp").agg((F.sum("words") > cap).alias("split"))
     shown = assigned.filter(~F.col("leading")).join(totals, "grp")
-    text = docs.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    text = docs.select(_group(group_by).alias("grp"), F.col(path).alias("path"), F.col(content).alias("content"))
     return (
-        text.join(shown, "path")
+        text.join(shown, ["grp", "path"])
         .groupBy("grp", "part", "split")
         .agg(
             F.sum("words").alias("words"),
@@ -251,8 +249,7 @@ def parts_of(
 def corpus_summary(docs: DataFrame, assigned: DataFrame, group_by: Column | str | None = None) -> DataFrame:
     """``(grp, files, words, parts)`` per corpus.  ``files`` also counts documents that could
     not be read; separators hold no words."""
-    grp = F.lit("") if group_by is None else (F.col(group_by) if isinstance(group_by, str) else group_by)
-    listed = docs.groupBy(F.coalesce(grp.cast("string"), F.lit("")).alias("grp")).agg(F.count("*").alias("files"))
+    listed = docs.groupBy(_group(group_by).alias("grp")).agg(F.count("*").alias("files"))
     packed = assigned.groupBy("grp").agg(
         F.sum("words").alias("words"),
         F.coalesce(F.max(F.when(~F.col("leading"), F.col("part"))), F.lit(0)).alias("parts"),

@@ -40,17 +40,17 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "ranked", start: int
 
     A row's id holds its sort partition and its place inside it.  The copy is
     written, so the ids are fixed; the driver then sees one count per sort
-    partition, and the offsets go back as a map of that size.
+    partition, and the offsets go back as an array of that size, read by position.
     """
     wide = cut(df.orderBy(*order).withColumn("row_id", F.monotonically_increasing_id()), name)
     part = F.shiftright("row_id", PARTITION_BITS)
     sizes = partition_sizes(wide)
-    offsets, total = [], 0
+    offsets, total = [0] * (max(sizes, default=-1) + 1), 0
     for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(start + total)]
+        offsets[p] = start + total
         total += sizes[p]
     if not sizes:
         return Ranked(wide.withColumn("rank", F.lit(None).cast("bigint")).drop("row_id"), 0)
     place = F.col("row_id").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
-    rank = F.element_at(F.create_map(*offsets), part) + place + 1
+    rank = F.get(F.lit(offsets).cast("array<bigint>"), part.cast("int")) + place + 1
     return Ranked(wide.withColumn("rank", rank.cast("bigint")).drop("row_id"), total)

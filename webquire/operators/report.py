@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webquire.operators.ranking import ranked
+
 # --- fixed values -------------------------------------------------------------
 VERSION = "1"
 STATUSES = ("ok", "skipped", "error")
+# items in one report object
+PAGE_ITEMS = 1_000
 # ------------------------------------------------------------------------------
 
 ITEM = T.StructType(
@@ -48,29 +52,34 @@ def run_counts(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def build_report(outcomes: DataFrame, created_at: Column | None = None, items_per_report: int = 100_000) -> DataFrame:
-    """Nest ``(step, url, status, error, time)`` rows into report objects.
+def report_steps(outcomes: DataFrame) -> DataFrame:
+    """``(step, start_time, end_time, ok, skipped, error)``: one row per step."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    return outcomes.groupBy("step").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), *counts)
+
+
+def build_report(outcomes: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Nest ``(step, url, status, error, time)`` rows, unique by step and URL, into report objects.
 
-    A run of up to ``items_per_report`` items is one object.  A larger one is spread
-    by URL hash over as many objects as it needs, each a complete report of its
-    share, so no step is ever gathered in one row; readers explode all of them.
+    One layout at every size: the items of a step, in URL order, stand in objects of
+    ``PAGE_ITEMS`` items (the last has fewer).  Each object is a complete report with
+    one step, whose times are those of the whole step.  So no row grows with the run.
     """
-    chunks = max(1, -(-outcomes.count() // items_per_report))
     created = F.current_timestamp() if created_at is None else created_at
-    spans = outcomes.groupBy("step").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"))
+    placed = ranked(outcomes.select("step", "url", "status", "error", "time"), "step", "url", name="report").df
+    steps = placed.groupBy("step").agg(
+        F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.min("rank").alias("first_rank")
+    )
     item = F.struct("url", "status", "error", "time")
-    steps = (
-        outcomes.withColumn("chunk", F.pmod(F.xxhash64("url"), F.lit(chunks)))
-        .groupBy("chunk", "step")
+    objects = (
+        placed.join(steps, "step")
+        .withColumn("page", F.floor((F.col("rank") - F.col("first_rank")) / PAGE_ITEMS))
+        .groupBy("step", "start_time", "end_time", "page")
         .agg(F.sort_array(F.collect_list(item)).alias("urls"))
-        .join(spans, "step")
-    )
-    step = F.struct("start_time", "step", "end_time", "urls")
-    ordered = F.transform(
-        F.sort_array(F.collect_list(step)), lambda s: F.struct(s["step"], s["start_time"], s["end_time"], s["urls"])
     )
-    return steps.groupBy("chunk").agg(ordered.alias("steps")).select(
-        F.lit(VERSION).alias("version"), created.alias("created_at"), F.col("steps").cast(T.ArrayType(STEP)).alias("steps")
+    step = F.struct("step", "start_time", "end_time", "urls")
+    return objects.select(
+        F.lit(VERSION).alias("version"), created.alias("created_at"), F.array(step).cast(T.ArrayType(STEP)).alias("steps")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from webquire.functions.text import md_path
 from webquire.functions.urls import normalize_url, url_to_filename
 from webquire.operators.markdown import convert
 from webquire.operators.packing import DEFAULT_MAX_WORDS
-from webquire.operators.report import outcome_union
+from webquire.operators.report import build_report, outcome_union
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl
 from webquire.session import cut
+from webquire.sources.readers import read_report
+from webquire.sources.writers import write_report
 
 
 @dataclass
@@ -23,6 +26,7 @@ class Corpus:
     parts: DataFrame
     summary: DataFrame
     outcomes: DataFrame
+    report: DataFrame
 
 
 def build_corpus(
@@ -35,9 +39,18 @@ def build_corpus(
     output: str = "combined.md",
     url: str = "url",
     html: str = "html",
+    final_url: str | None = None,
+    error: str | None = None,
+    report_path: str | None = None,
 ) -> Corpus:
-    """The parts of the site below ``seed``, and one outcome row per item of each step."""
-    walked = crawl(pages, seed, max_pages, url=url, html=html)
+    """The parts of the site below ``seed``, one outcome row per item of each step, and the report of both steps.
+
+    ``final_url`` and ``error`` name the store's columns for redirects and fetch errors.  The report is
+    written to ``report_path`` if that is given; ``retry_report`` crawls its failed items again.
+    """
+    began = _now(pages)
+    walked = cut(crawl(pages, seed, max_pages, url=url, html=html, final_url=final_url, error=error), "walked")
+    crawled = _now(pages)
     saved = walked.filter(F.col("status") == "ok").select("url", "crawl_order")
     # several URLs can share a file name: the page written last is the one converted
     winner = (
@@ -45,12 +58,24 @@ def build_corpus(
         .agg(F.max_by("url", "crawl_order").alias("url"))
     )
     stored = pages.select(normalize_url(url).alias("url"), F.col(html).alias("html")).filter(F.col("html").isNotNull())
-    # the store should hold one row per URL; of several, one is taken the same way every time
-    files = stored.join(winner, "url").groupBy("filename").agg(F.min("html").alias("html"))
+    # the store should hold one row per URL; of several, the one with the smallest hash is taken
+    one = stored.select("url", F.xxhash64("html").alias("h")).groupBy("url").agg(F.min("h").alias("h")).join(winner, "url")
+    files = stored.withColumn("h", F.xxhash64("html")).join(one, ["url", "h"]).dropDuplicates(["url", "h"]).select("filename", "html")
     docs = cut(convert(files, strip_tags, strip_classes, key="filename", html="html", path="filename"), "converted")
+    converted = _now(pages)
     done = combine(docs.filter(F.col("status") == "ok").withColumnRenamed("markdown", "content"), max_words, output=output)
     outcomes = outcome_union(
         walked.select(F.lit("crawl").alias("step"), "url", url_to_filename("url").alias("path"), "status", "error"),
         docs.select(F.lit("convert").alias("step"), F.col("filename").alias("url"), md_path("filename").alias("path"), "status", "error"),
     )
-    return Corpus(done.parts, done.summary, outcomes)
+    # the store holds no time per item, so an item has the time at which its step ended
+    timed = outcomes.withColumn("time", F.when(F.col("step") == "crawl", F.lit(crawled)).otherwise(F.lit(converted)))
+    report = build_report(timed, F.lit(began))
+    if report_path:
+        write_report(report, report_path)
+        report = read_report(pages.sparkSession, report_path)
+    return Corpus(done.parts, done.summary, outcomes, report)
+
+
+def _now(pages: DataFrame) -> datetime:
+    return pages.sparkSession.range(1).select(F.current_timestamp()).first()[0]

@@ -38,5 +38,5 @@ def combine(
     # used three times below; one narrow table instead of three folds
     assigned = cut(assign_parts(measured, max_words, group_by, path, "_words", "_empty"), "assigned")
     return Combined(
-        parts_of(docs, assigned, max_words, output, path, content), corpus_summary(docs, assigned, group_by), assigned
+        parts_of(docs, assigned, max_words, output, path, content, group_by), corpus_summary(docs, assigned, group_by), assigned
     )

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquire.functions.urls import normalize_url
-from webquire.operators.links import dedup_first, extract_links, frontier_lookup, scope_filter, unvisited
+from webquire.operators.links import dedup_first, frontier_lookup, link_table, scope_filter, store_status, unvisited, with_status
 from webquire.operators.ranking import nth_row_id, partition_sizes, ranked
+from webquire.operators.report import report_items
 from webquire.session import cut, work_path
 
 LEVEL = "url string, seq bigint"
@@ -40,10 +41,11 @@ def crawl(
     url: str = "url",
     html: str = "html",
     final_url: str | None = None,
+    error: str | None = None,
 ) -> DataFrame:
     """``(url, depth, crawl_order, status, error)`` of a first-in-first-out walk from ``seed``.
 
-    ``max_pages`` counts error rows too; 0 means no cap.  A page missing from the
+    ``max_pages`` counts error rows too; 0 or less means no cap.  A page missing from the
     store is an error row and a leaf.  Inside a level the order is (order of the
     discovering page, position of the link).  The store should hold one row per URL.
     """
@@ -56,11 +58,13 @@ def crawl(
 
     # only pages of the seed's own scope can be reached, so only their HTML is parsed
     reachable = scope_filter(pages.withColumn("_url", normalize_url(url)), seed, "_url").drop("_url")
-    links = scope_filter(extract_links(reachable, url, html, final_url), seed)
-    edges = cut(links.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "edges")
+    # one pass over the HTML leaves what each page is and where it points; the rest works on that
+    graph = cut(link_table(reachable, url, html, final_url, error), "graph")
+    found = graph.select(F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "dst_url")).filter(F.col("pos").isNotNull())
+    edges = cut(scope_filter(found, seed).groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "edges")
 
     depth, used, last_seq = 0, 1, None
-    while not (max_pages and used >= max_pages) and (max_depth is None or depth < max_depth):
+    while not (max_pages > 0 and used >= max_pages) and (max_depth is None or depth < max_depth):
         # all levels so far are one table, however many there are
         visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
         found = (
@@ -78,7 +82,7 @@ def crawl(
         level.write.parquet(f"{walked}/depth={depth}")
         sizes = partition_sizes(spark.read.schema(LEVEL).parquet(f"{walked}/depth={depth}"), "seq")
         size = sum(sizes.values())
-        if max_pages and used + size > max_pages:
+        if max_pages > 0 and used + size > max_pages:
             last_seq = nth_row_id(sizes, max_pages - used)
         used += size
         if not size:
@@ -87,15 +91,21 @@ def crawl(
     if last_seq is not None:
         visited = visited.filter((F.col("depth") < depth) | (F.col("seq") <= last_seq))
     order = ranked(visited, "depth", "seq", name="walk").df.withColumnRenamed("rank", "crawl_order")
-    return frontier_lookup(order.select("url", "depth", "crawl_order"), pages, url, html)
+    return with_status(order.select("url", "depth", "crawl_order"), store_status(graph, "url", "has_html", "stored_error", normal=True))
+
+
+def retry_report(pages: DataFrame, reports: DataFrame, step: str = "crawl", max_pages: int = 0, url: str = "url", html: str = "html", error: str | None = None) -> DataFrame:
+    """Fetch again what a report lists as failed in ``step``, in URL order; ``crawl_retry``'s columns."""
+    failed = report_items(reports).filter((F.col("step") == step) & (F.col("status") == "error"))
+    return crawl_retry(pages, failed.select("url", F.col("url").alias("pos")), max_pages, url, html, error)
 
 
 def crawl_retry(
-    pages: DataFrame, urls: Sequence[str] | DataFrame, max_pages: int = 0, url: str = "url", html: str = "html"
+    pages: DataFrame, urls: Sequence[str] | DataFrame, max_pages: int = 0, url: str = "url", html: str = "html", error: str | None = None
 ) -> DataFrame:
     """Fetch the given URLs again: one level, no links followed, no scope check."""
     start = ranked(seeds(pages.sparkSession, urls), "pos", name="retry")
-    kept = start.df.filter(F.col("rank") <= max_pages) if max_pages else start.df
+    kept = start.df.filter(F.col("rank") <= max_pages) if max_pages > 0 else start.df
     level = kept.select("url", F.lit(0).alias("depth"), F.col("rank").alias("crawl_order"))
-    return frontier_lookup(level, pages, url, html)
+    return frontier_lookup(level, pages, url, html, error)
 

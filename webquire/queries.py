@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webquire.functions import text as T
@@ -18,7 +18,7 @@ from webquire.operators import packing as P
 from webquire.operators import report as R
 from webquire.plans.build import build_corpus
 from webquire.plans.combine import combine
-from webquire.plans.crawl import crawl, crawl_retry, seeds
+from webquire.plans.crawl import crawl, crawl_retry, retry_report, seeds
 from webquire.session import work_path
 from webquire.sources.readers import read_html, read_markdown, read_pages, read_report, read_zip
 from webquire.sources.writers import write_docs, write_files, write_report
@@ -44,6 +44,8 @@ SHAPES = (
     (("<article>", "<div role=\"main\">"), ("</article>", "</div>")),
     (("<article>", "<section>"), ("</article>", "</section>")),
     (("<article>", "<main>"), ("</article>", "</main>")),
+    (("</article>", "<p class=\"x ad\">gone<p>stays<ul><li class=\"ad\">x<li>y<ul><li>z</ul></ul><table><tr><td class=\"ad\">a<td>b<tr><td>c</table></article>"),),
+    (("</body></html>", "<p>hello <a href=\"x\" class=\"y"),),
     (("<h1>", "<h1><img src=x><svg><g>s</g></svg><picture><img></picture>"), ("<p>", "<nav>n</nav><div class=\"x ad\">a<div>d</div></div><p>")),
 )
 
@@ -163,12 +165,16 @@ def files_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return read_markdown(spark, out)
 
 
+# pages in one archive, so that archives stay small however many pages there are
+ZIP_PAGES = 200
+
+
 @query
 def files_zip(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of each host, zipped by the executors, then read back."""
+    """All pages, zipped by the executors, then read back."""
     out = work_path(spark, "zip")
     named = pages(spark, sf).select(
-        F.pmod("page_id", F.lit(16)).alias("archive"),
+        F.floor(F.col("page_id") / ZIP_PAGES).alias("archive"),
         F.concat(F.col("page_id").cast("string"), F.lit("/index.HTML")).alias("path"),
         "html",
     )
@@ -178,24 +184,28 @@ def files_zip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _zip_rows(rows, out: str) -> None:
     import itertools
-    import os
+    import uuid
     import zipfile
 
-    folder = out.removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
+    store.create_dir(root, recursive=True)
     for archive, group in itertools.groupby(rows, key=lambda r: r["archive"]):
-        with zipfile.ZipFile(f"{folder}/{archive}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        draft = f"{root}/{archive}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(draft) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
             for r in group:
                 z.writestr(r["path"], r["html"])
             z.writestr("../escape.html", "x")
             z.writestr("note.txt", "x")
+        store.move(draft, f"{root}/{archive}.zip")  # a retried task replaces the whole archive at once
 
 
 @query
 def docs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = work_path(spark, "docs")
     write_docs(pages(spark, sf).select(U.host_of("url").alias("host"), "url", "html"), out)
-    return spark.read.parquet(out).select("host", "url", F.length("html").cast("bigint").alias("chars"))
+    return spark.read.parquet(out).select("host", "url", "html")
 
 
 @query
@@ -464,8 +474,14 @@ def run_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_nested(spark: SparkSession, sf: str) -> DataFrame:
-    nested = reports(spark, sf).select("version", F.posexplode("steps").alias("nth", "s"))
-    return nested.select("version", "nth", "s.step", F.size("s.urls").cast("bigint").alias("n_urls"), F.array_join(F.transform("s.urls", lambda u: u["url"]), "\n").alias("url_list"))
+    nested = reports(spark, sf).select("version", F.explode("steps").alias("s"))
+    return nested.select("version", "s.step", F.size("s.urls").cast("bigint").alias("n_urls"), F.array_join(F.transform("s.urls", lambda u: u["url"]), "\n").alias("url_list"))
+
+
+@query
+def report_steps(spark: SparkSession, sf: str) -> DataFrame:
+    steps = R.report_steps(outcomes(spark, sf))
+    return steps.withColumns({c: F.col(c).cast("string") for c in ("start_time", "end_time")})
 
 
 @query
@@ -577,6 +593,50 @@ def convert_pages(spark: SparkSession, sf: str) -> DataFrame:
     return M.convert(source, "nav,footer", "ad", path="file")
 
 
+def _store(spark: SparkSession, sf: str) -> DataFrame:
+    """The linked site as a fetched store: the pages that are cut off have failed with an error of their own."""
+    cut_off = ~F.col("html").contains("</html>")
+    return site(spark, sf).select(
+        "url", F.lit(None).cast("string").alias("final_url"), F.when(~cut_off, F.col("html")).alias("html"), F.when(cut_off, "connection lost").alias("error")
+    )
+
+
+@query
+def crawl_stored_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each URL of the site, looked up in a store that keeps the errors of failed fetches."""
+    frontier = L.extract_links(site(spark, sf)).select(F.col("dst_url").alias("url")).distinct()
+    return L.frontier_lookup(frontier, _store(spark, sf), error="error")
+
+
+@query
+def pipeline_report_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl step of the pipeline's written report."""
+    built = build_corpus(site(spark, sf), SEED, strip_tags="nav,footer", strip_classes="ad", max_words=5_000, report_path=work_path(spark, "report"))
+    return R.report_items(built.report).filter("step = 'crawl'").select("step", "url", "status", "error")
+
+
+@query
+def retry_from_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What failed in a crawl report, fetched again from the site."""
+    failed = crawl_stored_errors(spark, sf).select(F.lit("crawl").alias("step"), "url", "status", "error", F.to_timestamp(F.lit(RUN_TIME)).alias("time"))
+    return retry_report(site(spark, sf), R.build_report(failed)).select("url", "crawl_order", "status", "error")
+
+
+def grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose paths repeat across their sources."""
+    by_id = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, sf, "documents").select(
+        F.concat((F.row_number().over(by_id) % 10).cast("string"), F.lit("/"), F.row_number().over(by_id).cast("string"), F.lit(".md")).alias("path"),
+        F.col("text").alias("content"),
+        "source",
+    )
+
+
+@query
+def combine_same_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return combine(grouped(spark, sf), 3_000, "source").parts
+
+
 @query
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     """Crawl, convert and combine the linked site; one row per part."""

@@ -7,6 +7,7 @@ import posixpath
 import re
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +23,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BATCH_BYTES = 64 << 20
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, without a slash at the end, as the file names of a scan have it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return str(place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place)).rstrip("/")
+
+
 def _relative(path: Column, root: str) -> Column:
-    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
-    return F.substring(path, F.instr(path, F.lit(root)) + F.length(F.lit(root)), F.length(path))
+    """``path`` below the qualified ``root``; both without the marks that only some file systems add."""
+    bare = lambda p: F.regexp_replace(p, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/]*)?", "")
+    return F.substring(bare(path), F.length(bare(F.lit(root))) + 2, F.length(path))
 
 
 def _read_tree(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -35,7 +44,7 @@ def _read_tree(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .load(path)
     )
-    return files.select(_relative(F.col("path"), path).alias("path"), F.col("content").cast("string").alias("content"))
+    return files.select(_relative(F.col("path"), _qualified(spark, path)).alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
@@ -49,27 +58,35 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["archive", "path", "content", "error"]
     for pdf in batches:
         for archive, content in zip(pdf["archive"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                # of several entries with one path the last one counts
-                last = {posixpath.normpath(i.filename.lstrip("/")): i for i in z.infolist() if not i.is_dir()}
-                rows, size = [], 0
-                for path, info in last.items():
-                    if path.lower().endswith(".html") and path.split("/")[0] != "..":
-                        rows.append((archive, path, z.read(info).decode("utf-8", "replace")))
-                        size += info.file_size
-                    if size > BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-                        rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+            rows, size = [], 0
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    # of several entries with one path the last one counts
+                    last = {posixpath.normpath(i.filename.lstrip("/")): i for i in z.infolist() if not i.is_dir()}
+                    for path, info in last.items():
+                        if path.lower().endswith(".html") and path.split("/")[0] != "..":
+                            try:
+                                rows.append((archive, path, z.read(info).decode("utf-8", "replace"), None))
+                                size += info.file_size
+                            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                                rows.append((archive, path, None, str(e)))
+                        if size > BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+            except (zipfile.BadZipFile, EOFError) as e:
+                rows.append((archive, None, None, str(e)))
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, path, content)`` of the ``.html`` entries of one or many ZIP archives.
+    """``(archive, path, content, error)`` of the ``.html`` entries of one or many ZIP archives.
 
-    One task per archive; entries whose path leaves the archive are skipped.
+    One task per archive; entries whose path leaves the archive are skipped.  A damaged
+    entry has its error instead of content, a damaged archive is one row without a path.
     """
     archives = (
         spark.read.format("binaryFile")
@@ -78,7 +95,7 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     return archives.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInPandas(
-        _entries, "archive string, path string, content string"
+        _entries, "archive string, path string, content string, error string"
     )
 
 
