@@ -573,7 +573,7 @@ def md_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def md_inline(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(_markdown(spark, sf, ("<b>", "<em>x</em> <code>y</code> <strong>z </strong>")), r"\*x\* `y` \*\*z\*\*")
+    return _markdown(spark, sf, ("<b>", "<em>x</em> <code>y</code> <strong>z </strong>")).select("page_id", "markdown")
 
 
 @query
@@ -589,7 +589,9 @@ def md_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def convert_pages(spark: SparkSession, sf: str) -> DataFrame:
-    source = pages(spark, sf).select("page_id", U.url_to_filename("url").alias("file"), F.when(F.col("html").contains("</html>"), F.col("html")).alias("html"))
+    """Every page, and next to each one a page that could not be fetched."""
+    found = pages(spark, sf).select("page_id", U.url_to_filename("url").alias("file"), "html")
+    source = found.unionByName(found.select((-1 - F.col("page_id")).alias("page_id"), "file", F.lit(None).cast("string").alias("html")))
     return M.convert(source, "nav,footer", "ad", path="file")
 
 
