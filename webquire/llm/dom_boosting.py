@@ -25,9 +25,9 @@ from webquire.llm.sample_pages import labelled_pages
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TRAIN_PAGES = 1_200
-TREES, DEPTH, RATE = 60, 5, 0.2
-BINS = 32
+TRAIN_PAGES = 1_500
+TREES, DEPTH, RATE = 60, 5, 0.25
+BINS = 16
 # Nodes scored at once.
 GROUP_NODES = 20_000
 
@@ -52,8 +52,11 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, l2: float = 2.0) -> Boosted:
-    """Newton boosting of the logistic loss on histograms; all nodes of a level split together."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, l2: float = 2.0, share: float = 0.4, seed: int = 3) -> Boosted:
+    """Newton boosting of the logistic loss on histograms; all nodes of a level split together.
+
+    Each tree looks for its splits on a random ``share`` of the rows and sets its leaves by all of them.
+    """
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     code = np.stack([np.searchsorted(q, c, "left") for q, c in zip(cuts, x.T)], axis=1)  # code > b  <=>  x > cuts[b]
     n, m = x.shape
@@ -62,16 +65,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     z = np.full(n, bias)
     out = Boosted(bias, np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)))
     cells = np.arange(m) * (bins + 1)
+    rng = np.random.default_rng(seed)
     for t in range(trees):
         p = 1 / (1 + np.exp(-z))
         g, h = y - p, p * (1 - p)
         at = np.zeros(n, dtype=np.int64)
+        some = np.flatnonzero(rng.random(n) < share)
+        part, g_part, h_part = cells + code[some], np.repeat(g[some], m), np.repeat(h[some], m)
         for d in range(depth):
             first, width = (1 << d) - 1, 1 << d
-            slot = ((at - first)[:, None] * (m * (bins + 1)) + cells + code).ravel()
+            slot = ((at[some] - first)[:, None] * (m * (bins + 1)) + part).ravel()
             size = width * m * (bins + 1)
-            gs = np.bincount(slot, np.repeat(g, m), size).reshape(width, m, bins + 1).cumsum(axis=2)
-            hs = np.bincount(slot, np.repeat(h, m), size).reshape(width, m, bins + 1).cumsum(axis=2)
+            gs = np.bincount(slot, g_part, size).reshape(width, m, bins + 1).cumsum(axis=2)
+            hs = np.bincount(slot, h_part, size).reshape(width, m, bins + 1).cumsum(axis=2)
             gt, ht = gs[:, :1, -1:], hs[:, :1, -1:]
             gain = gs**2 / (hs + l2) + (gt - gs) ** 2 / (ht - hs + l2) - gt**2 / (ht + l2)
             gain[(hs < 1) | (ht - hs < 1)] = 0

@@ -23,14 +23,18 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 BARRIERS = frozenset("ul ol dl table menu html body article section div aside main".split())
 # Words in class, id and role that hint at content or at something else.
 HINTS_CONTENT = frozenset("article articlebody body content entry hentry main page post prose story text".split())
-HINTS_OTHER = frozenset(
-    "ad ads adsense advert advertisement advertorial aside banner bar bottom breadcrumb breadcrumbs button byline combx comment comments community "
-    "complementary consent contentinfo cookie cookies copyright dialog discuss disqus dropdown email extra fineprint follow foot footer form gdpr "
-    "head header hidden legal links list login logo masthead menu meta modal more nav navbar navigation newsletter notice notification outbrain "
-    "pager pagination popup popular privacy promo promoted promotion rail reactions recommended related remark replies reply respond reviews rss "
-    "search share sharing shop shoutbox sidebar sign signup skip skyscraper social sponsor sponsored subscribe subscription tags taboola teaser "
-    "toolbar tools top topbar trending warning widget widgets alert feedback rating thread user disclaimer".split()
-)
+HINTS_OTHER = {
+    "navigation": "breadcrumb breadcrumbs dropdown links menu nav navbar navigation pager pagination skip tabs toolbar topbar topnav",
+    "header": "branding head header logo masthead top",
+    "footer": "bottom colophon contentinfo copyright fineprint foot footer legal privacy",
+    "aside": "aside complementary extra more popular rail recommended related secondary side sidebar teaser trending widget widgets",
+    "advert": "ad ads adsense advert advertisement advertorial banner outbrain promo promoted promotion shop skyscraper sponsor sponsored taboola",
+    "notice": "alert consent cookie cookies dialog disclaimer gdpr hidden modal newsletter notice notification paywall popup signup subscribe subscription warning",
+    "comments": "combx comment commentlist comments community discuss discussion disqus feedback reactions remark replies reply respond responses reviews shoutbox thread",
+    "share": "author button byline email follow meta rating rss share sharing social tags tools",
+    "form": "form login search",
+}
+_OTHER = {word: 1 << i for i, words in enumerate(HINTS_OTHER.values()) for word in words.split()}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
@@ -49,8 +53,8 @@ class Node:
     parent: int
     depth: int
     start: int  # text characters before it
-    good: int = 0
-    bad: int = 0
+    good: int = 0  # words that hint at content
+    bad: int = 0  # groups of hints at something else, as bits
     hidden: bool = False
     keep: str | None = None
     children: list[int] = field(default_factory=list)
@@ -69,8 +73,12 @@ class Page:
 
 
 def _hints(attrs: str) -> tuple[int, int]:
+    """How many words hint at content, and the groups of ``HINTS_OTHER`` that are named, as bits."""
     words = {p.lower() for m in _HINT.findall(attrs) for p in _PARTS.findall("".join(m))} if attrs else ()
-    return len(HINTS_CONTENT.intersection(words)), len(HINTS_OTHER.intersection(words))
+    groups = 0
+    for w in words:
+        groups |= _OTHER.get(w, 0)
+    return len(HINTS_CONTENT.intersection(words)), groups
 
 
 def parse(text: str) -> Page:
@@ -177,7 +185,7 @@ GROUPS = (
     ("table", "thead", "tbody", "tfoot", "tr", "td", "th"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset"), ("blockquote", "pre", "figure", "figcaption"), ("#", "html", "body"),
 )
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
-N_FEATURES = len(GROUPS) + 34
+N_FEATURES = len(GROUPS) + 36 + 2 * len(HINTS_OTHER)
 
 
 def features(page: Page) -> np.ndarray:
@@ -204,7 +212,8 @@ def features(page: Page) -> np.ndarray:
         marks[p] += marks[i]
     total = max(1, size[0])
     out = np.zeros((n, N_FEATURES))
-    up = [(0, 0, 0, 0)] * n  # hints and elements of the ancestors
+    up = [(0, 0, 0, 0, 0, 0)] * n  # hints and elements of the ancestors; the nearest hint and how far up it is
+    bits = range(len(HINTS_OTHER))
     k = len(GROUPS)
     rank = [0] * n
     for i, x in enumerate(nodes):
@@ -212,7 +221,7 @@ def features(page: Page) -> np.ndarray:
         if (g := _GROUP.get(x.tag)) is not None:
             row[g] = 1
         if i:
-            good, bad, inside, framed = up[x.parent]
+            good, bad, inside, framed, near, far = up[x.parent]
             p = nodes[x.parent]
             sib = p.children
             j = rank[i]
@@ -220,18 +229,24 @@ def features(page: Page) -> np.ndarray:
             after = size[sib[j + 1]] if j + 1 < len(sib) else 0
             same = sum(nodes[s].tag == x.tag for s in sib[max(0, j - 20) : j + 21])
         else:
-            good = bad = inside = framed = before = after = same = j = 0
+            good = bad = inside = framed = near = far = before = after = same = j = 0
             p, sib = x, [0]
-        up[i] = (good + x.good, bad + x.bad, inside or x.tag in ("article", "main"), framed or x.tag in ("nav", "aside", "footer", "form", "header"))
+        own = (x.good > 0) - (x.bad > 0)
+        if own or x.bad:
+            near, far = own, 0
+        else:
+            far += 1
+        up[i] = (good + x.good, bad | x.bad, inside or x.tag in ("article", "main"), framed or x.tag in ("nav", "aside", "footer", "form", "header"), near, far)
         for r, c in enumerate(x.children):
             rank[c] = r
         s = size[i]
         row[k:] = (
             x.depth, math.log1p(s), math.log1p(x.own), linked[i] / max(1, s), tags[i] / max(1.0, s / 100), s / max(1, runs[i]), marks[i] / max(1.0, s / 100),
             math.log1p(paras[i]), s / total, s / max(1, size[x.parent] if i else s), same, j / len(sib), len(sib), x.start / total, (x.start + s) / total,
-            math.log1p(before), math.log1p(after), x.good, x.bad, good, bad, inside, framed, x.hidden, bad_chars[i] / max(1, s),
-            p.bad, p.good, x.own / max(1, x.runs), p.tag in ("article", "main"), p.tag in ("div", "section"), math.log1p(size[x.parent] if i else s),
+            math.log1p(before), math.log1p(after), x.good, x.bad.bit_count(), good, bad.bit_count(), inside, framed, x.hidden, bad_chars[i] / max(1, s),
+            p.bad.bit_count(), p.good, x.own / max(1, x.runs), p.tag in ("article", "main"), p.tag in ("div", "section"), math.log1p(size[x.parent] if i else s),
             linked[x.parent if i else 0] / max(1, size[x.parent if i else 0]), paras[x.parent if i else 0] / max(1, runs[x.parent if i else 0]), bad + good + x.bad + x.good == 0,
+            near, far, *(bad >> b & 1 for b in bits), *(x.bad >> b & 1 for b in bits),
         )
     return out
 
@@ -248,16 +263,23 @@ def labels(page: Page) -> np.ndarray:
     return y
 
 
+# Text elements without a hint or much link text: below a kept node they are kept by this advantage in log-odds.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption".split())
+ADVANTAGE = 0.8
+
+
 def decode(page: Page, probability: np.ndarray) -> list[bool]:
     """Kept or dropped for every node, so that nothing below a dropped node is kept: the best labelling under that rule.
 
-    A node weighs by its own text; one without text has a small weight. Dropping a node drops its subtree.
+    A node weighs by its own text; one without text has a small weight. Dropping a node drops its subtree. Since a node
+    is kept only below a kept one, ``ADVANTAGE`` is the score of that edge.
     """
     nodes = page.nodes
     n = len(nodes)
     p = np.clip(probability, 1e-4, 1 - 1e-4)
     weight = np.array([math.log1p(x.own) if x.own else 0.3 for x in nodes])
-    keep, drop = (weight * np.log(p)).tolist(), (weight * np.log(1 - p)).tolist()
+    edge = np.array([ADVANTAGE * (x.tag in TEXT and not x.bad and 2 * x.linked <= x.own) for x in nodes])
+    keep, drop = (weight * (np.log(p) + edge)).tolist(), (weight * np.log(1 - p)).tolist()
     best = [False] * n
     for i in range(n - 1, -1, -1):  # children come after their parent
         best[i] = i == 0 or keep[i] > drop[i]

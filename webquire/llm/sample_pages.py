@@ -20,7 +20,8 @@ NAMES = {
     "aside": ["sidebar", "side", "widget", "rail", "secondary", "col-side", "widget-area", "related", "popular", "trending", "recommended", "more-stories"],
     "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "adsense", "promoted", "sponsor"],
     "notice": ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "modal", "subscribe", "disclaimer", "paywall-notice"],
-    "comments": ["comments", "comment-list", "discussion", "replies", "responses", "disqus", "reader-comments", "comment-thread", "reactions"],
+    "comments": ["comments", "comment-list", "discussion", "replies", "responses", "disqus", "reader-comments", "comment-thread", "reactions", "comments-area", "commentlist", "comment-section", "user-comments", "reviews"],
+    "title": ["entry-header", "post-header", "article-header", "title", "post-title", "entry-title", "headline", "story-header"],
     "footer": ["footer", "site-footer", "foot", "colophon", "bottom", "copyright", "legal", "page-footer"],
     "share": ["share", "social", "share-bar", "tags", "meta", "byline", "toolbar", "rating"],
 }
@@ -31,7 +32,7 @@ class Site:
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
-        self.bare = self.r.random() < 0.12  # no class names at all
+        self.bare = self.r.random() < 0.15  # no class names at all
         self.loose = self.r.random() < 0.3  # leaves out end tags of paragraphs and items
 
     def word(self) -> str:
@@ -45,7 +46,8 @@ class Site:
         return f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, 4)))}</a>'
 
     def named(self, kind: str, tag: str = "div", keep: str = "") -> str:
-        attrs = "" if self.bare else f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(NAMES[kind])}{self.r.choice(("", "", " " + self.word()))}"'
+        bare = self.bare and kind not in ("ad", "notice", "comments", "share")  # without a name these look like text
+        attrs = "" if bare else f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(NAMES[kind])}{self.r.choice(("", "", " " + self.word()))}"'
         return f"<{tag}{attrs}{keep and f' data-keep={keep}'}>"
 
     def paragraph(self, low: int, high: int) -> str:
@@ -106,9 +108,22 @@ class Site:
         return self.named("notice", self.r.choice(("div", "div", "section")), "0") + self.paragraph(5, 45) + self.r.choice(("", self.form(), self.link(), "<button>OK</button>")) + "</div>"
 
     def comments(self) -> str:
-        one = lambda: f"<div{'' if self.bare else ' class=comment'}><b>{self.word()}</b> {self.r.choice(('', '<time>1 May</time>'))}{self.paragraph(4, 70)}</div>"
+        def one() -> str:
+            tag = self.r.choice(("div", "div", "div", "article", "section"))
+            name = f' class="{self.r.choice(("comment", "comment-body", "reply", "comment-content", "post-comment"))}"'
+            who = self.r.choice((f"<b>{self.word()}</b>", f"<footer>{self.word()}</footer>", f"<h4>{self.word()}</h4>", f"<p>{self.word()} <time>1 May</time></p>"))
+            return f"<{tag}{name}>{who}" + "".join(self.paragraph(*self.r.choice(((1, 10), (10, 70), (40, 160)))) for _ in range(self.r.choice((1, 1, 2, 3)))) + f"</{tag}>"
+
         tag = self.r.choice(("section", "div"))
-        inside = "".join(one() for _ in range(self.r.randint(1, 6))) if self.r.random() < 0.6 else self.items(1, 6, lambda: self.words(1, 3) + self.paragraph(4, 60), "ol")
+        how = self.r.random()
+        if how < 0.5:
+            inside = "".join(one() for _ in range(self.r.randint(1, 6)))
+        elif how < 0.75:
+            inside = self.items(1, 6, lambda: self.words(1, 3) + self.paragraph(4, 100), self.r.choice(("ol", "ul")))
+        else:
+            inside = self.items(1, 5, one, "ol")
+        if self.r.random() < 0.3:
+            inside = self.named("comments") + inside + "</div>"
         return self.named("comments", tag, "0") + f"<h{(h := self.r.choice('23'))}>{self.words(1, 3)}</h{h}>" + inside + (self.form() if self.r.random() < 0.4 else "") + f"</{tag}>"
 
     def footer(self) -> str:
@@ -119,14 +134,16 @@ class Site:
         return self.named("share", "div", "0") + self.r.choice((self.items(2, 5, self.link), self.words(2, 6), self.link() + self.link())) + "</div>"
 
     def article(self) -> str:
-        title = f"<h1>{self.words(2, 14)}</h1>" if self.r.random() < 0.8 else ""
-        if title and self.r.random() < 0.25:
-            title = f"<header>{title}</header>"
+        title = f"<h1>{self.words(*self.r.choice(((1, 3), (2, 14))))}</h1>" if self.r.random() < 0.85 else ""
+        if title and self.r.random() < 0.35:
+            title = self.r.choice((f"<header>{title}</header>", self.named("title") + title + "</div>", self.named("title", "header") + title + "</header>"))
         blocks = [self.block() for _ in range(self.r.choice((1, 2, 3, 5, 8, 12, 18)))]
         plain = self.r.random() < 0.4
         for make, chance in ((self.ad, 0.35), (self.share, 0.35), (self.aside, 0.2), (self.notice, 0.2), (self.nav, 0.1)):
             if not plain and self.r.random() < chance:
                 blocks.insert(self.r.randint(0, len(blocks)), make())
+        if not plain and self.r.random() < 0.15:
+            blocks.append(self.comments())
         body = title + "".join(blocks)
         tag = self.r.choice(("article", "article", "div", "div", "section", "main"))
         if tag == "article" and self.r.random() < 0.6:
@@ -137,7 +154,7 @@ class Site:
 
     def page(self) -> str:
         parts = [self.article()] if self.r.random() < 0.96 else []
-        if self.r.random() < 0.35:
+        if self.r.random() < 0.45:
             parts.append(self.comments())
         if self.r.random() < 0.4:
             parts.insert(self.r.choice((0, len(parts))), self.aside())
@@ -146,8 +163,8 @@ class Site:
                 parts.insert(self.r.randint(0, len(parts)), make())
         inner = "".join(parts)
         for _ in range(self.r.choice((0, 0, 1, 1, 2, 3))):
-            inner = self.r.choice((self.named("wrap"), self.named("main"), "<div>", "<main>")) + inner
-            inner += "</main>" if inner.startswith("<main>") else "</div>"
+            inner = self.r.choice((self.named("wrap"), self.named("main"), self.named("main"), "<div>", "<main>", self.named("main", "main"))) + inner
+            inner += "</main>" if inner.startswith("<main") else "</div>"
         top = (self.header() if self.r.random() < 0.6 else "") + (self.nav() if self.r.random() < 0.6 else "")
         top += (self.ad() if self.r.random() < 0.3 else "") + (self.notice() if self.r.random() < 0.25 else "")
         end = (self.aside() if self.r.random() < 0.25 else "") + (self.notice() if self.r.random() < 0.15 else "") + (self.footer() if self.r.random() < 0.8 else "")
