@@ -100,11 +100,12 @@ def test_crawl_edges(spark):
     assert [(r.url, r.status) for r in again.orderBy("crawl_order").collect()] == [("https://s.test/d/4", "ok"), ("https://s.test/gone", "error")]
 
 
-def test_report_roundtrip(spark, tmp_path):
+def test_report_roundtrip(spark, tmp_path, monkeypatch):
     rows = [("crawl", f"u{i}", "error" if i % 3 == 0 else "ok", "bad" if i % 3 == 0 else None) for i in range(10)] + [("convert", "f", "ok", None)]
     outcomes = spark.createDataFrame(rows, "step string, url string, status string, error string").withColumn("time", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
     for size in (100, 3):
-        reports = build_report(outcomes, items_per_report=size)
+        monkeypatch.setattr("webquire.operators.report.PAGE_ITEMS", size)
+        reports = build_report(outcomes)
         write_report(reports, str(tmp_path / f"r{size}"))
         back = read_report(spark, str(tmp_path / f"r{size}"))
         assert sorted(map(tuple, report_items(back).drop("time").collect()), key=repr) == sorted(rows, key=repr)
@@ -123,7 +124,7 @@ def test_files_and_archives(spark, tmp_path):
             z.writestr("x/../../up.html", "no")
             z.writestr("note.txt", "no")
     got = sorted(map(tuple, read_zip(spark, str(tmp_path)).collect()))
-    assert got == [("one.zip", "x/p.html", "one"), ("two.zip", "x/p.html", "two")]
+    assert got == [("one.zip", "x/p.html", "one", None), ("two.zip", "x/p.html", "two", None)]
     write_docs(spark.createDataFrame([("h1", "a"), ("h2", "b")], "host string, doc string"), str(tmp_path / "docs"))
     assert spark.read.parquet(str(tmp_path / "docs")).count() == 2
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from webquire.operators import html as H
 from webquire.operators import report as R
-from webquire.operators.packing import assign_parts
+from webquire.operators.packing import assign_parts, placed_texts
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl, crawl_retry, retry_report
+from webquire.session import clear_work, cut
 from webquire.sources.readers import read_markdown, read_zip
+from webquire.sources.writers import write_parts
 
 RUN = "2026-01-01"
 
@@ -59,6 +61,21 @@ def test_groups_with_equal_paths_stay_apart(spark):
     assert {(p.grp, p.files, p.content) for p in parts} == {("x", 1, "a one"), ("y", 1, "b two")}
 
 
+def test_parts_are_streamed_as_they_are_joined(spark, tmp_path):
+    docs = spark.range(300).select(F.format_string("%04d.md", F.col("id") % 150).alias("path"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("content"), (F.col("id") % 2).cast("string").alias("g"))
+    docs = docs.dropDuplicates(["g", "path"])
+    for cap in (None, 40):
+        done = combine(docs, cap, "g")
+        write_parts(placed_texts(docs, done.assigned, cap, group_by="g"), str(tmp_path / str(cap)))
+        assert {(r.path, r.content) for r in read_markdown(spark, str(tmp_path / str(cap))).collect()} == {(f"{p.grp}/{p.file}", p.content) for p in done.parts.collect()}
+
+
+def test_work_folders_can_be_cleared(spark):
+    clear_work(spark)
+    kept = cut(spark.range(3), "x")
+    assert kept.count() == 3 and clear_work(spark) == 1 and clear_work(spark) == 0
+
+
 def test_packing_without_a_cap_over_many_blocks(spark):
     docs = spark.range(20_000).select(F.format_string("%06d.md", "id").alias("path"), F.lit(3).alias("words"), F.lit("g").alias("grp")).repartition(8)
     for cap, parts in ((None, 1), (3_000, 20), (10**9, 1), (2, 20_000)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ def page_links(html: ColumnOrName, base: ColumnOrName) -> Column:
     return F.array_distinct(let(base, resolved))
 
 
-def extract_links(pages: DataFrame, url: str = "url", html: str = "html", final_url: str | None = None) -> DataFrame:
-    """``(src_url, dst_url, pos)``: one row per distinct link of a page.
+def extract_links(
+    pages: DataFrame, url: str = "url", html: str = "html", final_url: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(src_url, dst_url, pos, *keep)``: one row per distinct link of a page.
 
     ``src_url`` is the page's normalised URL; links resolve against ``final_url``
     where it is set.  ``pos`` counts the page's distinct links from 0.
@@ -36,12 +40,12 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", final_
     base = F.coalesce(F.col(final_url), normal) if final_url else normal
     return (
         pages.filter(F.col(html).isNotNull())
-        .select(normal.alias("src_url"), base.alias("base"), F.col(html).alias("html"))
+        .select(normal.alias("src_url"), base.alias("base"), F.col(html).alias("html"), *keep)
         .filter(F.col("src_url").isNotNull())
         # the outer form, because the inner one makes the optimizer evaluate the array three times
-        .select("src_url", F.posexplode_outer(page_links("html", "base")).alias("pos", "dst_url"))
+        .select("src_url", F.posexplode_outer(page_links("html", "base")).alias("pos", "dst_url"), *keep)
         .filter(F.col("pos").isNotNull())
-        .select("src_url", "dst_url", "pos")
+        .select("src_url", "dst_url", "pos", *keep)
     )
 
 

@@ -215,7 +215,7 @@ def assign_parts(
     return blocks.mapInPandas(partial(_fold, cap=cap, entry=entry), ASSIGNED)
 
 
-def parts_of(
+def placed_texts(
     docs: DataFrame,
     assigned: DataFrame,
     max_words: int | None = DEFAULT_MAX_WORDS,
@@ -224,25 +224,41 @@ def parts_of(
     content: str = "content",
     group_by: Column | str | None = None,
 ) -> DataFrame:
-    """``(grp, part, file, words, files, content)``: the text of every part.
+    """``(grp, part, seq, file, words, content)``: each shown document with the file that it goes to.
 
-    Paths are unique within a group, so content meets its assignment by both.  It
-    moves twice: to its assignment, and to its part, which holds no more than the cap
-    (or one over-size document).
+    Paths are unique within a group, so content meets its assignment by both.
     """
     cap = effective_cap(max_words)
     totals = assigned.groupBy("grp").agg((F.sum("words") > cap).alias("split"))
     shown = assigned.filter(~F.col("leading")).join(totals, "grp")
     text = docs.select(_group(group_by).alias("grp"), F.col(path).alias("path"), F.col(content).alias("content"))
+    file = part_path(F.lit(output), F.col("part"), F.col("split"))
+    return text.join(shown, ["grp", "path"]).select("grp", "part", "seq", file.alias("file"), "words", "content")
+
+
+def parts_of(
+    docs: DataFrame,
+    assigned: DataFrame,
+    max_words: int | None = DEFAULT_MAX_WORDS,
+    output: str = "combined.md",
+    path: str = "path",
+    content: str = "content",
+    group_by: Column | str | None = None,
+) -> DataFrame:
+    """``(grp, part, file, words, files, content)``: the text of every part as one row.
+
+    Content moves twice: to its assignment, and to its part.  For parts that are large in
+    bytes, or without a cap, ``sources.writers.write_parts`` writes the files as streams.
+    """
     return (
-        text.join(shown, ["grp", "path"])
-        .groupBy("grp", "part", "split")
+        placed_texts(docs, assigned, max_words, output, path, content, group_by)
+        .groupBy("grp", "part", "file")
         .agg(
             F.sum("words").alias("words"),
             F.count("*").alias("files"),
             F.expr(f"listagg(content, {SEPARATOR!r}) within group (order by seq)").alias("content"),
         )
-        .select("grp", "part", part_path(F.lit(output), F.col("part"), F.col("split")).alias("file"), "words", "files", "content")
+        .select("grp", "part", "file", "words", "files", "content")
     )
 
 

@@ -19,9 +19,9 @@ from webquire.operators import report as R
 from webquire.plans.build import build_corpus
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl, crawl_retry, retry_report, seeds
-from webquire.session import work_path
+from webquire.session import qualified, work_path
 from webquire.sources.readers import read_html, read_markdown, read_pages, read_report, read_zip
-from webquire.sources.writers import write_docs, write_files, write_report
+from webquire.sources.writers import write_docs, write_files, write_parts, write_report
 from webquire.streaming.streams import stream_convert, stream_links
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -178,7 +178,7 @@ def files_zip(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.col("page_id").cast("string"), F.lit("/index.HTML")).alias("path"),
         "html",
     )
-    named.repartition("archive").sortWithinPartitions("archive").foreachPartition(lambda rows: _zip_rows(rows, out))
+    named.repartition("archive").sortWithinPartitions("archive").foreachPartition(lambda rows, place=qualified(spark, out): _zip_rows(rows, place))
     return read_zip(spark, out).select("path", "content")
 
 
@@ -189,7 +189,7 @@ def _zip_rows(rows, out: str) -> None:
 
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (fs.LocalFileSystem(), out)
+    store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
     for archive, group in itertools.groupby(rows, key=lambda r: r["archive"]):
         draft = f"{root}/{archive}.{uuid.uuid4().hex}.tmp"
@@ -211,8 +211,8 @@ def docs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parts_files(spark: SparkSession, sf: str) -> DataFrame:
     out = work_path(spark, "parts")
-    parts = combine(documents(spark, sf), 50_000).parts
-    write_files(parts, out, path="file")
+    docs = documents(spark, sf)
+    write_parts(P.placed_texts(docs, combine(docs, 50_000).assigned, 50_000), out)
     return read_markdown(spark, out).select(F.col("path").alias("file"), T.word_count("content").alias("all_words"))
 
 
@@ -660,6 +660,16 @@ def stream_converted(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select("page_id", "path", "markdown", "status", "error")
 
 
+@query
+def stream_recent_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with bounded state; one batch, so all links are within the delay."""
+    out, state = work_path(spark, "stream"), work_path(spark, "state")
+    timed = page_stream(spark, sf).withColumn("seen", F.to_timestamp(F.lit(RUN_TIME)))
+    links = stream_links(timed, event_time="seen", delay="1 hour").select("dst_url")
+    links.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query
 def stream_first_links(spark: SparkSession, sf: str) -> DataFrame:
     out, state = work_path(spark, "stream"), work_path(spark, "state")

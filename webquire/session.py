@@ -23,23 +23,47 @@ def local_session(cores: int | str = "*", app: str = "webquire", partitions: int
     )
 
 
+# folders that this process has named, by application
+_named: dict[str, list[str]] = {}
+
+
 def _work_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own.
+    Only a local master without that setting gets a folder of its own, below
+    ``WEBQUIRE_WORK`` if that is set, else in the system's temporary folder.
     """
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webquire-"))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webquire-", dir=os.environ.get("WEBQUIRE_WORK")))
     return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{_work_root(spark).rstrip('/')}/webquire/{name}-{uuid.uuid4().hex}"
+    path = f"{_work_root(spark).rstrip('/')}/webquire/{name}-{uuid.uuid4().hex}"
+    _named.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the folders below the shared one that this application has made so far; how many there were.
+
+    For the end of a job: results that still read from them are lost.
+    """
+    paths, jvm = _named.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return sum(bool((p := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(conf).delete(p, True)) for path in paths)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the file system that Spark takes it for, without a slash at the end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = str(place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place)).rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquire.operators.report import REPORT
+from webquire.session import qualified
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,13 +24,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BATCH_BYTES = 64 << 20
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with its file system, without a slash at the end, as the file names of a scan have it."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return str(place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place)).rstrip("/")
-
-
 def _relative(path: Column, root: str) -> Column:
     """``path`` below the qualified ``root``; both without the marks that only some file systems add."""
     bare = lambda p: F.regexp_replace(p, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/]*)?", "")
@@ -44,7 +38,7 @@ def _read_tree(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .load(path)
     )
-    return files.select(_relative(F.col("path"), _qualified(spark, path)).alias("path"), F.col("content").cast("string").alias("content"))
+    return files.select(_relative(F.col("path"), qualified(spark, path)).alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:

@@ -54,13 +54,19 @@ def stream_convert(
     )
 
 
-def stream_links(pages: DataFrame, seed: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def stream_links(
+    pages: DataFrame, seed: str | None = None, url: str = "url", html: str = "html", event_time: str | None = None, delay: str = "1 day"
+) -> DataFrame:
     """First-seen link targets of a stream of pages, in the seed's scope if one is given.
 
     Extraction and filtering are row-local; the only state is the set of distinct
-    targets, hash-partitioned by target (keep it in RocksDB for large crawls).
+    targets, hash-partitioned by target (keep it in RocksDB for large crawls).  It grows
+    with the targets.  With ``event_time`` it is bounded: a target is known for at least
+    ``delay`` after it was seen, and its time is handed on.
     """
-    links = extract_links(pages, url, html)
+    links = extract_links(pages, url, html, keep=[event_time] if event_time else [])
     if seed:
         links = scope_filter(links, seed)
+    if event_time:
+        return links.select("dst_url", event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dst_url"])
     return links.select("dst_url").dropDuplicates(["dst_url"])
