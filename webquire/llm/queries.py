@@ -33,6 +33,30 @@ def op1_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return quality_cascade(table(spark, sf, "documents")).drop("rejected_by", "n_rules_run")
 
 
+LLM_ORACLES["op1_quality_cascade"] = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+u as (select doc_id, unnest(range(len(w))) as i, unnest(w) as x from w),
+t as (select *, lead(x, 1) over (partition by doc_id order by i) as y, lead(x, 2) over (partition by doc_id order by i) as z from u),
+c as (select doc_id, i, count(*) over (partition by doc_id, x, y, z) as n from t where z is not null),
+r as (select doc_id, count(distinct i + k) as n_repeat_words from c, range(3) three(k) where n > 1 group by doc_id),
+m as (select doc_id, max(n) as most from (select doc_id, x, count(*) as n from u group by all) group by doc_id),
+l as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+b as (
+  select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(most, 0) as most,
+         len(regexp_extract_all(text, '\p{Lu}')) as upper_letters, len(regexp_extract_all(text, '\p{L}')) as letters, len(regexp_extract_all(text, '!')) as marks
+  from w left join l on w.doc_id = l.doc_id left join r on w.doc_id = r.doc_id left join m on w.doc_id = m.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 2 * word_chars < 5 * n_words or 2 * word_chars > 24 * n_words
+            or 2 * n_dup_lines > n_lines or 2 * upper_letters > word_chars or 2 * marks > n_words or 2 * letters < word_chars or 2 * most > n_words) as kept
+from b
+"""
+
+
 @query
 def op4_warc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The archives are read back; what is stored once is known from the records alone."""
@@ -119,3 +143,32 @@ def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_dom_boosting(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# The benchmark holds no digits, so words with digits match nothing here and units do not occur.
+LLM_ORACLES["op6_template_decontamination"] = r"""
+with words(doc, item, x, i) as (
+  select doc_id, null, unnest(w), unnest(range(len(w))) from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)
+  union all select null, item_id, unnest(w), unnest(range(len(w))) from (select distinct item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from benchmark)),
+bare as (
+  select *, regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+([\p{L}\p{N}])', '\1'), '([\p{L}\p{N}])[^\p{L}\p{N}]+$', '\1') as b, lower(regexp_replace(x, '[^\p{L}\p{N}%]', '', 'g')) as v
+  from words),
+tok as (select *, lower(regexp_replace(b, '(^|[^\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]*', '\1' || chr(57345), 'g')) as t from bare),
+win as (
+  select doc, item, i, string_agg(t, ' ') over eight as h, list(v) over eight as vs, list(contains(t, chr(57345))) over eight as slots, count(*) over eight as n
+  from tok window eight as (partition by doc, item order by i rows between current row and 7 following)),
+own as (
+  select item, h, min(i) as k, arg_min(vs, i) as vs, any_value(slots) as slots from win
+  where item is not null and n = 8 and len(list_filter(slots, lambda s: not s)) >= 3 group by item, h),
+total as (select item, count(*) as n_windows from own group by item),
+hit as (select w.doc, o.item, w.i - o.k as pos, o.k, o.slots, o.vs as item_vs, w.vs as doc_vs from win w join own o on w.h = o.h where w.doc is not null and w.n = 8),
+pair as (select distinct doc, item, pos, a, b from (select *, unnest(item_vs) as a, unnest(doc_vs) as b, unnest(slots) as s from hit) where s),
+fit as (select doc, item, pos, count(distinct a) = count(*) and count(distinct b) = count(*) as one_to_one, count(*) filter (a <> b) as n_changed from pair group by all),
+place as (
+  select h.doc, h.item, h.pos, count(distinct k) as n_matched, any_value(coalesce(one_to_one, true)) as one_to_one, any_value(coalesce(n_changed, 0)) as n_changed
+  from hit h left join fit f on h.doc = f.doc and h.item = f.item and h.pos = f.pos group by all),
+best as (
+  select p.*, n_windows, row_number() over (partition by doc, p.item order by n_matched desc, n_changed, pos) as nth
+  from place p join total t on p.item = t.item where one_to_one and (n_matched >= 0.5 * n_windows or n_matched >= 6))
+select doc as doc_id, item as item_id, n_matched, n_windows, pos::int as "at", n_changed::int as n_changed from best where nth = 1
+"""

@@ -135,7 +135,9 @@ def write_shards(
     counts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     n = sum(r["n"] for r in counts)
     starts = np.cumsum([0] + [r["n"] for r in counts]).tolist()
-    offset = {r["part"]: s for r, s in zip(counts, starts)}
+    first = np.zeros(max((r["part"] for r in counts), default=-1) + 1, dtype=np.int64)
+    first[[r["part"] for r in counts]] = starts[:-1]
+    offsets = spark.sparkContext.broadcast(first)  # eight bytes per partition
     placed = StructType.fromDDL("shard int, slot long, part int, seq long, n_tokens int, docs array<struct<id:long,start:int,n:int>>, packed binary")
     placed_arrow, index_arrow = to_arrow_schema(placed), to_arrow_schema(StructType.fromDDL(INDEX))
     stride = length * TOKEN.itemsize
@@ -143,9 +145,7 @@ def write_shards(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for b in batches:
-            part = b.column("part").to_numpy()
-            index = np.array([offset[p] for p in part.tolist()], dtype=np.int64) + b.column("seq").to_numpy()
-            slot = permute(index, n, key)
+            slot = permute(offsets.value[b.column("part").to_numpy()] + b.column("seq").to_numpy(), n, key)
             packed = pa.array([press.compress(t.as_buffer()) for t in b.column("tokens")], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array((slot // shard_records).astype(np.int32)), pa.array(slot), b.column("part"), b.column("seq"), b.column("n_tokens"), b.column("docs"), packed], schema=placed_arrow)
 
