@@ -81,8 +81,11 @@ def select_terms(rows: list[np.ndarray], labels: np.ndarray, min_z: float, max_t
     return np.sort(best[z[best] >= min_z])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 2_400, rate: float = 0.3, l2: float = 1e-5, l2_pairs: float = 3e-4, min_z: float = MIN_Z, max_terms: int = MAX_TERMS, seed: int = 5) -> Machine:
-    """Fit by Adagrad on the logistic loss. One class only gives its base rate; no rows give 0."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 2_400, rate: float = 0.3, l2: float = 1e-5, l2_pairs: float = 3e-4, min_z: float = MIN_Z, max_terms: int = MAX_TERMS, positive: float = 2.0, seed: int = 5) -> Machine:
+    """Fit by Adagrad on the logistic loss, where a row of class 1 counts ``positive`` times.
+
+    One class only gives its base rate; no rows give a score near 0.
+    """
     if not len(labels) or labels.min() == labels.max():
         rate_of = (labels.sum() + 1e-3) / (len(labels) + 1) if len(labels) else 1e-6
         return Machine({}, float(np.log(rate_of / (1 - rate_of))), np.zeros(0), np.zeros((0, factors)))
@@ -104,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, step
             np.add.at(q, row, v[flat] ** 2)
             np.add.at(lin, row, w[flat])
             z = bias + lin + 0.5 * (s**2 - q).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * np.where(labels[part] == 1, positive, 1.0) / len(part)
             dw, dv = l2 * w, l2_pairs * v
             np.add.at(dw, flat, g[row])
             np.add.at(dv, flat, g[row, None] * (s[row] - v[flat]))
