@@ -15,6 +15,7 @@ def check(spark, rows, schema, column):
     assert [(r[:-2], r.got) for r in got] == [(r[:-2], r.want) for r in got]
 
 
+# fixed values: the inputs and results of the next tests that are given by what has to be matched
 def test_normalize(spark):
     check(spark, [
         ("https://example.com/docs", "https://example.com/docs"),

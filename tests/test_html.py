@@ -7,6 +7,7 @@ from webquire.operators.html import html_attrs, html_text, html_tokens, main_con
 from webquire.operators.links import extract_links
 from webquire.operators.markdown import convert
 
+# fixed values: words and links of the small pages, given by what has to be matched
 RICH = """<html><head><title>T</title></head><body><nav>Navigation</nav><!-- <main>no</main> --><script>"<main>"</script>
 <main>
   <article>

@@ -1,7 +1,8 @@
 """Breadth-first crawl of a page store.
 
-The store's HTML is read once: the edges of the pages in scope are written as a
-narrow table, and the levels work on that alone.  Each level is written to the
+The store's HTML is parsed once: what the pages in scope are and where they point is
+written as narrow tables, and the levels work on those alone.  Under a page budget each
+level parses its own pages.  Each level is written to the
 shared checkpoint folder, so lineage stays flat and lost executors cost one
 level at most.
 """
@@ -58,19 +59,29 @@ def crawl(
 
     # only pages of the seed's own scope can be reached, so only their HTML is parsed
     reachable = scope_filter(pages.withColumn("_url", normalize_url(url)), seed, "_url").drop("_url")
-    # one pass over the HTML leaves what each page is and where it points; the rest works on that
-    graph = cut(link_table(reachable, url, html, final_url, error), "graph")
-    found = graph.select(F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "dst_url")).filter(F.col("pos").isNotNull())
-    edges = cut(scope_filter(found, seed).groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "edges")
+
+    def edges_of(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What each page is and where it points within the scope: one pass over its HTML."""
+        graph = cut(link_table(some, url, html, final_url, error), "graph")
+        found = graph.select(F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "dst_url")).filter(F.col("pos").isNotNull())
+        return graph, scope_filter(found, seed).groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos"))
+
+    # Without a budget every page in scope may be reached: all are parsed at once.  With one, a level
+    # parses its own pages only; scanning the store for few pages costs far less than parsing it.
+    budget = max_pages > 0
+    graph, edges = (None, None) if budget else edges_of(reachable)
+    edges = None if edges is None else cut(edges, "edges")
 
     depth, used, last_seq = 0, 1, None
-    while not (max_pages > 0 and used >= max_pages) and (max_depth is None or depth < max_depth):
+    while not (budget and used >= max_pages) and (max_depth is None or depth < max_depth):
         # all levels so far are one table, however many there are
         visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
+        front = visited.filter(F.col("depth") == depth).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"))
+        if budget:
+            here = reachable.withColumn("src_url", normalize_url(url)).join(front, "src_url", "left_semi").drop("src_url")
+            edges = edges_of(here)[1]
         found = (
-            visited.filter(F.col("depth") == depth)
-            .select(F.col("url").alias("src_url"), F.col("seq").alias("parent"))
-            .join(edges, "src_url")
+            front.join(edges, "src_url")
             .groupBy(F.col("dst_url").alias("url"))
             .agg(F.min(F.struct("parent", "pos")).alias("first"))
         )
@@ -82,7 +93,7 @@ def crawl(
         level.write.parquet(f"{walked}/depth={depth}")
         sizes = partition_sizes(spark.read.schema(LEVEL).parquet(f"{walked}/depth={depth}"), "seq")
         size = sum(sizes.values())
-        if max_pages > 0 and used + size > max_pages:
+        if budget and used + size > max_pages:
             last_seq = nth_row_id(sizes, max_pages - used)
         used += size
         if not size:
@@ -91,7 +102,11 @@ def crawl(
     if last_seq is not None:
         visited = visited.filter((F.col("depth") < depth) | (F.col("seq") <= last_seq))
     order = ranked(visited, "depth", "seq", name="walk").df.withColumnRenamed("rank", "crawl_order")
-    return with_status(order.select("url", "depth", "crawl_order"), store_status(graph, "url", "has_html", "stored_error", normal=True))
+    order = order.select("url", "depth", "crawl_order")
+    if budget:
+        here = reachable.withColumn("_url", normalize_url(url)).join(order.select(F.col("url").alias("_url")), "_url", "left_semi").drop("_url")
+        return with_status(order, store_status(here, url, html, error))
+    return with_status(order, store_status(graph, "url", "has_html", "stored_error", normal=True))
 
 
 def retry_report(pages: DataFrame, reports: DataFrame, step: str = "crawl", max_pages: int = 0, url: str = "url", html: str = "html", error: str | None = None) -> DataFrame:
