@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webquire.operators import html as H
 from webquire.operators import report as R
+from webquire.operators.links import link_edges
 from webquire.operators.packing import assign_parts, placed_texts
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl, crawl_retry, retry_report
@@ -55,6 +56,29 @@ def test_redirected_page_resolves_against_its_final_url(spark):
     assert {r.url for r in crawl(pages, "http://a.test/docs", final_url="final_url").collect()} == {"http://a.test/docs", "http://a.test/docs/v2/p"}
 
 
+def test_one_target_on_most_links_is_split(spark):
+    pages = spark.range(3_000).select(
+        F.concat(F.lit("http://a.test/p"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit('<a href="/p1">home</a><a href="/p'), ((F.col("id") * 7) % 3_100).cast("string"), F.lit('">x</a>')).alias("html"),
+    ).repartition(8)
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        edges = link_edges(pages)
+        got = {(r.src_url, r.dst_url): r.in_store for r in edges.collect()}
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = {}
+    for i in range(3_000):
+        for j in (1, i * 7 % 3_100):
+            expected[f"http://a.test/p{i}", f"http://a.test/p{j}"] = j < 3_000
+    assert got == expected and "skew=true" in plan
+
+
 def test_groups_with_equal_paths_stay_apart(spark):
     docs = spark.createDataFrame([("index.md", "a one", "x"), ("index.md", "b two", "y")], "path string, content string, grp string")
     parts = combine(docs, 100, "grp").parts.collect()

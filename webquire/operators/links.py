@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webquire.functions.text import ColumnOrName, _col, by_name
 from webquire.functions.urls import cache_key, in_scope, is_http, let, normalize_url, resolve_href
 from webquire.operators.html import WS, attribute, token_array
+from webquire.session import cut
 
 
 @by_name
@@ -55,14 +56,14 @@ def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html", final_url: str | None = None) -> DataFrame:
-    """Whole-graph edge list ``(src_url, dst_url, pos, in_store)``."""
+    """Whole-graph edge list ``(src_url, dst_url, pos, in_store)``.
+
+    The store's URLs are written first: with a plain table on that side, adaptive
+    execution can split the links to a target that most pages point to.
+    """
     links = extract_links(pages, url, html, final_url)
-    stored = (
-        pages.select(normalize_url(url).alias("dst_url"))
-        .filter(F.col("dst_url").isNotNull())
-        .distinct()
-        .withColumn("in_store", F.lit(True))
-    )
+    known = pages.select(normalize_url(url).alias("dst_url")).filter(F.col("dst_url").isNotNull()).distinct()
+    stored = cut(known, "stored").withColumn("in_store", F.lit(True))
     return links.join(stored, "dst_url", "left").select(
         "src_url", "dst_url", "pos", F.coalesce("in_store", F.lit(False)).alias("in_store")
     )
