@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import posixpath
-import re
 import sys
 import zipfile
 import zlib
