@@ -223,6 +223,32 @@ def test_line_templates(spark):
     assert [r.n_dropped for r in got] == [0, 1, 1, 0, 0, 0, 0] and [r.n_lines for r in got] == [3, 2, 2, 1, 0, 1, 2]
 
 
+def test_clusters_against_a_full_scan(spark):
+    """The index over positions finds the template that comparing with all of them finds."""
+    r = random.Random(4)
+    rows = []
+    for leaf in range(3):
+        for v in range(250):
+            size = 6 + 4 * leaf
+            rows.append((leaf, 0, v, " ".join(["<*>" if r.random() < 0.1 else r.choice("abcde"[: 2 + leaf]) for _ in range(size)]), r.randint(1, 5)))
+    schema = "leaf long, block long, v long, words string, n long"
+    got = {(x.leaf, x.v): x.t for x in lt.generalise(spark.createDataFrame(rows, schema)).collect()}
+    expected = {}
+    for leaf in range(3):
+        templates = []
+        for _, _, v, words, n in sorted((x for x in rows if x[0] == leaf), key=lambda x: (-x[4], x[3], x[2])):
+            w = words.split(" ")
+            scores = [sum(a == b for a, b in zip(t, w)) for _, t in templates]
+            if scores and 100 * max(scores) >= lt.SIMILARITY * len(w):
+                k = scores.index(max(scores))
+                templates[k] = templates[k][0], [a if a == b else "<*>" for a, b in zip(templates[k][1], w)]
+                expected[leaf, v] = templates[k][0]
+            else:
+                templates.append((v, w))
+                expected[leaf, v] = v
+    assert got == expected and len(set(got.values())) < len(got)
+
+
 def test_line_templates_exact_lines(spark):
     """Equal lines of different documents always go, whatever else is in their leaf."""
     docs = table(spark, "documents")

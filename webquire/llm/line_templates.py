@@ -29,7 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEADING = 4
 # Shorter lines are no template and stay.
 MIN_WORDS = 4
-SIMILARITY = 0.7
+# Share of equal words, in percent.
+SIMILARITY = 70
 MIN_DOCS = 2
 BLOCK = 2_000
 FIELD = "<*>"
@@ -57,10 +58,17 @@ def generalise(groups: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, templates, rows = None, [], []  # templates: name and words
+        places: dict[tuple[int, str], list[int]] = {}  # templates by the word at a position
 
         def close() -> None:
             rows.extend((key[0], t, t, " ".join(words)) for t, words in templates)
             templates.clear()
+            places.clear()
+
+        def candidates(words: list[str], need: int) -> list[int]:
+            """Templates that can share ``need`` words: of any ``len - need + 1`` positions one must agree, so the rarest do."""
+            found = sorted((places.get(p, ()) for p in enumerate(words)), key=len)[: len(words) - need + 1]
+            return sorted({i for part in found for i in part})
 
         for batch in batches:
             for leaf, block, v, words in zip(*(batch.column(c).to_pylist() for c in ("leaf", "block", "v", "words"))):
@@ -71,16 +79,21 @@ def generalise(groups: DataFrame) -> DataFrame:
                     if len(rows) >= 20_000:
                         yield from flush(rows, arrow)
                 words = words.split(" ")
-                best, most = None, SIMILARITY * len(words)
-                for i, (_, template) in enumerate(templates):
-                    same = sum(map(str.__eq__, template, words))
+                best, most = None, -(-len(words) * SIMILARITY // 100)
+                for i in candidates(words, most):
+                    same = sum(map(str.__eq__, templates[i][1], words))
                     if same >= most and (best is None or same > most):
                         best, most = i, same
                 if best is None:
+                    for p in enumerate(words):
+                        places.setdefault(p, []).append(len(templates))
                     templates.append((v, words))
                 else:
                     t, template = templates[best]
-                    templates[best] = t, [a if a == b else FIELD for a, b in zip(template, words)]
+                    for i, (a, b) in enumerate(zip(template, words)):
+                        if a != b and a != FIELD:
+                            template[i] = FIELD
+                            places.setdefault((i, FIELD), []).append(best)
                     rows.append((leaf, v, t, None))
         if key is not None:
             close()
@@ -99,11 +112,13 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> tup
     leaves = lines.groupBy("leaf").agg(some.alias("a"), other.alias("b"), F.bool_or(F.col("doc").isNull()).alias("z")).where("a <> b or (z and a is not null)")
     leaves = cut(leaves.select(F.col("leaf").alias("l")), "line-leaves")
     shared = lines.join(small(leaves, leaves.count()), F.col("leaf") == F.col("l"), "left_semi")
+    # another number for the leaf: grouping deals the rows anew, so the join may split a hot leaf
+    shared = shared.select("doc", F.bitwise_not("leaf").alias("leaf"), "v", "words")
     at = cut(shared.groupBy("leaf", "v", "doc").agg(F.count(F.lit(1)).alias("n")).select("leaf", "v", "doc"), "line-docs")
     texts = shared.groupBy("leaf", "v").agg(F.first("words").alias("words"))
     counts = at.groupBy(F.col("leaf").alias("l"), F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc"))
     variants = cut(texts.join(counts, (F.col("leaf") == F.col("l")) & (F.col("v") == F.col("x"))).select("leaf", "v", "words", "n", "first_doc"), "line-variants")
-    sizes = variants.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = cut(variants.groupBy(F.col("leaf").alias("l")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "line-sizes")
     blocked = variants.join(sizes, F.col("leaf") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     first = cut(generalise(blocked), "line-templates")
     of_first = first.groupBy(F.col("leaf").alias("l"), F.col("t").alias("x")).agg(F.count(F.lit(1)).alias("n"))
