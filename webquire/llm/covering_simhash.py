@@ -155,7 +155,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: for every node of an edge the smallest node of its component.
 
     Large-star and small-star rounds (logarithmic in practice), each a written table. A round needs only minima and
-    joins on narrow rows; a node with very many edges is spread by AQE's skew join.
+    joins on narrow rows; the minima are written too, so that AQE's skew join can split a node with very many edges.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
     before = None
@@ -163,10 +163,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
         # every neighbour above a node moves to the node's smallest neighbour
         both = now.select("u", "v").union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "x")
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "x"), "cc-low")
         large = both.join(low, both["u"] == low["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every smaller neighbour, and the node itself, moves to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        large = cut(large, "cc-large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"), "cc-least")
         moved = large.join(least, large["u"] == least["x"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(moved.union(least.select("x", "m")).where("u <> v").distinct(), "cc")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select("v", "v").distinct())
@@ -178,7 +179,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     classes = cut(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-classes")
     of = components(link_forest(classes.select("fp"), radius))
     linked = cut(classes.join(of, classes["fp"] == of["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    names = linked.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
+    names = cut(linked.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")), "simhash-names")
     named = linked.join(names, linked["root"] == names["r"]).select(F.col("fp").alias("f"), "root", "component_id")
     return rows.join(named, rows["fp"] == named["f"]).select(id_col, "fp", "root", "component_id")
 
