@@ -32,7 +32,7 @@ MIN_WORDS = 4
 # Share of equal words, in percent.
 SIMILARITY = 70
 MIN_DOCS = 2
-BLOCK = 2_000
+BLOCK = 256
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
