@@ -155,6 +155,14 @@ def test_decontamination_finds_all_copies(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {d for d, _ in got}
 
 
+def test_decontamination_judges_changed_slots_alone(spark):
+    """A repeated slot value of which one became another does not hide the copy."""
+    item = "The boat left the harbour at dawn with 5 men and came back at dusk. The men had 5 fish to sell"
+    texts = [item.replace(". The", ". This"), item.replace("5 fish", "6 fish"), item.replace("5 men", "7 men").replace("5 fish", "6 fish")]
+    got = hits(spark, texts, [(1, item)])
+    assert got[0, 1] == got[1, 1] == 1
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(td.contaminated(docs, bench).collect())

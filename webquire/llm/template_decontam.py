@@ -3,7 +3,7 @@
 Numbers, units after numbers, and capitalised words become typed placeholders, one token each. Windows of ``WINDOW``
 template tokens are hashed and joined between documents and benchmark items, so a question with other numbers or names
 still meets its template. Matches at one placement of an item (document position minus item position) are then checked:
-the values in the item's slots must map one to one to the values in the document's slots.
+windows with unchanged slot values count as they are, the others if the changed values map one to one.
 """
 
 from __future__ import annotations
@@ -105,14 +105,24 @@ def _matches(docs: DataFrame, windows: DataFrame, tokens: Column, lengths: list[
     return back.select(*found, pair(words(F.col("text"))).alias("pairs"))
 
 
+def _judged(ks: str, same: str, pairs: str) -> tuple[Column, Column]:
+    """``n_matched, n_changed``: windows with unchanged slots count on their own, the others if the changed slots map one to one."""
+    changed = F.filter(pairs, lambda p: p["item"] != p["doc"])
+    side = lambda name: F.size(F.array_distinct(F.transform(changed, lambda p: p[name])))
+    one_to_one = (side("item") == F.size(changed)) & (side("doc") == F.size(changed))
+    return F.when(one_to_one, F.size(ks)).otherwise(F.size(same)).cast("long"), F.when(one_to_one, F.size(changed)).otherwise(0)
+
+
+def _enough(n_matched: Column) -> Column:
+    return (n_matched >= MIN_SHARE * F.col("n_windows")) | (n_matched >= MIN_WINDOWS)
+
+
 def _decided(matches: DataFrame) -> DataFrame:
-    """The best consistent placement of each document and item that meets the placement rule."""
-    bound = matches.groupBy("doc", "item_id", "at", "n_windows").agg(F.count_distinct("k").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    one_to_one = (side("item") == F.size("pairs")) & (side("doc") == F.size("pairs"))
-    enough = (F.col("n_matched") >= MIN_SHARE * F.col("n_windows")) | (F.col("n_matched") >= MIN_WINDOWS)
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
-    good = bound.where(one_to_one & enough).withColumn("n_changed", changed)
+    """The best placement of each document and item that meets the placement rule."""
+    same = F.collect_set(F.when(~F.exists("pairs", lambda p: p["item"] != p["doc"]), F.col("k"))).alias("same")
+    bound = matches.groupBy("doc", "item_id", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    matched, changed = _judged("ks", "same", "pairs")
+    good = bound.withColumn("n_matched", matched).withColumn("n_changed", changed).where(_enough(F.col("n_matched")))
     best = F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed"), F.struct("n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
     return good.groupBy("doc", "item_id").agg(best).select("doc", "item_id", "b.*")
 
