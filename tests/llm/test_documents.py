@@ -163,6 +163,23 @@ def test_decontamination_judges_changed_slots_alone(spark):
     assert got[0, 1] == got[1, 1] == 1
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    item = "the letter from Anna says that the old mill by the river will be sold before the end of the summer"
+    clean, hit = "a text about nothing at all that any benchmark could hold", f"first words {item} last words"
+    docs = spark.createDataFrame([(None, hit), (None, clean), (1, clean), (1, hit), (2, clean), (None, hit.replace("Anna", "Berta")), (None, hit.replace("Anna", "Clara"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert Counter(r.doc_id for r in td.decontaminate(docs, bench).collect()) == Counter([None, 1, 2])
+    assert {(r.doc_id, r.n_changed) for r in td.contaminated(docs, bench).collect()} == {(None, 0), (1, 0)}
+    parts = " ".join(item.split()[:11]), "w " * 8 + " ".join(item.split()[8:19])  # two texts do not add up to a copy
+    assert td.contaminated(spark.createDataFrame([(None, t) for t in parts], "doc_id long, text string"), bench).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    one, other = "a text of its own about the harbour and the boats in it", "nothing here is like what stands in any of those rows"
+    docs = spark.createDataFrame([(1, one, "b"), (1, other, "a"), (2, one, "a"), (1, one, "a"), (None, other, "z")], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in cs.keep_one(docs).collect()) == [(1, one, "a"), (1, other, "a")]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(td.contaminated(docs, bench).collect())

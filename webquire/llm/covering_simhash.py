@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -199,29 +199,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """``docs`` with one row of each near-duplicate group, in its own columns.
 
     It is the row with the smallest id; of rows that share this id, the first by text and then by the other columns. A
-    group without any id keeps one row in the same order.
+    group without any id keeps one row in the same order. Rows that share an id may be in different groups.
     """
-    found = cut(groups(docs, id_col, text_col, radius), "simhash-groups")
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__keep")).distinct()
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("which"))  # ids before null
+    found = cut(groups(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", radius), "simhash-groups")
+    first = found.where(F.col("row.id").eqNullSafe(F.col("component_id.id")))
+    first = cut(first.select(F.col("row.id").alias("__id"), F.col("row.which").alias("__which"), F.col("root").alias("__root")).distinct(), "simhash-first")
+    known = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & (F.xxhash64(docs[text_col]) == first["__which"]))
     sortable = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and "variant" not in kind]
-    order = [F.col(f"`{c}`") for c in (text_col, *sortable)]
-    known = docs.join(first, docs[id_col] == first["__keep"], "left_semi")
-    known = known.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__n = 1").drop("__n")
-    nameless = docs.where(F.col(id_col).isNull())
-    lone = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    marked = _with_fingerprint(nameless, text_col).join(lone, "__fp")
-    lone_rows = marked.withColumn("__n", F.row_number().over(Window.partitionBy("__root").orderBy(*order))).where("__n = 1").select(*docs.columns)
-    return known.unionByName(lone_rows)
-
-
-def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` and ``__fp``."""
-    schema = StructType([*docs.schema, *StructType.fromDDL("__fp long")])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(text_col)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], schema=arrow)
-
-    return docs.mapInArrow(run, schema)
+    # an aggregate, not a window: its partial results keep a large group out of one task
+    best = F.min_by(F.struct(*(docs[f"`{c}`"] for c in docs.columns)), F.struct(*(docs[f"`{c}`"] for c in (text_col, *sortable)))).alias("__row")
+    return known.groupBy("__root").agg(best).select("__row.*")

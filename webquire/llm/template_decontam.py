@@ -92,15 +92,15 @@ def _item_windows(items: DataFrame, tokens: Column, lengths: list[int], exact: b
 def _matches(docs: DataFrame, windows: DataFrame, tokens: Column, lengths: list[int]) -> DataFrame:
     """``doc, item_id, at, k, n_windows, pairs`` for every window of a document that is one of an item."""
     n = windows.count()
-    rows = _hashed(docs, tokens).select("doc", "text", F.explode(F.array(*map(_windows, lengths))).alias("w"))
-    rows = rows.select("doc", "text", F.posexplode("w").alias("pos", "hash"))
+    rows = _hashed(docs, tokens).select("doc", "which", "text", F.explode(F.array(*map(_windows, lengths))).alias("w"))
+    rows = rows.select("doc", "which", "text", F.posexplode("w").alias("pos", "hash"))
     zipped = lambda raw: F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at(raw, F.col("pos") + p + 1)).alias("doc")))
     pair = lambda raw: F.transform(F.array(raw), zipped)[0]  # noqa: E731  binds the words, so that they are cut once
-    found = ["doc", "item_id", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
+    found = ["doc", "which", "item_id", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
     if small(windows, n) is not windows:  # the texts ride along at no cost, as nothing is shuffled
         return rows.join(small(windows, n), "hash").select(*found, pair(words(F.col("text"))).alias("pairs"))
-    narrow = rows.select("doc", F.xxhash64("text").alias("which"), "pos", "hash").join(windows, "hash")
-    texts = docs.select(F.col("doc").alias("d"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["d", "h"])
+    narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
+    texts = docs.select(F.col("doc").alias("d"), F.col("which").alias("h"), "text").dropDuplicates(["d", "h"])
     back = narrow.join(texts, narrow["doc"].eqNullSafe(texts["d"]) & narrow["which"].eqNullSafe(texts["h"]))
     return back.select(*found, pair(words(F.col("text"))).alias("pairs"))
 
@@ -120,39 +120,52 @@ def _enough(n_matched: Column) -> Column:
 def _decided(matches: DataFrame) -> DataFrame:
     """The best placement of each document and item that meets the placement rule."""
     same = F.collect_set(F.when(~F.exists("pairs", lambda p: p["item"] != p["doc"]), F.col("k"))).alias("same")
-    bound = matches.groupBy("doc", "item_id", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    bound = matches.groupBy("doc", "which", "item_id", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     matched, changed = _judged("ks", "same", "pairs")
     good = bound.withColumn("n_matched", matched).withColumn("n_changed", changed).where(_enough(F.col("n_matched")))
     best = F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed"), F.struct("n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
-    return good.groupBy("doc", "item_id").agg(best).select("doc", "item_id", "b.*")
+    return good.groupBy("doc", "which", "item_id").agg(best).select("doc", "which", "item_id", "b.*")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id_col, item_id, n_matched, n_windows, at, n_changed``: which documents hold which items.
-
-    ``at`` is the word at which the item would start, ``n_changed`` counts slots with another value than the item's (0:
-    a literal copy). Items of fewer than ``MIN_WORDS`` words are no evidence and never match; those up to ``WINDOW``
-    words match as a whole. Items all of whose windows are mostly slots are compared literally. Null and empty texts hold
-    nothing; rows that share an id (null included) are one document; repeated items are found each. Other columns are
-    left out. Empty tables give no rows.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:
+    """``doc, which, item_id, n_matched, n_windows, at, n_changed`` by id and text (``which``, a hash); None without items."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("which"), F.col(text_col).alias("text")).where("text is not null")
     size = F.least(F.size(words(F.col("text"))), F.lit(WINDOW))
     lengths = sorted(r[0] for r in items.select(size.alias("n")).where(F.col("n") >= MIN_WORDS).distinct().collect())  # WINDOW values at most
-    empty = docs.limit(0).select(F.col(id_col), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), *(F.lit(0).cast(t).alias(c) for c, t in (("n_matched", "long"), ("n_windows", "long"), ("at", "int"), ("n_changed", "int"))))
     if not lengths:
-        return empty
+        return None
     typed, literal = words(template(F.col("text"))), words(F.lower("text"))
     windows = cut(_item_windows(items, typed, lengths, exact=False), "decontam-windows")
     rest = items.where(F.size(words(F.col("text"))) >= MIN_WORDS).join(windows.select(F.col("item_id").alias("i")).distinct(), F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
     exact = cut(_item_windows(rest, literal, lengths, exact=True), "decontam-literal")
     matches = [_matches(texts, windows, typed, lengths)] + ([_matches(texts, exact, literal, lengths)] if exact.take(1) else [])
-    found = _decided(matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1]))
-    return found.select(F.col("doc").alias(id_col), "item_id", "n_matched", "n_windows", "at", "n_changed")
+    return _decided(matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``id_col, item_id, n_matched, n_windows, at, n_changed``: which documents hold which items.
+
+    ``at`` is the word at which the item would start, ``n_changed`` counts slots with another value than the item's (0:
+    a literal copy). Items of fewer than ``MIN_WORDS`` words are no evidence and never match; those up to ``WINDOW``
+    words match as a whole. Items all of whose windows are mostly slots are compared literally. Null and empty texts hold
+    nothing. Rows that share an id (null included) are judged each by its text, and the id has the best of their placements;
+    repeated items are found each. Other columns are left out. Empty tables give no rows.
+    """
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    if found is None:
+        kinds = (("n_matched", "long"), ("n_windows", "long"), ("at", "int"), ("n_changed", "int"))
+        return docs.limit(0).select(F.col(id_col), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *(F.lit(0).cast(t).alias(c) for c, t in kinds))
+    best = F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed"), F.struct("n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
+    return found.groupBy("doc", "item_id").agg(best).select(F.col("doc").alias(id_col), "item_id", "b.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item; rows that share an id go together."""
-    hits = cut(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__hit")).distinct(), "decontam-hits")
-    return docs.join(small(hits, hits.count()), docs[id_col].eqNullSafe(hits["__hit"]), "left_anti")
+    """``docs`` without the rows whose text holds an item. Rows that share an id (null included) are judged each by its text; only those without a text go with a hit of their id."""
+    found = _found(docs, benchmark, id_col, text_col, "item_id", "text")
+    if found is None:
+        return docs
+    own = found.select(F.col("doc").alias("__hit"), F.col("which").alias("__which"))
+    without = own.select("__hit", F.xxhash64(F.lit(None).cast("string")).alias("__which"))
+    hits = cut(own.union(without).distinct(), "decontam-hits")
+    return docs.join(small(hits, hits.count()), docs[id_col].eqNullSafe(hits["__hit"]) & (F.xxhash64(docs[text_col]) == hits["__which"]), "left_anti")
