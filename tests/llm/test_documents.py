@@ -180,6 +180,11 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     assert sorted(tuple(r) for r in cs.keep_one(docs).collect()) == [(1, one, "a"), (1, other, "a")]
 
 
+def test_decontamination_in_another_letter_case(spark):
+    item = "When Anna Berg and Tom Lind left Oslo for Rome, they had 40 euros and 3 bags with them in the train"
+    assert set(hits(spark, [item.lower(), item.upper(), item.title(), f"so {item}"], [(1, item)])) == {(i, 1) for i in range(4)}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(td.contaminated(docs, bench).collect())

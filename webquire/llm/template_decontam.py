@@ -4,10 +4,15 @@ Numbers, units after numbers, and capitalised words become typed placeholders, o
 template tokens are hashed and joined between documents and benchmark items, so a question with other numbers or names
 still meets its template. Matches at one placement of an item (document position minus item position) are then checked:
 windows with unchanged slot values count as they are, the others if the changed values map one to one.
+
+A second stream of windows has the names in lower case instead of placeholders, so that copies in another letter case
+are found; its placements count where the first stream finds none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +40,53 @@ UNITS = (
 )
 
 
-def template(text: Column) -> Column:
-    """``text`` with placeholders, lower case, and without marks at the edges of words. Every word stays one word."""
+def _bare(text: Column) -> Column:
+    """``text`` with placeholders for numbers and units, and without marks at the edges of words. Every word stays one word."""
     t = F.regexp_replace(text, r"[$€£]?[0-9](?:[0-9.,:/]*[0-9])?%?", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER}[ -]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]*+", NAME)
     # marks after a word's last letter, or before its first one; a word of marks alone stays
     rest = rf"[^{MARKS}\x20\x09-\x0D]"
-    t = F.regexp_replace(t, rf"[{MARKS}](?:(?<={rest}.)[{MARKS}]*+(?=[\x20\x09-\x0D]|\z)|(?<![^\x20\x09-\x0D].)[{MARKS}]*+(?={rest}))", "")
-    return F.lower(t)
+    return F.regexp_replace(t, rf"[{MARKS}](?:(?<={rest}.)[{MARKS}]*+(?=[\x20\x09-\x0D]|\z)|(?<![^\x20\x09-\x0D].)[{MARKS}]*+(?={rest}))", "")
+
+
+def _named(bare: Column) -> Column:
+    return F.lower(F.regexp_replace(bare, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]*+", NAME))
+
+
+def template(text: Column) -> Column:
+    """``text`` with placeholders, lower case, and without marks at the edges of words. Every word stays one word."""
+    return _named(_bare(text))
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def _hashed(rows: DataFrame, tokens: Column) -> DataFrame:
-    """``rows`` with ``size`` (its tokens) and ``h4``: at each token the hash of it and the three that follow.
+def _tokens(rows: DataFrame) -> DataFrame:
+    """``rows`` with the token arrays of the streams: ``t0`` with names as placeholders, ``t1`` with names in lower case, which letter case does not change."""
+    rows = rows.withColumn("bare", _bare(F.col("text")))
+    return rows.select("*", words(_named(F.col("bare"))).alias("t0"), words(F.lower("bare")).alias("t1")).drop("bare")
+
+
+def _literal(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("t0", words(F.lower("text")))
+
+
+def _hashed(rows: DataFrame, stream: int) -> DataFrame:
+    """``rows`` with ``h<stream>``: at each token the hash of it and the three that follow.
 
     Hashes double their reach twice, so each window costs a few operations on longs. Past the end they cover less.
     """
     double = lambda c, by: F.zip_with(c, F.slice(c, by + 1, F.size(c)), lambda x, y: F.xxhash64(x, y))
-    rows = rows.withColumn("tok", tokens).withColumn("h1", F.transform("tok", lambda t: F.xxhash64(t))).withColumn("size", F.size("tok"))
-    return rows.withColumn("h2", double(F.col("h1"), 1)).drop("h1").withColumn("h4", double(F.col("h2"), 2)).drop("h2")
+    rows = rows.withColumn("h1", F.transform(f"t{stream}", lambda t: F.xxhash64(t)))
+    return rows.withColumn("h2", double(F.col("h1"), 1)).drop("h1").withColumn(f"h{stream}", double(F.col("h2"), 2)).drop("h2")
 
 
-def _windows(n: int) -> Column:
-    """Hashes of the windows of ``n`` tokens (5 to 8): two of ``h4``, overlapping below 8."""
-    whole = F.zip_with("h4", F.slice("h4", n - 3, F.col("size")), lambda x, y: F.xxhash64(F.lit(n), x, y))
-    return F.slice(whole, 1, F.greatest(F.col("size") - n + 1, F.lit(0)))
+def _windows(n: int, stream: int) -> Column:
+    """Hashes of the windows of ``n`` tokens (5 to 8): two of four tokens, overlapping below 8."""
+    h = f"h{stream}"
+    whole = F.zip_with(h, F.slice(h, n - 3, F.size(h)), lambda x, y: F.xxhash64(F.lit(n + 16 * stream), x, y))
+    return F.slice(whole, 1, F.greatest(F.size(h) - n + 1, F.lit(0)))
 
 
 def _value(word: Column) -> Column:
@@ -71,32 +94,40 @@ def _value(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}%]", ""))
 
 
-def _item_windows(items: DataFrame, tokens: Column, lengths: list[int], exact: bool) -> DataFrame:
-    """``item_id, k, hash, n_windows, slots, values``: an item's distinct windows; of equal ones the first."""
-    n = F.least(F.col("size"), F.lit(WINDOW))
-    rows = _hashed(items.select("item_id", "text", words(F.col("text")).alias("raw")), tokens).where(F.col("size") >= MIN_WORDS)
-    own = F.coalesce(*(F.when(n == k, _windows(k)) for k in lengths))
-    rows = rows.withColumn("n", n).select("item_id", "raw", "tok", "n", F.posexplode(own).alias("k", "hash"))
-    slot = lambda x: x.rlike(f"[{NUMBER}{NAME}{UNIT}]")
+def _slot(token: Column) -> Column:
+    return token.rlike(f"[{NUMBER}{NAME}{UNIT}]")
+
+
+def _item_windows(items: DataFrame, stream: int, lengths: list[int], exact: bool) -> DataFrame:
+    """``item_id, stream, hash, k, n_windows, slots, values``: an item's distinct windows; of equal ones the first."""
+    size = F.size(f"t{stream}")
+    n = F.least(size, F.lit(WINDOW))
+    rows = _hashed(items, stream).where(size >= MIN_WORDS).withColumn("raw", words(F.col("text")))
+    own = F.coalesce(*(F.when(n == k, _windows(k, stream)) for k in lengths))
+    rows = rows.withColumn("n", n).select("item_id", "raw", F.col(f"t{stream}").alias("tok"), "n", F.posexplode(own).alias("k", "hash"))
     rows = rows.withColumn("part", F.slice("tok", F.col("k") + 1, F.col("n")))
-    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: slot(F.element_at("part", i + 1)))
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _slot(F.element_at("part", i + 1)))
     rows = rows.withColumn("slots", places)
     if not exact:
         rows = rows.where(F.col("n") - F.size("slots") >= F.least(F.lit(MIN_LITERALS), F.col("n")))
     rows = rows.groupBy("item_id", "hash").agg(F.min(F.struct("k", "slots", "raw")).alias("f"))
     values = F.transform("f.slots", lambda p: _value(F.element_at(F.col("f.raw"), F.col("f.k") + p + 1)))
     counts = rows.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_windows"))
-    return rows.join(counts, rows["item_id"].eqNullSafe(counts["i"])).select("item_id", "hash", F.col("f.k").alias("k"), "n_windows", F.col("f.slots").alias("slots"), values.alias("values"))
+    rows = rows.join(counts, rows["item_id"].eqNullSafe(counts["i"]))
+    return rows.select("item_id", F.lit(stream).alias("stream"), "hash", F.col("f.k").alias("k"), "n_windows", F.col("f.slots").alias("slots"), values.alias("values"))
 
 
-def _matches(docs: DataFrame, windows: DataFrame, tokens: Column, lengths: list[int]) -> DataFrame:
-    """``doc, item_id, at, k, n_windows, pairs`` for every window of a document that is one of an item."""
+def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame], DataFrame], streams: list[int], lengths: list[int]) -> DataFrame:
+    """``doc, which, item_id, stream, at, k, n_windows, pairs`` for every window of a document that is one of an item."""
     n = windows.count()
-    rows = _hashed(docs, tokens).select("doc", "which", "text", F.explode(F.array(*map(_windows, lengths))).alias("w"))
+    rows = tokens(docs)
+    for stream in streams:
+        rows = _hashed(rows, stream)
+    rows = rows.select("doc", "which", "text", F.explode(F.array(*(_windows(k, stream) for stream in streams for k in lengths))).alias("w"))
     rows = rows.select("doc", "which", "text", F.posexplode("w").alias("pos", "hash"))
     zipped = lambda raw: F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at(raw, F.col("pos") + p + 1)).alias("doc")))
     pair = lambda raw: F.transform(F.array(raw), zipped)[0]  # noqa: E731  binds the words, so that they are cut once
-    found = ["doc", "which", "item_id", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
+    found = ["doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
     if small(windows, n) is not windows:  # the texts ride along at no cost, as nothing is shuffled
         return rows.join(small(windows, n), "hash").select(*found, pair(words(F.col("text"))).alias("pairs"))
     narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
@@ -120,11 +151,16 @@ def _enough(n_matched: Column) -> Column:
 def _decided(matches: DataFrame) -> DataFrame:
     """The best placement of each document and item that meets the placement rule."""
     same = F.collect_set(F.when(~F.exists("pairs", lambda p: p["item"] != p["doc"]), F.col("k"))).alias("same")
-    bound = matches.groupBy("doc", "which", "item_id", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    bound = matches.groupBy("doc", "which", "item_id", "stream", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     matched, changed = _judged("ks", "same", "pairs")
     good = bound.withColumn("n_matched", matched).withColumn("n_changed", changed).where(_enough(F.col("n_matched")))
-    best = F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed"), F.struct("n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
-    return good.groupBy("doc", "which", "item_id").agg(best).select("doc", "which", "item_id", "b.*")
+    good = good.withColumn("how", F.col("stream"))
+    return good.groupBy("doc", "which", "item_id").agg(_best()).select("doc", "which", "item_id", "b.*")
+
+
+def _best() -> Column:
+    """The first way of finding an item counts, then the placement."""
+    return F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed", "how"), F.struct(-F.col("how"), "n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:
@@ -135,11 +171,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     lengths = sorted(r[0] for r in items.select(size.alias("n")).where(F.col("n") >= MIN_WORDS).distinct().collect())  # WINDOW values at most
     if not lengths:
         return None
-    typed, literal = words(template(F.col("text"))), words(F.lower("text"))
-    windows = cut(_item_windows(items, typed, lengths, exact=False), "decontam-windows")
-    rest = items.where(F.size(words(F.col("text"))) >= MIN_WORDS).join(windows.select(F.col("item_id").alias("i")).distinct(), F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
-    exact = cut(_item_windows(rest, literal, lengths, exact=True), "decontam-literal")
-    matches = [_matches(texts, windows, typed, lengths)] + ([_matches(texts, exact, literal, lengths)] if exact.take(1) else [])
+    items = items.where(F.size(words(F.col("text"))) >= MIN_WORDS)
+    typed = cut(_item_windows(_tokens(items), 0, lengths, exact=False), "decontam-windows")
+    folded = _item_windows(_tokens(items), 1, lengths, exact=False)
+    windows = cut(typed.unionByName(folded), "decontam-windows")
+    rest = items.join(typed.select(F.col("item_id").alias("i")).distinct(), F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
+    exact = cut(_item_windows(_literal(rest), 0, lengths, exact=True), "decontam-literal")
+    matches = [_matches(texts, windows, _tokens, [0, 1], lengths)] + ([_matches(texts, exact, _literal, [0], lengths)] if exact.take(1) else [])
     return _decided(matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1]))
 
 
@@ -156,8 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if found is None:
         kinds = (("n_matched", "long"), ("n_windows", "long"), ("at", "int"), ("n_changed", "int"))
         return docs.limit(0).select(F.col(id_col), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *(F.lit(0).cast(t).alias(c) for c, t in kinds))
-    best = F.max_by(F.struct("n_matched", "n_windows", "at", "n_changed"), F.struct("n_matched", -F.col("n_changed"), -F.col("at"))).alias("b")
-    return found.groupBy("doc", "item_id").agg(best).select(F.col("doc").alias(id_col), "item_id", "b.*")
+    found = found.groupBy("doc", "item_id").agg(_best()).select("doc", "item_id", "b.*")
+    return found.select(F.col("doc").alias(id_col), "item_id", "n_matched", "n_windows", "at", "n_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
