@@ -185,6 +185,24 @@ def test_decontamination_in_another_letter_case(spark):
     assert set(hits(spark, [item.lower(), item.upper(), item.title(), f"so {item}"], [(1, item)])) == {(i, 1) for i in range(4)}
 
 
+def test_decontamination_of_short_items_with_a_changed_word(spark):
+    """A replaced or inserted word anywhere does not hide a short item, and part of one is no hit."""
+    item = "the largest river of this country flows into which of the three named seas"
+    w = item.split()
+    for size in (8, 10, len(w)):
+        part = w[:size]
+        replaced = [" ".join(["x", *part[:i], "other", *part[i + 1 :], "y"]) for i in range(size)]
+        inserted = [" ".join([*part[:i], "more", *part[i:]]) for i in range(1, size)]
+        texts = [*replaced, *inserted, " ".join(part[: size // 2 + 1]), " ".join(reversed(part))]
+        assert set(hits(spark, texts, [(1, " ".join(part))])) == {(i, 1) for i in range(len(texts) - 2)}
+
+
+def test_decontamination_adds_up_neighbouring_placements(spark):
+    w = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    text = " ".join(" ".join([*w[i : i + 12], "more"]) for i in range(0, 48, 12))
+    assert set(hits(spark, [text], [(1, " ".join(w))])) == {(0, 1)}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     one = sorted(td.contaminated(docs, bench).collect())

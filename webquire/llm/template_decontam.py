@@ -6,14 +6,15 @@ still meets its template. Matches at one placement of an item (document position
 windows with unchanged slot values count as they are, the others if the changed values map one to one.
 
 A second stream of windows has the names in lower case instead of placeholders, so that copies in another letter case
-are found; its placements count where the first stream finds none.
+are found; its placements count where the first stream finds none,
+then windows of neighbouring placements added up, then the word-by-word alignment of short items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquire.llm.common import small
@@ -27,6 +28,14 @@ MIN_WORDS = 5
 # Placement rule: this share of the item's windows, or this many of them.
 MIN_SHARE = 0.5
 MIN_WINDOWS = 6
+# Matched windows of placements this near are added up: words were inserted or left out.
+SHIFT = 2
+# Items of SHORT[0] to SHORT[1] words are also aligned word by word where they share SEED tokens in a row with a
+# document; this share of their words must be there. With fewer words a changed word makes another item.
+SHORT = (8, 29)
+SEED = 4
+MIN_ALIGNED = 0.8
+ALIGNED = 2  # the stream of these rows
 
 # Typed placeholders: private-use characters, one per type.
 NUMBER, NAME, UNIT = "", "", ""
@@ -117,23 +126,68 @@ def _item_windows(items: DataFrame, stream: int, lengths: list[int], exact: bool
     return rows.select("item_id", F.lit(stream).alias("stream"), "hash", F.col("f.k").alias("k"), "n_windows", F.col("f.slots").alias("slots"), values.alias("values"))
 
 
+def _seeds(items: DataFrame) -> DataFrame:
+    """``item_id, stream, hash, k, short``: windows of ``SEED`` tokens of the short items; ``short`` has the item's tokens and values."""
+    rows = _hashed(_hashed(items.where(F.size("t1").between(*SHORT)), 0), 1)
+    values = F.transform(words(F.col("text")), _value)
+    rows = rows.select("item_id", F.struct("t0", "t1", values.alias("values")).alias("short"), "h0", "h1")
+    parts = []
+    for stream in (0, 1):
+        part = rows.select("item_id", "short", F.posexplode(F.slice(f"h{stream}", 1, F.size(f"h{stream}") - SEED + 1)).alias("k", "hash"))
+        literals = F.size(F.filter(F.slice(f"short.t{stream}", F.col("k") + 1, SEED), lambda t: ~_slot(t)))
+        parts.append(part.where(literals >= MIN_LITERALS).select("item_id", F.lit(ALIGNED).alias("stream"), "hash", "k", "short"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``fit``: for a short item's row ``n_matched, n_windows, n_changed`` in words, compared within ``SHIFT`` words of its place."""
+    at = F.col("pos") - F.col("k")
+
+    def word(i: Column, raw: Column) -> Column:
+        here = lambda arr, by: F.get(arr, at + i + by)
+        item, value = F.get("short.t1", i), F.get("short.values", i)
+        near = sorted(range(-SHIFT, SHIFT + 1), key=abs)
+        pair = lambda v: F.struct(value.alias("item"), v.alias("doc"))
+        same = [F.when((here("t1", by) == item) & (~_slot(item) | (_value(here(raw, by)) == value)), pair(value)) for by in near]
+        other = [F.when((here("t0", by) == F.get("short.t0", i)) & _slot(F.get("short.t0", i)), pair(_value(here(raw, by)))) for by in near]
+        return F.coalesce(*same, *other)
+
+    each = F.transform(F.array(words(F.col("text"))), lambda raw: F.transform(F.sequence(F.lit(0), F.size("short.t1") - 1), lambda i: word(i, raw)))[0]
+    rows = rows.withColumn("each", F.when(F.col("stream") == ALIGNED, F.filter(each, lambda p: p.isNotNull())))
+    rows = rows.withColumn("same", F.filter("each", lambda p: p["item"] == p["doc"])).withColumn("some", F.array_distinct("each"))
+    n, changed = _judged("each", "same", "some")
+    return rows.withColumn("fit", F.when(F.col("stream") == ALIGNED, F.struct(n.alias("n_matched"), F.size("short.t1").cast("long").alias("n_windows"), changed.alias("n_changed")))).drop("each", "same", "some")
+
+
 def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame], DataFrame], streams: list[int], lengths: list[int]) -> DataFrame:
-    """``doc, which, item_id, stream, at, k, n_windows, pairs`` for every window of a document that is one of an item."""
+    """``doc, which, item_id, stream, at, k, n_windows, pairs, fit`` for every window of a document that is one of an item.
+
+    Rows of short items have ``fit`` only, and only where it is enough.
+    """
     n = windows.count()
-    rows = tokens(docs)
+    whole = tokens(docs)
+    rows = whole
     for stream in streams:
         rows = _hashed(rows, stream)
-    rows = rows.select("doc", "which", "text", F.explode(F.array(*(_windows(k, stream) for stream in streams for k in lengths))).alias("w"))
-    rows = rows.select("doc", "which", "text", F.posexplode("w").alias("pos", "hash"))
+    own = [_windows(k, stream) for stream in streams for k in lengths]
+    aligned = len(streams) > 1 and "short" in windows.columns
+    seeds = [F.slice(f"h{stream}", 1, F.greatest(F.size(f"h{stream}") - SEED + 1, F.lit(0))) for stream in streams] if aligned else []
+    texts = ["text", "t0", "t1"] if aligned else ["text"]
+    rows = rows.select("doc", "which", *texts, F.explode(F.array(*own, *seeds)).alias("w"))
+    rows = rows.select("doc", "which", *texts, F.posexplode("w").alias("pos", "hash"))
     zipped = lambda raw: F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at(raw, F.col("pos") + p + 1)).alias("doc")))
-    pair = lambda raw: F.transform(F.array(raw), zipped)[0]  # noqa: E731  binds the words, so that they are cut once
-    found = ["doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), "k", "n_windows"]
+    pair = F.when(F.col("stream") != ALIGNED, F.transform(F.array(words(F.col("text"))), zipped)[0])  # binds the words, so that they are cut once
     if small(windows, n) is not windows:  # the texts ride along at no cost, as nothing is shuffled
-        return rows.join(small(windows, n), "hash").select(*found, pair(words(F.col("text"))).alias("pairs"))
-    narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
-    texts = docs.select(F.col("doc").alias("d"), F.col("which").alias("h"), "text").dropDuplicates(["d", "h"])
-    back = narrow.join(texts, narrow["doc"].eqNullSafe(texts["d"]) & narrow["which"].eqNullSafe(texts["h"]))
-    return back.select(*found, pair(words(F.col("text"))).alias("pairs"))
+        back = rows.join(small(windows, n), "hash")
+    else:
+        narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
+        apart = whole.select(F.col("doc").alias("d"), F.col("which").alias("h"), *texts).dropDuplicates(["d", "h"])
+        back = narrow.join(apart, narrow["doc"].eqNullSafe(apart["d"]) & narrow["which"].eqNullSafe(apart["h"]))
+    fit = "struct<n_matched:bigint,n_windows:bigint,n_changed:int>"
+    back = _aligned(back) if aligned else back.withColumn("fit", F.lit(None).cast(fit))
+    k = F.when(F.col("stream") != ALIGNED, F.col("k")).alias("k")
+    back = back.select("doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), k, "n_windows", pair.alias("pairs"), "fit")
+    return back.where((F.col("stream") != ALIGNED) | (F.col("fit.n_matched") >= MIN_ALIGNED * F.col("fit.n_windows")))
 
 
 def _judged(ks: str, same: str, pairs: str) -> tuple[Column, Column]:
@@ -151,10 +205,15 @@ def _enough(n_matched: Column) -> Column:
 def _decided(matches: DataFrame) -> DataFrame:
     """The best placement of each document and item that meets the placement rule."""
     same = F.collect_set(F.when(~F.exists("pairs", lambda p: p["item"] != p["doc"]), F.col("k"))).alias("same")
-    bound = matches.groupBy("doc", "which", "item_id", "stream", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    matched, changed = _judged("ks", "same", "pairs")
-    good = bound.withColumn("n_matched", matched).withColumn("n_changed", changed).where(_enough(F.col("n_matched")))
-    good = good.withColumn("how", F.col("stream"))
+    bound = matches.groupBy("doc", "which", "item_id", "stream", "at", "n_windows").agg(F.collect_set("k").alias("ks"), same, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("fit").alias("fit"))
+    near = Window.partitionBy("doc", "which", "item_id", "stream").orderBy("at").rangeBetween(-SHIFT, SHIFT)
+    for c in ("ks", "same", "pairs"):
+        bound = bound.withColumn(f"near_{c}", F.array_distinct(F.flatten(F.collect_list(c).over(near))))
+    (alone, changed), (together, changed_near) = _judged("ks", "same", "pairs"), _judged("near_ks", "near_same", "near_pairs")
+    row = lambda n, c, how: F.struct(n.alias("n_matched"), F.col("n_windows"), F.col("at"), c.alias("n_changed"), how.alias("how"))
+    fit = F.struct("fit.n_matched", "fit.n_windows", F.col("at"), "fit.n_changed", F.lit(3).alias("how"))
+    way = F.when(F.col("stream") == ALIGNED, fit).when(_enough(alone), row(alone, changed, F.col("stream"))).when(_enough(together), row(together, changed_near, F.lit(2)))
+    good = bound.select("doc", "which", "item_id", way.alias("way")).where("way is not null").select("doc", "which", "item_id", "way.*")
     return good.groupBy("doc", "which", "item_id").agg(_best()).select("doc", "which", "item_id", "b.*")
 
 
@@ -174,7 +233,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     items = items.where(F.size(words(F.col("text"))) >= MIN_WORDS)
     typed = cut(_item_windows(_tokens(items), 0, lengths, exact=False), "decontam-windows")
     folded = _item_windows(_tokens(items), 1, lengths, exact=False)
-    windows = cut(typed.unionByName(folded), "decontam-windows")
+    windows = cut(typed.unionByName(folded).unionByName(_seeds(_tokens(items)), allowMissingColumns=True), "decontam-windows")
     rest = items.join(typed.select(F.col("item_id").alias("i")).distinct(), F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
     exact = cut(_item_windows(_literal(rest), 0, lengths, exact=True), "decontam-literal")
     matches = [_matches(texts, windows, _tokens, [0, 1], lengths)] + ([_matches(texts, exact, _literal, [0], lengths)] if exact.take(1) else [])
