@@ -36,6 +36,8 @@ SHORT = (8, 29)
 SEED = 4
 MIN_ALIGNED = 0.8
 ALIGNED = 2  # the stream of these rows
+# Words on each side of a match that are looked at.
+AROUND = SHORT[1] + SHIFT
 
 # Typed placeholders: private-use characters, one per type.
 NUMBER, NAME, UNIT = "", "", ""
@@ -141,18 +143,18 @@ def _seeds(items: DataFrame) -> DataFrame:
 
 def _aligned(rows: DataFrame) -> DataFrame:
     """``rows`` with ``fit``: for a short item's row ``n_matched, n_windows, n_changed`` in words, compared within ``SHIFT`` words of its place."""
-    at = F.col("pos") - F.col("k")
+    at = F.col("here") - F.col("k")
 
-    def word(i: Column, raw: Column) -> Column:
-        here = lambda arr, by: F.get(arr, at + i + by)
+    def word(i: Column) -> Column:
+        here = lambda arr, by: F.get(f"near_{arr}", at + i + by)
         item, value = F.get("short.t1", i), F.get("short.values", i)
         near = sorted(range(-SHIFT, SHIFT + 1), key=abs)
         pair = lambda v: F.struct(value.alias("item"), v.alias("doc"))
-        same = [F.when((here("t1", by) == item) & (~_slot(item) | (_value(here(raw, by)) == value)), pair(value)) for by in near]
-        other = [F.when((here("t0", by) == F.get("short.t0", i)) & _slot(F.get("short.t0", i)), pair(_value(here(raw, by)))) for by in near]
+        same = [F.when((here("t1", by) == item) & (~_slot(item) | (_value(here("raw", by)) == value)), pair(value)) for by in near]
+        other = [F.when((here("t0", by) == F.get("short.t0", i)) & _slot(F.get("short.t0", i)), pair(_value(here("raw", by)))) for by in near]
         return F.coalesce(*same, *other)
 
-    each = F.transform(F.array(words(F.col("text"))), lambda raw: F.transform(F.sequence(F.lit(0), F.size("short.t1") - 1), lambda i: word(i, raw)))[0]
+    each = F.transform(F.sequence(F.lit(0), F.size("short.t1") - 1), word)
     rows = rows.withColumn("each", F.when(F.col("stream") == ALIGNED, F.filter(each, lambda p: p.isNotNull())))
     rows = rows.withColumn("same", F.filter("each", lambda p: p["item"] == p["doc"])).withColumn("some", F.array_distinct("each"))
     n, changed = _judged("each", "same", "some")
@@ -162,32 +164,35 @@ def _aligned(rows: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame], DataFrame], streams: list[int], lengths: list[int]) -> DataFrame:
     """``doc, which, item_id, stream, at, k, n_windows, pairs, fit`` for every window of a document that is one of an item.
 
-    Rows of short items have ``fit`` only, and only where it is enough.
+    Rows of short items have ``fit`` only. It is judged after grouping: a filter here would move into the join and be
+    evaluated on whole documents.
     """
     n = windows.count()
-    whole = tokens(docs)
+    whole = tokens(docs).withColumn("raw", words(F.col("text")))
     rows = whole
     for stream in streams:
         rows = _hashed(rows, stream)
     own = [_windows(k, stream) for stream in streams for k in lengths]
     aligned = len(streams) > 1 and "short" in windows.columns
     seeds = [F.slice(f"h{stream}", 1, F.greatest(F.size(f"h{stream}") - SEED + 1, F.lit(0))) for stream in streams] if aligned else []
-    texts = ["text", "t0", "t1"] if aligned else ["text"]
+    texts = ["raw", "t0", "t1"] if aligned else ["raw"]
     rows = rows.select("doc", "which", *texts, F.explode(F.array(*own, *seeds)).alias("w"))
     rows = rows.select("doc", "which", *texts, F.posexplode("w").alias("pos", "hash"))
-    zipped = lambda raw: F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at(raw, F.col("pos") + p + 1)).alias("doc")))
-    pair = F.when(F.col("stream") != ALIGNED, F.transform(F.array(words(F.col("text"))), zipped)[0])  # binds the words, so that they are cut once
-    if small(windows, n) is not windows:  # the texts ride along at no cost, as nothing is shuffled
+    if small(windows, n) is not windows:  # the words ride along, as nothing is shuffled
         back = rows.join(small(windows, n), "hash")
     else:
         narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
         apart = whole.select(F.col("doc").alias("d"), F.col("which").alias("h"), *texts).dropDuplicates(["d", "h"])
         back = narrow.join(apart, narrow["doc"].eqNullSafe(apart["d"]) & narrow["which"].eqNullSafe(apart["h"]))
+    # a match keeps the words around it only: a task holds all matches of a document at once
+    start = F.greatest(F.col("pos") - AROUND, F.lit(0))
+    around = [F.slice(c, start + 1, 2 * AROUND + 1).alias(f"near_{c}") for c in texts]
+    back = back.select("doc", "which", "pos", (F.col("pos") - start).alias("here"), *windows.columns, *around)
+    pair = F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at("near_raw", F.col("here") + p + 1)).alias("doc")))
     fit = "struct<n_matched:bigint,n_windows:bigint,n_changed:int>"
     back = _aligned(back) if aligned else back.withColumn("fit", F.lit(None).cast(fit))
     k = F.when(F.col("stream") != ALIGNED, F.col("k")).alias("k")
-    back = back.select("doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), k, "n_windows", pair.alias("pairs"), "fit")
-    return back.where((F.col("stream") != ALIGNED) | (F.col("fit.n_matched") >= MIN_ALIGNED * F.col("fit.n_windows")))
+    return back.select("doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), k, "n_windows", F.when(F.col("stream") != ALIGNED, pair).alias("pairs"), "fit")
 
 
 def _judged(ks: str, same: str, pairs: str) -> tuple[Column, Column]:
@@ -212,7 +217,7 @@ def _decided(matches: DataFrame) -> DataFrame:
     (alone, changed), (together, changed_near) = _judged("ks", "same", "pairs"), _judged("near_ks", "near_same", "near_pairs")
     row = lambda n, c, how: F.struct(n.alias("n_matched"), F.col("n_windows"), F.col("at"), c.alias("n_changed"), how.alias("how"))
     fit = F.struct("fit.n_matched", "fit.n_windows", F.col("at"), "fit.n_changed", F.lit(3).alias("how"))
-    way = F.when(F.col("stream") == ALIGNED, fit).when(_enough(alone), row(alone, changed, F.col("stream"))).when(_enough(together), row(together, changed_near, F.lit(2)))
+    way = F.when(F.col("stream") == ALIGNED, F.when(F.col("fit.n_matched") >= MIN_ALIGNED * F.col("fit.n_windows"), fit)).when(_enough(alone), row(alone, changed, F.col("stream"))).when(_enough(together), row(together, changed_near, F.lit(2)))
     good = bound.select("doc", "which", "item_id", way.alias("way")).where("way is not null").select("doc", "which", "item_id", "way.*")
     return good.groupBy("doc", "which", "item_id").agg(_best()).select("doc", "which", "item_id", "b.*")
 
