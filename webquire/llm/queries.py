@@ -13,6 +13,7 @@ from webquire.llm.dom_boosting import main_text
 from webquire.llm.factorization import held_out, toxicity
 from webquire.llm.line_templates import drop_recurring_lines
 from webquire.llm.mixing import mix
+from webquire.llm.periodic_runs import periodic_runs, repeated_tail, strongest
 from webquire.llm.quality_cascade import quality_cascade
 from webquire.llm.template_decontam import contaminated
 from webquire.llm.token_attribution import section_tokens
@@ -145,6 +146,21 @@ def op10_dom_boosting(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf, "documents"), rewrite=repeated_tail)
+    best = found.select("doc_id", "runs", "collapsed", strongest(F.col("runs")).alias("best"))
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 # The benchmark holds no digits, so words with digits match nothing here and units do not occur.
 LLM_ORACLES["op6_template_decontamination"] = r"""
 with words(doc, item, x, i) as (
