@@ -15,6 +15,7 @@ from webquire.llm.line_templates import drop_recurring_lines
 from webquire.llm.mixing import mix
 from webquire.llm.periodic_runs import periodic_runs, repeated_tail, strongest
 from webquire.llm.quality_cascade import quality_cascade
+from webquire.llm.source_divergence import source_divergence
 from webquire.llm.template_decontam import contaminated
 from webquire.llm.token_attribution import section_tokens
 from webquire.llm.token_shards import write_shards
@@ -146,6 +147,41 @@ def op10_dom_boosting(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
+
+
+LLM_ORACLES["op11_source_divergence"] = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+u as (select r, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) as term from d),
+kept as (select lang, term, count(*) as n from u group by all having count(distinct r) >= 10),
+c as (select u.lang, source, u.term, count(*) as n from u join kept on u.lang = kept.lang and u.term = kept.term group by all),
+l as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+t as (select lang, source, sum(n) as total from c group by all),
+g as (
+  select g.lang, g.source, coalesce(t.total, 0)::hugeint as total, coalesce(v, 0) as v, coalesce(l.total, 0)::hugeint as lang_total
+  from (select distinct lang, source from d) g left join t on g.lang = t.lang and g.source = t.source left join l on g.lang = l.lang),
+s as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) as p,
+         1 + 1000000000::hugeint * (k.n + 2) // (lang_total + 2 * v) as q
+  from g join kept k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+all_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from s where n > 0 and p > q)
+select lang, source, part, item, value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from all_pairs union all from terms))
+where part = 'pair' or rank <= 10
+"""
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     found = periodic_runs(table(spark, sf, "documents"), rewrite=repeated_tail)
