@@ -11,6 +11,7 @@ from webquire.llm.common import table
 from webquire.llm.covering_simhash import near_duplicates
 from webquire.llm.dom_boosting import main_text
 from webquire.llm.factorization import held_out, toxicity
+from webquire.llm.impact_search import top_products
 from webquire.llm.line_templates import drop_recurring_lines
 from webquire.llm.mixing import mix
 from webquire.llm.periodic_runs import periodic_runs, repeated_tail, strongest
@@ -182,6 +183,23 @@ where part = 'pair' or rank <= 10
 """
 
 
+@query
+def op12_impact_search(spark: SparkSession, sf: str) -> DataFrame:
+    return top_products(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+LLM_ORACLES["op12_impact_search"] = """
+with e as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.r, q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint as score
+  from e q join e c on q.r <> c.r where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     found = periodic_runs(table(spark, sf, "documents"), rewrite=repeated_tail)
