@@ -146,12 +146,14 @@ def _implied_end(tokens: DataFrame, key: str) -> DataFrame:
 
     ``scope`` is the depth in lists and tables; a scope's own tags belong to the outside
     when they open it and to the inside when they close it, so within one depth the next
-    tag that ends the element is the one wanted.
+    tag that ends the element is the one wanted.  The next one is the smallest of a
+    running minimum over the tokens in descending order: a frame that only grows, where
+    one that runs ahead would be read again for every token.
     """
     start, end = F.col("kind") == "start", F.col("kind") == "end"
     tag, pos = F.col("tag"), F.col("pos")
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(key, "scope").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(key, "scope").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(start & tag.isin(*SCOPES), 1).when(end & tag.isin(*SCOPES), -1)
     leaves = end & tag.isin(*SCOPES)
     implied = [

@@ -1,26 +1,55 @@
 """Breadth-first crawl of a page store.
 
-The store's HTML is parsed once: what the pages in scope are and where they point is
-written as narrow tables, and the levels work on those alone.  Under a page budget each
-level parses its own pages.  Each level is written to the
-shared checkpoint folder, so lineage stays flat and lost executors cost one
-level at most.
+Without a page budget the store's HTML is parsed once: what the pages in scope are and where they point is written as
+narrow tables, and the levels work on those alone.  With a budget only reached pages are parsed; a locator, made from
+the store's URLs alone, says in which file a URL's page stands, so a level opens only the files of its own pages.
+
+Edges, locator and visited URLs are tables in hash buckets by URL.  A level joins and anti-joins them bucket by bucket,
+so what is shuffled are the targets that the level finds, never the edges or the levels before.  Each level is appended
+to the visited table in the shared folder, so lineage stays flat and lost executors cost one level at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquire.functions.urls import normalize_url
-from webquire.operators.links import dedup_first, frontier_lookup, link_table, scope_filter, store_status, unvisited, with_status
+from webquire.functions.urls import in_scope, is_http, normalize_url
+from webquire.operators.links import dedup_first, frontier_lookup, link_table, normal_seed, page_links, store_status, unvisited, with_status
 from webquire.operators.ranking import nth_row_id, partition_sizes, ranked
 from webquire.operators.report import report_items
 from webquire.session import cut, work_path
 
-LEVEL = "url string, seq bigint"
+# the file that a row of the store is read from; hidden in tables read from files, unknown in others
+FILE = "_metadata.file_path"
+
+
+class Buckets:
+    """A table in hash buckets by ``url``, in the shared folder: joins on ``url`` between such tables need no shuffle.
+
+    There are as many buckets as shuffle partitions, so rows that are shuffled by ``url`` meet them as they are.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, partition: str | None = None) -> None:
+        self.spark, self.path, self.partition = spark, work_path(spark, name), partition
+        self.table, self.n = f"webquire_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, rows: DataFrame) -> None:
+        """A bucket gets one file, sorted by ``url``."""
+        writer = rows.repartition(self.n, "url").sortWithinPartitions("url").write.format("parquet").option("path", self.path)
+        writer = writer.partitionBy(self.partition) if self.partition else writer
+        writer.bucketBy(self.n, "url").sortBy("url").mode("append").saveAsTable(self.table)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def forget(self) -> None:
+        """Drop the name; the files stay for results that read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def seeds(spark: SparkSession, urls: Sequence[str] | DataFrame, url: str = "url") -> DataFrame:
@@ -34,6 +63,49 @@ def seeds(spark: SparkSession, urls: Sequence[str] | DataFrame, url: str = "url"
     return dedup_first(named, "url", "pos")
 
 
+def locator(pages: DataFrame, within: Column, url: str = "url") -> DataFrame:
+    """``(url, raw, file)`` of the store's rows whose normalised URL is ``within``: only URLs are read, no HTML.
+
+    ``raw`` is the URL as stored.  ``file`` is NULL if the store's rows do not come from files.
+    """
+    file = F.col(FILE) if _knows_files(pages) else F.lit(None).cast("string")
+    return pages.select(normalize_url(url).alias("url"), F.col(url).alias("raw"), file.alias("file")).filter(within)
+
+
+def _knows_files(pages: DataFrame) -> bool:
+    try:
+        pages.select(FILE).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def located(pages: DataFrame, spots: DataFrame, url: str = "url", **columns: Column) -> DataFrame:
+    """The ``columns`` of the store's rows that the written ``spots`` (``raw, file`` and others) name, with those others.
+
+    Only the files named are opened.  Their names pass through the driver, at most one per row of ``spots``.
+    """
+    files = [r["file"] for r in spots.select("file").distinct().collect()]
+    if files and None not in files:
+        pages = pages.filter(F.col(FILE).isin(files))
+    rows = pages.select(F.col(url).alias("raw"), *(c.alias(name) for name, c in columns.items()))
+    return rows.join(spots.drop("file").distinct(), "raw").drop("raw")
+
+
+def next_level(found: DataFrame, visited: DataFrame) -> DataFrame:
+    """``(url, seq)`` of the targets in ``found`` (``url, parent, pos``) that are new, in the order of their discovery.
+
+    The sorted row id keeps the order of the level; the next level refers to it.
+    """
+    first = found.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("first"))
+    return unvisited(first, visited, link="url").orderBy("first").select("url", F.monotonically_increasing_id().alias("seq"))
+
+
+def targets(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(url, parent, pos)``: where the pages of ``front`` (``url, seq``) point; ``edges`` has ``url, dst_url, pos``."""
+    return front.join(edges, "url").select(F.col("dst_url").alias("url"), F.col("seq").alias("parent"), "pos")
+
+
 def crawl(
     pages: DataFrame,
     seed: str,
@@ -51,62 +123,61 @@ def crawl(
     discovering page, position of the link).  The store should hold one row per URL.
     """
     spark = pages.sparkSession
-    walked = work_path(spark, "crawl")
-    start = seeds(spark, [seed]).select("url", F.lit(0).cast("bigint").alias("seq"))
-    start.coalesce(1).write.parquet(f"{walked}/depth=0")
-    if spark.read.schema(LEVEL).parquet(f"{walked}/depth=0").isEmpty():
+    base = normal_seed(spark, seed)
+    if base is None:
         raise ValueError(f"invalid seed: {seed}")
-
-    # only pages of the seed's own scope can be reached, so only their HTML is parsed
-    reachable = scope_filter(pages.withColumn("_url", normalize_url(url)), seed, "_url").drop("_url")
-
-    def edges_of(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What each page is and where it points within the scope: one pass over its HTML."""
-        graph = cut(link_table(some, url, html, final_url, error), "graph")
-        found = graph.select(F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "dst_url")).filter(F.col("pos").isNotNull())
-        return graph, scope_filter(found, seed).groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos"))
-
-    # Without a budget every page in scope may be reached: all are parsed at once.  With one, a level
-    # parses its own pages only; scanning the store for few pages costs far less than parsing it.
+    reachable = in_scope(F.lit(base), F.col("url")) & is_http("url")
     budget = max_pages > 0
-    graph, edges = (None, None) if budget else edges_of(reachable)
-    edges = None if edges is None else cut(edges, "edges")
-
-    depth, used, last_seq = 0, 1, None
-    while not (budget and used >= max_pages) and (max_depth is None or depth < max_depth):
-        # all levels so far are one table, however many there are
-        visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
-        front = visited.filter(F.col("depth") == depth).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"))
+    walked, known = Buckets(spark, "walked", "depth"), Buckets(spark, "places" if budget else "edges")
+    try:
         if budget:
-            here = reachable.withColumn("src_url", normalize_url(url)).join(front, "src_url", "left_semi").drop("src_url")
-            edges = edges_of(here)[1]
-        found = (
-            front.join(edges, "src_url")
-            .groupBy(F.col("dst_url").alias("url"))
-            .agg(F.min(F.struct("parent", "pos")).alias("first"))
-        )
-        # the sorted row id keeps the order of the level; the next level refers to it
-        level = unvisited(found, visited, link="url").orderBy("first").select(
-            "url", F.monotonically_increasing_id().alias("seq")
-        )
-        depth += 1
-        level.write.parquet(f"{walked}/depth={depth}")
-        sizes = partition_sizes(spark.read.schema(LEVEL).parquet(f"{walked}/depth={depth}"), "seq")
-        size = sum(sizes.values())
-        if budget and used + size > max_pages:
-            last_seq = nth_row_id(sizes, max_pages - used)
-        used += size
-        if not size:
-            break
-    visited = spark.read.schema(LEVEL + ", depth int").parquet(walked)
-    if last_seq is not None:
-        visited = visited.filter((F.col("depth") < depth) | (F.col("seq") <= last_seq))
-    order = ranked(visited, "depth", "seq", name="walk").df.withColumnRenamed("rank", "crawl_order")
-    order = order.select("url", "depth", "crawl_order")
-    if budget:
-        here = reachable.withColumn("_url", normalize_url(url)).join(order.select(F.col("url").alias("_url")), "_url", "left_semi").drop("_url")
-        return with_status(order, store_status(here, url, html, error))
-    return with_status(order, store_status(graph, "url", "has_html", "stored_error", normal=True))
+            known.append(locator(pages, reachable, url))
+            links, redirect = page_links("html", "base"), F.col(final_url) if final_url else F.lit(None).cast("string")
+
+            def found_from(front: DataFrame) -> DataFrame:
+                spots = cut(front.withColumnRenamed("seq", "parent").join(known.rows(), "url"), "spots")
+                here = located(pages, spots, url, html=F.col(html), redirect=redirect).filter(F.col("html").isNotNull())
+                here = here.select("parent", F.coalesce("redirect", "url").alias("base"), "html")
+                return here.select("parent", F.posexplode_outer(links).alias("pos", "url")).filter(F.col("pos").isNotNull()).filter(reachable)
+
+        else:
+            # only pages of the seed's own scope can be reached, so only their HTML is parsed
+            inside = pages.withColumn("_url", normalize_url(url)).filter(in_scope(F.lit(base), F.col("_url")) & is_http("_url")).drop("_url")
+            graph = cut(link_table(inside, url, html, final_url, error), "graph")
+            out = graph.select(F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "url")).filter(F.col("pos").isNotNull())
+            edges = out.filter(reachable).groupBy("src_url", "url").agg(F.min("pos").alias("pos"))
+            known.append(edges.select(F.col("src_url").alias("url"), F.col("url").alias("dst_url"), "pos"))
+
+            def found_from(front: DataFrame) -> DataFrame:
+                return targets(front, known.rows())
+
+        walked.append(spark.range(1).select(F.lit(base).alias("url"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("depth")))
+        depth, used, last_seq = 0, 1, None
+        while not (budget and used >= max_pages) and (max_depth is None or depth < max_depth):
+            front = walked.rows().filter(F.col("depth") == depth).select("url", "seq")
+            depth += 1
+            walked.append(next_level(found_from(front), walked.rows().select("url")).withColumn("depth", F.lit(depth)))
+            sizes = partition_sizes(walked.rows().filter(F.col("depth") == depth), "seq")
+            size = sum(sizes.values())
+            if budget and used + size > max_pages:
+                last_seq = nth_row_id(sizes, max_pages - used)
+            used += size
+            if not size:
+                break
+        visited = walked.rows()
+        if last_seq is not None:
+            visited = visited.filter((F.col("depth") < depth) | (F.col("seq") <= last_seq))
+        order = ranked(visited.select("url", "depth", "seq"), "depth", "seq", name="walk").df.withColumnRenamed("rank", "crawl_order")
+        order = order.select("url", "depth", "crawl_order")
+        if not budget:
+            return with_status(order, store_status(graph, "url", "has_html", "stored_error", normal=True))
+        spots = cut(order.select("url").join(known.rows(), "url"), "spots")
+        stored = F.col(error) if error else F.lit(None).cast("string")
+        here = located(pages, spots, url, has_html=F.col(html).isNotNull(), stored_error=stored)
+        return with_status(order, store_status(here, "url", "has_html", "stored_error", normal=True))
+    finally:
+        walked.forget()
+        known.forget()
 
 
 def retry_report(pages: DataFrame, reports: DataFrame, step: str = "crawl", max_pages: int = 0, url: str = "url", html: str = "html", error: str | None = None) -> DataFrame:
@@ -123,4 +194,3 @@ def crawl_retry(
     kept = start.df.filter(F.col("rank") <= max_pages) if max_pages > 0 else start.df
     level = kept.select("url", F.lit(0).alias("depth"), F.col("rank").alias("crawl_order"))
     return frontier_lookup(level, pages, url, html, error)
-
