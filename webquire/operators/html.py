@@ -9,12 +9,15 @@ it reuses that partitioning without another shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webquire.functions.markup import END_OF_PAGE, WS, attribute, attributes
 from webquire.functions.text import split_names, unescape_html
+from webquire.operators.selectors import with_selected
 
 # --- fixed values -------------------------------------------------------------
 # elements whose inside is never markup
@@ -48,7 +51,6 @@ ENDS_P = (
 HOLDS_P = tuple(t for t in ENDS_P if t not in ("p", "hr")) + ("body", "html")
 # ------------------------------------------------------------------------------
 
-WS = r" \t\n\f\r"
 # after a tag name: a quote delimits a value only directly behind "="; a tag may meet the end of the page
 TAG_REST = rf"(?:[^>=]++|=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:>|\z)"
 TOKEN = (
@@ -58,9 +60,9 @@ TOKEN = (
     r"|<[!?/][^>]*+(?:>|\z)"
     r"|[^<]++|<"
 )
-ATTRIBUTE = rf"([^{WS}/>=][^{WS}/>=]*)(?:[{WS}]*=[{WS}]*(\"[^\"]*\"|'[^']*'|[^{WS}>]+))?"
+# an entry of a strip list that is a plain name
+BARE = re.compile(r"[^\s>.#\[\]:*+~(),=\"']+")
 TAG_NAME = rf"^</?([A-Za-z][^{WS}/>]*)"
-END_OF_PAGE = 2147483647
 
 
 def by_page(pages: DataFrame, key: str, html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
@@ -68,39 +70,6 @@ def by_page(pages: DataFrame, key: str, html: str = "html", keep: Sequence[str]
     return pages.select(key, *keep, html).repartition(key)
 
 
-def _bare_value(value: Column) -> Column:
-    quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-
-
-def attribute(token: Column, name: str, decode: bool = True) -> Column:
-    """Value of the first attribute of that name in a start tag, ``''`` if there is none.
-
-    ``decode=False`` leaves character references alone (class and role names hold none).
-    """
-    other = rf"(?!{name}[{WS}=/>])[^{WS}/>=]++(?:[{WS}]*+=[{WS}]*+(?:\"[^\"]*+\"|'[^']*+'|[^{WS}>\"'][^{WS}>]*+))?+"
-    pattern = (
-        rf"(?is)^<[a-z][^{WS}/>]*+(?:[{WS}/=]++|{other})*+"
-        rf"{name}[{WS}]*+=[{WS}]*+(\"[^\"]*+\"|'[^']*+'|[^{WS}>\"'][^{WS}>]*+)"
-    )
-    value = _bare_value(F.regexp_extract(token, pattern, 1))
-    return unescape_html(value) if decode else value
-
-
-def attributes(token: Column) -> Column:
-    """All attributes of a start tag as a map; names lower-case, the first of a name wins."""
-    inner = F.regexp_replace(token, rf"^<[A-Za-z][^{WS}/>]*|/?>$", "")
-    names = F.transform(F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
-    values = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(2))
-    first = F.filter(
-        F.arrays_zip(names.alias("name"), values.alias("value"), F.sequence(F.lit(1), F.size(names)).alias("nth")),
-        lambda a: F.array_position(names, a["name"]) == a["nth"],
-    )
-    pairs = F.transform(first, lambda a: F.struct(a["name"], unescape_html(_bare_value(a["value"]))))
-    empty = F.create_map().cast("map<string,string>")
-    return F.when(F.size(names) > 0, F.map_from_entries(pairs)).otherwise(empty)
-
-
 def token_array(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
@@ -273,7 +242,7 @@ def _keep_region(tokens: DataFrame) -> DataFrame:
 
 
 def _strip(tokens: DataFrame, key: str, tags: Sequence[str], classes: Sequence[str]) -> DataFrame:
-    """Drop the named elements with everything inside them, below the region root."""
+    """Drop the named and the ``selected`` elements with everything inside them, below the region root."""
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("kind").isin("start", "void", "raw")
     hit = F.col("tag").isin(*[t.lower() for t in tags]) if tags else F.lit(False)
@@ -282,6 +251,8 @@ def _strip(tokens: DataFrame, key: str, tags: Sequence[str], classes: Sequence[s
             F.when(F.lower("token").contains("class"), attribute(F.col("token"), "class", decode=False)).otherwise(""), rf"[{WS}]+"
         )
         hit = hit | F.arrays_overlap(names, F.array(*[F.lit(c) for c in classes]))
+    if "selected" in tokens.columns:
+        hit = hit | F.col("selected")
     until = (
         F.when(F.col("kind") != "start", F.col("pos"))
         .when((F.col("tag") == "head") & F.col("close_pos").isNull(), F.col("pos"))
@@ -291,7 +262,7 @@ def _strip(tokens: DataFrame, key: str, tags: Sequence[str], classes: Sequence[s
     return (
         tokens.withColumn("cut_to", F.max(F.when(opens & below & hit, until)).over(so_far))
         .filter((F.col("kind") == "eof") | F.col("cut_to").isNull() | (F.col("cut_to") < F.col("pos")))
-        .drop("cut_to")
+        .drop("cut_to", "selected")
     )
 
 
@@ -319,15 +290,24 @@ def content_tokens(
     media: bool = True,
     non_content: bool = True,
 ) -> DataFrame:
-    """Tokens of the main content after stripping, with pairing columns, and the ``eof`` row."""
+    """Tokens of the main content after stripping, with pairing columns, and the ``eof`` row.
+
+    An entry of ``strip_tags`` is a tag name or a selector (``operators.selectors``), one of ``strip_classes`` a class
+    name or what follows the dot of one.
+    """
+    names, marked = split_names(strip_tags), split_names(strip_classes)
+    selectors = [s for s in names if not BARE.fullmatch(s)] + [f".{c}" for c in marked if not BARE.fullmatch(c)]
     tokens = _paired(_page_tokens(pages, key, html, keep), key)
+    if selectors:
+        # before the region is cut out, as an element around it counts
+        tokens = with_selected(tokens, key, selectors)
     tokens = _keep_region(_add_region(tokens, key)) if region else tokens.withColumn(
         "region",
         F.struct(F.lit(6).alias("tier"), F.lit(-1).alias("open_pos"), F.lit(END_OF_PAGE).alias("close_pos")),
     )
-    tags = split_names(strip_tags) + list(MEDIA if media else ()) + list(NON_CONTENT if non_content else ())
-    classes = split_names(strip_classes)
-    return _strip(tokens, key, tags, classes) if tags or classes else tokens
+    tags = [t for t in names if BARE.fullmatch(t)] + list(MEDIA if media else ()) + list(NON_CONTENT if non_content else ())
+    classes = [c for c in marked if BARE.fullmatch(c)]
+    return _strip(tokens, key, tags, classes) if tags or classes or selectors else tokens
 
 
 def raw_inner(token: Column) -> Column:

@@ -13,7 +13,7 @@ from webquire.functions.text import md_path
 from webquire.functions.urls import normalize_url, url_to_filename
 from webquire.operators.markdown import convert
 from webquire.operators.packing import DEFAULT_MAX_WORDS
-from webquire.operators.report import build_report, outcome_union
+from webquire.operators.report import build_report, outcome_union, retry_items
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl
 from webquire.session import cut
@@ -77,5 +77,21 @@ def build_corpus(
     return Corpus(done.parts, done.summary, outcomes, report)
 
 
+def retry_convert(
+    files: DataFrame,
+    reports: DataFrame,
+    strip_tags: Sequence[str] | str | None = None,
+    strip_classes: Sequence[str] | str | None = None,
+    path: str = "path",
+    html: str = "content",
+) -> DataFrame:
+    """Convert again the files that the convert step of ``reports`` lists as failed; ``convert``'s columns.
+
+    The items of that step are file names, compared as they are.  ``files`` may come from ``read_html``; the rows of a
+    page store are named by ``url_to_filename``.
+    """
+    return convert(retry_items(files, reports, "convert", path), strip_tags, strip_classes, key=path, html=html, path=path)
+
+
 def _now(pages: DataFrame) -> datetime:
     return pages.sparkSession.range(1).select(F.current_timestamp()).first()[0]

@@ -181,7 +181,12 @@ def crawl(
 
 
 def retry_report(pages: DataFrame, reports: DataFrame, step: str = "crawl", max_pages: int = 0, url: str = "url", html: str = "html", error: str | None = None) -> DataFrame:
-    """Fetch again what a report lists as failed in ``step``, in URL order; ``crawl_retry``'s columns."""
+    """Fetch again what a report lists as failed in ``step``, in URL order; ``crawl_retry``'s columns.
+
+    The step's items are URLs; those of the convert step are file names, which ``plans.build.retry_convert`` takes.
+    """
+    if step == "convert":
+        raise ValueError("the convert step lists file names: use retry_convert")
     failed = report_items(reports).filter((F.col("step") == step) & (F.col("status") == "error"))
     return crawl_retry(pages, failed.select("url", F.col("url").alias("pos")), max_pages, url, html, error)
 

@@ -16,7 +16,7 @@ from webquire.operators import links as L
 from webquire.operators import markdown as M
 from webquire.operators import packing as P
 from webquire.operators import report as R
-from webquire.plans.build import build_corpus
+from webquire.plans.build import build_corpus, retry_convert
 from webquire.plans.combine import combine
 from webquire.plans.crawl import crawl, crawl_retry, retry_report, seeds
 from webquire.session import qualified, work_path
@@ -158,6 +158,27 @@ def last_pages(spark: SparkSession, sf: str) -> DataFrame:
     return source.join(last.select("page_id"), "page_id", "left_semi").select("path", F.col("html").alias("content"))
 
 
+def _unreadable(rows, place: str) -> None:
+    """A file per row that opens and cannot be read, in a folder on this machine."""
+    import os
+    from urllib.parse import unquote, urlparse
+
+    root = unquote(urlparse(place).path)
+    for row in rows:
+        os.makedirs(f"{root}/damaged", exist_ok=True)
+        os.symlink("/proc/self/mem", f"{root}/damaged/{row['doc_id']}.md")
+
+
+@query
+def corpus_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus of a folder to which files are added that cannot be read: they count, and hold no words."""
+    out = work_path(spark, "md")
+    write_files(documents(spark, sf), out)
+    more = table(spark, sf, "documents").filter("doc_id % 10 = 0").select("doc_id")
+    more.foreachPartition(lambda rows, place=qualified(spark, out): _unreadable(rows, place))
+    return combine(read_markdown(spark, out), 3_000).summary
+
+
 @query
 def files_markdown(spark: SparkSession, sf: str) -> DataFrame:
     out = work_path(spark, "md")
@@ -378,6 +399,15 @@ def html_strip_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _left(H.content_tokens(shaped_pages(spark, sf), "key", strip_classes=["ad"], media=False, non_content=False, region=False))
 
 
+# entries that are more than names: compounds, inside of, child of, attributes
+SELECTORS = ("div.ad", "section > article", "article ul li.ad", "main > svg", "body > footer", "[role=main] > h1", "p.x.ad")
+
+
+@query
+def html_strip_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _left(H.content_tokens(shaped_pages(spark, sf), "key", strip_tags=list(SELECTORS), media=False, non_content=False))
+
+
 @query
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return H.html_text(shaped_pages(spark, sf), "key", strip_tags="nav", strip_classes="ad")
@@ -624,6 +654,18 @@ def retry_from_report(spark: SparkSession, sf: str) -> DataFrame:
     return retry_report(site(spark, sf), R.build_report(failed)).select("url", "crawl_order", "status", "error")
 
 
+@query
+def retry_convert_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The files whose conversion a report lists as failed, converted again."""
+    files = last_pages(spark, sf)
+    cut_off = ~F.col("content").contains("</html>")
+    items = files.select(
+        F.lit("convert").alias("step"), F.col("path").alias("url"), F.when(cut_off, "error").otherwise("ok").alias("status"),
+        F.when(cut_off, "cut off").alias("error"), F.to_timestamp(F.lit(RUN_TIME)).alias("time"),
+    )
+    return retry_convert(files, R.build_report(items), "nav,footer", "ad")
+
+
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose paths repeat across their sources."""
     by_id = Window.partitionBy("source").orderBy("doc_id")
