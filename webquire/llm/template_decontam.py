@@ -110,34 +110,42 @@ def _slot(token: Column) -> Column:
 
 
 def _item_windows(items: DataFrame, stream: int, lengths: list[int], exact: bool) -> DataFrame:
-    """``item_id, stream, hash, k, n_windows, slots, values``: an item's distinct windows; of equal ones the first."""
+    """``item_id, stream, seed, n, hash, k, n_windows, slots, values``: an item's distinct windows; of equal ones the first.
+
+    ``seed`` is the hash of a window's first ``SEED`` tokens, by which documents look it up.
+    """
     size = F.size(f"t{stream}")
     n = F.least(size, F.lit(WINDOW))
     rows = _hashed(items, stream).where(size >= MIN_WORDS).withColumn("raw", words(F.col("text")))
     own = F.coalesce(*(F.when(n == k, _windows(k, stream)) for k in lengths))
-    rows = rows.withColumn("n", n).select("item_id", "raw", F.col(f"t{stream}").alias("tok"), "n", F.posexplode(own).alias("k", "hash"))
+    rows = rows.withColumn("n", n).select("item_id", "raw", F.col(f"t{stream}").alias("tok"), F.col(f"h{stream}").alias("h"), "n", F.posexplode(own).alias("k", "hash"))
     rows = rows.withColumn("part", F.slice("tok", F.col("k") + 1, F.col("n")))
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _slot(F.element_at("part", i + 1)))
     rows = rows.withColumn("slots", places)
     if not exact:
         rows = rows.where(F.col("n") - F.size("slots") >= F.least(F.lit(MIN_LITERALS), F.col("n")))
-    rows = rows.groupBy("item_id", "hash").agg(F.min(F.struct("k", "slots", "raw")).alias("f"))
+    rows = rows.withColumn("seed", F.element_at("h", F.col("k") + 1))
+    rows = rows.groupBy("item_id", "hash").agg(F.min(F.struct("k", "slots", "raw", "n", "seed")).alias("f"))
     values = F.transform("f.slots", lambda p: _value(F.element_at(F.col("f.raw"), F.col("f.k") + p + 1)))
     counts = rows.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n_windows"))
     rows = rows.join(counts, rows["item_id"].eqNullSafe(counts["i"]))
-    return rows.select("item_id", F.lit(stream).alias("stream"), "hash", F.col("f.k").alias("k"), "n_windows", F.col("f.slots").alias("slots"), values.alias("values"))
+    return rows.select("item_id", F.lit(stream).alias("stream"), "f.seed", "f.n", "hash", "f.k", "n_windows", "f.slots", values.alias("values"))
 
 
-def _seeds(items: DataFrame) -> DataFrame:
-    """``item_id, stream, hash, k, short``: windows of ``SEED`` tokens of the short items; ``short`` has the item's tokens and values."""
-    rows = _hashed(_hashed(items.where(F.size("t1").between(*SHORT)), 0), 1)
+def _short(items: DataFrame) -> DataFrame:
+    """``item_id, text_hash, short``: the tokens and values of the items that are aligned word by word."""
     values = F.transform(words(F.col("text")), _value)
-    rows = rows.select("item_id", F.struct("t0", "t1", values.alias("values")).alias("short"), "h0", "h1")
+    return items.where(F.size("t1").between(*SHORT)).select("item_id", F.xxhash64("text").alias("text_hash"), F.struct("t0", "t1", values.alias("values")).alias("short"))
+
+
+def _seeds(shorts: DataFrame) -> DataFrame:
+    """``item_id, text_hash, stream, seed, k``: windows of ``SEED`` tokens of the short items."""
+    rows = _hashed(_hashed(shorts.select("item_id", "text_hash", "short.t0", "short.t1"), 0), 1)
     parts = []
     for stream in (0, 1):
-        part = rows.select("item_id", "short", F.posexplode(F.slice(f"h{stream}", 1, F.size(f"h{stream}") - SEED + 1)).alias("k", "hash"))
-        literals = F.size(F.filter(F.slice(f"short.t{stream}", F.col("k") + 1, SEED), lambda t: ~_slot(t)))
-        parts.append(part.where(literals >= MIN_LITERALS).select("item_id", F.lit(ALIGNED).alias("stream"), "hash", "k", "short"))
+        part = rows.select("item_id", "text_hash", f"t{stream}", F.posexplode(F.slice(f"h{stream}", 1, F.size(f"h{stream}") - SEED + 1)).alias("k", "seed"))
+        literals = F.size(F.filter(F.slice(f"t{stream}", F.col("k") + 1, SEED), lambda t: ~_slot(t)))
+        parts.append(part.where(literals >= MIN_LITERALS).select("item_id", "text_hash", F.lit(ALIGNED).alias("stream"), "seed", "k"))
     return parts[0].unionByName(parts[1]).distinct()
 
 
@@ -161,36 +169,47 @@ def _aligned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fit", F.when(F.col("stream") == ALIGNED, F.struct(n.alias("n_matched"), F.size("short.t1").cast("long").alias("n_windows"), changed.alias("n_changed")))).drop("each", "same", "some")
 
 
-def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame], DataFrame], streams: list[int], lengths: list[int]) -> DataFrame:
+def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame], DataFrame], streams: list[int], shorts: DataFrame | None = None) -> DataFrame:
     """``doc, which, item_id, stream, at, k, n_windows, pairs, fit`` for every window of a document that is one of an item.
 
-    Rows of short items have ``fit`` only. It is judged after grouping: a filter here would move into the join and be
-    evaluated on whole documents.
+    A document looks up one hash per token, that of ``SEED`` tokens; the second stream adds only those that differ from
+    the first. Windows are compared where a seed is found. Rows of short items have ``fit`` only. It is judged after
+    grouping: a filter here would move into the join and be evaluated on whole documents.
     """
     n = windows.count()
     whole = tokens(docs).withColumn("raw", words(F.col("text")))
-    rows = whole
     for stream in streams:
-        rows = _hashed(rows, stream)
-    own = [_windows(k, stream) for stream in streams for k in lengths]
-    aligned = len(streams) > 1 and "short" in windows.columns
-    seeds = [F.slice(f"h{stream}", 1, F.greatest(F.size(f"h{stream}") - SEED + 1, F.lit(0))) for stream in streams] if aligned else []
-    texts = ["raw", "t0", "t1"] if aligned else ["raw"]
-    rows = rows.select("doc", "which", *texts, F.explode(F.array(*own, *seeds)).alias("w"))
-    rows = rows.select("doc", "which", *texts, F.posexplode("w").alias("pos", "hash"))
+        whole = _hashed(whole, stream)
+    first = f"h{streams[0]}"
+    others = [F.zip_with(f"h{s}", first, lambda own, base: F.when(own != base, own)) for s in streams[1:]]
+    texts = ["raw", *(f"t{s}" for s in streams if shorts is not None), *(f"h{s}" for s in streams)]
+    rows = whole.select("doc", "which", *texts, F.posexplode(F.concat(first, *others)).alias("at", "seed"))
+    rows = rows.withColumn("pos", F.pmod("at", F.size(first))).drop("at")
     if small(windows, n) is not windows:  # the words ride along, as nothing is shuffled
-        back = rows.join(small(windows, n), "hash")
+        back = rows.join(small(windows, n), "seed")
     else:
-        narrow = rows.select("doc", "which", "pos", "hash").join(windows, "hash")
+        narrow = rows.select("doc", "which", "pos", "seed").join(windows, "seed")
         apart = whole.select(F.col("doc").alias("d"), F.col("which").alias("h"), *texts).dropDuplicates(["d", "h"])
         back = narrow.join(apart, narrow["doc"].eqNullSafe(apart["d"]) & narrow["which"].eqNullSafe(apart["h"]))
+
+    def window(stream: int) -> Column:
+        h, pos = F.col(f"h{stream}"), F.col("pos")
+        inside = pos + F.col("n") <= F.size(h)
+        return inside & (F.col("hash") == F.xxhash64(F.col("n") + 16 * stream, F.get(h, pos), F.get(h, pos + F.col("n") - SEED)))
+
+    same = F.coalesce(*(F.when(F.col("stream") == s, window(s)) for s in streams), F.col("stream") == ALIGNED)
+    back = back.where(same)
+    texts = [c for c in texts if not c.startswith("h")]
     # a match keeps the words around it only: a task holds all matches of a document at once
     start = F.greatest(F.col("pos") - AROUND, F.lit(0))
     around = [F.slice(c, start + 1, 2 * AROUND + 1).alias(f"near_{c}") for c in texts]
     back = back.select("doc", "which", "pos", (F.col("pos") - start).alias("here"), *windows.columns, *around)
+    if shorts is not None:  # the words of each short item once, not with each of its seeds
+        own = small(shorts.select(F.col("item_id").alias("of"), F.col("text_hash").alias("of_text"), "short"), shorts.count())
+        back = back.join(own, back["item_id"].eqNullSafe(own["of"]) & (back["text_hash"] == own["of_text"]), "left")
     pair = F.zip_with("slots", "values", lambda p, v: F.struct(v.alias("item"), _value(F.element_at("near_raw", F.col("here") + p + 1)).alias("doc")))
     fit = "struct<n_matched:bigint,n_windows:bigint,n_changed:int>"
-    back = _aligned(back) if aligned else back.withColumn("fit", F.lit(None).cast(fit))
+    back = _aligned(back) if shorts is not None else back.withColumn("fit", F.lit(None).cast(fit))
     k = F.when(F.col("stream") != ALIGNED, F.col("k")).alias("k")
     return back.select("doc", "which", "item_id", "stream", (F.col("pos") - F.col("k")).alias("at"), k, "n_windows", F.when(F.col("stream") != ALIGNED, pair).alias("pairs"), "fit")
 
@@ -238,10 +257,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     items = items.where(F.size(words(F.col("text"))) >= MIN_WORDS)
     typed = cut(_item_windows(_tokens(items), 0, lengths, exact=False), "decontam-windows")
     folded = _item_windows(_tokens(items), 1, lengths, exact=False)
-    windows = cut(typed.unionByName(folded).unionByName(_seeds(_tokens(items)), allowMissingColumns=True), "decontam-windows")
+    shorts = cut(_short(_tokens(items)), "decontam-short")
+    windows = cut(typed.unionByName(folded).unionByName(_seeds(shorts), allowMissingColumns=True), "decontam-windows")
     rest = items.join(typed.select(F.col("item_id").alias("i")).distinct(), F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
     exact = cut(_item_windows(_literal(rest), 0, lengths, exact=True), "decontam-literal")
-    matches = [_matches(texts, windows, _tokens, [0, 1], lengths)] + ([_matches(texts, exact, _literal, [0], lengths)] if exact.take(1) else [])
+    matches = [_matches(texts, windows, _tokens, [0, 1], shorts)] + ([_matches(texts, exact, _literal, [0])] if exact.take(1) else [])
     return _decided(matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1]))
 
 
