@@ -155,3 +155,27 @@ def test_unterminated_tags_are_linear(spark):
     start = time.time()
     assert text(spark, "<a " * 350_000) == ""
     assert time.time() - start < 30
+
+
+def test_parts_in_chunks(spark):
+    """One part without a cap over many blocks: no row above the bound, and the chunks are the part's text."""
+    text = F.concat(F.lit("té€t😀 "), F.repeat(F.lit("xü "), (F.col("id") * 37 % 50).cast("int")))
+    docs = spark.range(2_000).select(
+        F.format_string("%05d.md", "id").alias("path"), F.when(F.col("id") % 97 == 0, "").when(F.col("id") % 89 == 0, F.repeat(text, 40)).otherwise(text).alias("content"), F.lit("g").alias("grp")
+    ).repartition(8)
+    for cap, size in ((None, 1_000), (300, 1_000), (None, 64), (None, 1 << 24)):
+        done = combine(docs, cap, "grp", chunk_bytes=size)
+        whole = {(p.part, p.file): p.content for p in done.parts.collect()}
+        chunks = done.chunks.orderBy("part", "chunk_no").collect()
+        joined = {}
+        for c in chunks:
+            joined[c.part, c.file] = joined.get((c.part, c.file), "") + c.content
+            assert len(c.content.encode()) < 2 * size + 7
+        assert joined == whole and len(whole) == (1 if cap is None else len(whole))
+        assert len(chunks) >= sum(len(t.encode()) for t in whole.values()) // (2 * size)
+
+
+def test_chunks_of_nothing_and_of_unreadable_documents(spark):
+    docs = spark.createDataFrame([("a.md", None), ("b.md", "")], "path string, content string")
+    assert combine(docs, None).chunks.collect() == [] or [c.content for c in combine(docs, None).chunks.collect()] == [""]
+    assert combine(docs.limit(0), None).chunks.count() == 0

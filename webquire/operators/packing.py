@@ -24,10 +24,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquire.functions.text import part_path, path_order_key
+from webquire.operators.ranking import PARTITION_BITS
 from webquire.session import checkpoint, cut
 
 # executors need not have this package installed
@@ -35,6 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEFAULT_MAX_WORDS = 500_000  # fixed value: the cap used for 0 or less
 SEPARATOR = "\n\n---\n\n"  # fixed value: stands between two documents of a part
+CHUNK_BYTES = 16 << 20  # of a part's text in one row
 
 STEP = "grp string, block int, reach array<bigint>, words_out array<bigint>, parts array<bigint>, total bigint"
 ENTRY = "block int, words_in bigint, parts_in bigint"
@@ -131,28 +133,50 @@ def _walk(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["block", "words_in", "parts_in"])
 
 
+def _starts(reach: np.ndarray, words: np.ndarray, cap: int, first: int) -> np.ndarray:
+    """Which documents start a part, ``first`` being the first to.
+
+    A start points to the next one.  Marks spread along the pointers while the pointers double, so the chain is marked
+    in as many rounds as its length has bits.
+    """
+    n = len(words)
+    row = np.arange(n)
+    jump = np.append(np.maximum(row + 1, np.searchsorted(reach, reach - words + cap, side="right")), n)
+    marked = np.zeros(n + 1, bool)
+    marked[first] = True
+    while True:
+        ahead = jump[marked]
+        if (ahead == n).all():
+            return marked[:n]
+        marked[ahead] = True
+        jump = jump[jump]
+
+
 def _fold(batches: Iterator[pd.DataFrame], cap: int, entry: dict[int, tuple[int, int]]) -> Iterator[pd.DataFrame]:
-    """Assign parts inside a block, document by document, from its entry state."""
+    """Assign parts inside a block, from its entry state, a run of one group at a time."""
     group, first = None, True
     words = parts = 0
-    for pdf in batches:
-        part = np.empty(len(pdf), np.int64)
-        leading = np.zeros(len(pdf), bool)
-        rows = zip(pdf["grp"], pdf["words"], pdf["empty"], pdf["block"])
-        for i, (grp, w, empty, block) in enumerate(rows):
-            if first or grp != group:
-                words, parts = entry.get(block, (0, 0)) if first else (0, 0)
-                group, first = grp, False
-            if empty:
-                # an empty document never opens a part: ahead of the first text it is invisible
-                leading[i] = parts == 0 or words > cap
-                part[i] = parts + 1 if leading[i] else parts
-            else:
-                if parts == 0 or words + w > cap:
-                    words, parts = 0, parts + 1
-                words += w
-                part[i] = parts
-        yield pdf[["grp", "path", "words", "seq"]].assign(part=part, leading=leading)
+    for grp, run in _runs(batches):
+        if first or grp != group:
+            words, parts = entry.get(int(run["block"].iloc[0]), (0, 0)) if first else (0, 0)
+            group, first = grp, False
+        empty = run["empty"].to_numpy(bool)
+        count = run.loc[~empty, "words"].to_numpy(np.int64)
+        reach = np.cumsum(count)
+        n = len(count)
+        starts = _starts(reach, count, cap, 0 if parts == 0 else int(np.searchsorted(reach, cap - words, side="right")))
+        # the state ahead of each text, and behind the last: parts so far, and words in the open one
+        number = parts + np.r_[0, np.cumsum(starts)]
+        since = np.maximum.accumulate(np.r_[-words, np.where(starts, reach - count, -words)])
+        filled = np.r_[0, reach] - since
+        # an empty document never opens a part: ahead of the first text it is invisible
+        ahead = np.cumsum(~empty)[empty]
+        leading, part = np.zeros(len(run), bool), np.empty(len(run), np.int64)
+        leading[empty] = (number[ahead] == 0) | (filled[ahead] > cap)
+        part[empty] = number[ahead] + leading[empty]
+        part[~empty] = number[1:]
+        words, parts = int(filled[n]), int(number[n])
+        yield run[["grp", "path", "words", "seq"]].assign(part=part, leading=leading)
 
 
 def assign_parts(
@@ -262,6 +286,55 @@ def parts_of(
     )
 
 
+def part_chunks(
+    docs: DataFrame,
+    assigned: DataFrame,
+    max_words: int | None = DEFAULT_MAX_WORDS,
+    output: str = "combined.md",
+    path: str = "path",
+    content: str = "content",
+    group_by: Column | str | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """``(grp, part, chunk_no, file, content)``: the text of every part in rows of less than twice ``chunk_bytes``.
+
+    The chunks of a part, in order, are its text.  A document is a unit, a longer one several; a unit goes to the chunk
+    in which its first byte falls.  Where that is follows from prefix sums of byte counts, made per block of the
+    packing's sort and then over the blocks, so a part that holds the whole corpus is cut by many tasks at once.
+    """
+    letters = max(1, chunk_bytes // 4)  # a character has four bytes at most
+    text = F.col("content")
+    units = F.when(F.octet_length(text) <= chunk_bytes, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{letters}}}+"), F.lit(0)))
+    named = docs.filter(F.col(content).isNotNull()).select(_group(group_by).alias("grp"), F.col(path).alias("path"), F.col(content).alias("content"))
+    sizes = named.select("grp", "path", F.transform(units, lambda u: F.octet_length(u).cast("long")).alias("sizes"))
+    cap = effective_cap(max_words)
+    split = assigned.groupBy("grp").agg((F.sum("words") > cap).alias("split"))
+    shown = assigned.filter(~F.col("leading"))
+    firsts = shown.groupBy("grp", "part").agg(F.min("seq").alias("first"))
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    lead = F.when(F.col("seq") == F.col("first"), 0).otherwise(len(SEPARATOR))
+    spans = shown.join(firsts, ["grp", "part"]).join(sizes, ["grp", "path"]).select(
+        "grp", "path", "part", "seq", "sizes", lead.alias("lead"), (lead + total).alias("bytes"), F.shiftright("seq", PARTITION_BITS).alias("block")
+    )
+    spans = cut(spans, "part-spans")
+    # one row per part and block; their sums come before those inside a block
+    blocks = spans.groupBy("grp", "part", "block").agg(F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("grp", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("grp", "part", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("grp", "part", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(blocks, ["grp", "part", "block"])
+    start = F.col("base") + F.col("at")
+    # where each unit begins; the separator goes with the first
+    begins = F.transform("sizes", lambda x, i: start + F.when(i == 0, 0).otherwise(F.col("lead") + F.aggregate(F.slice("sizes", 1, i), F.lit(0).cast("long"), lambda a, y: a + y)))
+    chunks = F.transform(begins, lambda b: F.floor(b / chunk_bytes))
+    where = placed.join(split, "grp").select("grp", "path", "part", "seq", "lead", chunks.alias("chunks"), part_path(F.lit(output), F.col("part"), F.col("split")).alias("file"))
+    pieces = named.join(where, ["grp", "path"]).select("grp", "part", "file", "seq", "lead", "chunks", F.posexplode(units).alias("nth", "text"))
+    body = F.when((F.col("nth") == 0) & (F.col("lead") > 0), F.concat(F.lit(SEPARATOR), F.col("text"))).otherwise(F.col("text"))
+    rows = pieces.select("grp", "part", "file", F.get("chunks", F.col("nth")).alias("chunk_no"), F.struct("seq", "nth").alias("place"), body.alias("text"))
+    joined = F.expr("listagg(text, '') within group (order by place)")
+    return rows.groupBy("grp", "part", "chunk_no", "file").agg(joined.alias("content"))
+
+
 def corpus_summary(docs: DataFrame, assigned: DataFrame, group_by: Column | str | None = None) -> DataFrame:
     """``(grp, files, words, parts)`` per corpus.  ``files`` also counts documents that could
     not be read; separators hold no words."""

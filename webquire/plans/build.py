@@ -27,6 +27,7 @@ class Corpus:
     summary: DataFrame
     outcomes: DataFrame
     report: DataFrame
+    chunks: DataFrame  # the text of the parts in rows of bounded size
 
 
 def build_corpus(
@@ -74,7 +75,7 @@ def build_corpus(
     if report_path:
         write_report(report, report_path)
         report = read_report(pages.sparkSession, report_path)
-    return Corpus(done.parts, done.summary, outcomes, report)
+    return Corpus(done.parts, done.summary, outcomes, report, done.chunks)
 
 
 def retry_convert(

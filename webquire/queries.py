@@ -549,6 +549,15 @@ def combine_content(spark: SparkSession, sf: str) -> DataFrame:
     return combine(documents(spark, sf), 3_000, "source").parts
 
 
+CHUNK = 2_000
+
+
+@query
+def combine_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents of a source as one part without a cap, in chunks; many documents are longer than one."""
+    return combine(documents(spark, sf), None, "source", chunk_bytes=CHUNK).chunks
+
+
 @query
 def combine_conversations(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(
