@@ -183,7 +183,9 @@ def _matches(docs: DataFrame, windows: DataFrame, tokens: Callable[[DataFrame],
     first = f"h{streams[0]}"
     others = [F.zip_with(f"h{s}", first, lambda own, base: F.when(own != base, own)) for s in streams[1:]]
     texts = ["raw", *(f"t{s}" for s in streams if shorts is not None), *(f"h{s}" for s in streams)]
-    rows = whole.select("doc", "which", *texts, F.posexplode(F.concat(first, *others)).alias("at", "seed"))
+    # two steps: exploding the expression itself would have it run again for the optimizer's size and null checks
+    rows = whole.select("doc", "which", *texts, F.explode(F.array(F.concat(first, *others))).alias("w"))
+    rows = rows.select("doc", "which", *texts, F.posexplode("w").alias("at", "seed"))
     rows = rows.withColumn("pos", F.pmod("at", F.size(first))).drop("at")
     if small(windows, n) is not windows:  # the words ride along, as nothing is shuffled
         back = rows.join(small(windows, n), "seed")
