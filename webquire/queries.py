@@ -22,7 +22,7 @@ from webquire.plans.crawl import crawl, crawl_retry, retry_report, seeds
 from webquire.session import qualified, work_path
 from webquire.sources.readers import read_html, read_markdown, read_pages, read_report, read_zip
 from webquire.sources.writers import write_docs, write_files, write_parts, write_report
-from webquire.streaming.streams import stream_convert, stream_links
+from webquire.streaming.streams import discovered, stream_convert, stream_discovery, stream_links
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -727,3 +727,17 @@ def stream_first_links(spark: SparkSession, sf: str) -> DataFrame:
     links = stream_links(page_stream(spark, sf))
     links.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query
+def stream_discovered(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl of the linked site, whose pages come in files in an order of no meaning."""
+    store, out = work_path(spark, "arriving"), work_path(spark, "found")
+    site(spark, sf).repartitionByRange(6, F.md5("url")).write.parquet(store)
+    coming = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 2).parquet(store)
+    query = stream_discovery(coming, SEED, out, work_path(spark, "state"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return discovered(spark, out)

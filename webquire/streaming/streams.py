@@ -1,16 +1,25 @@
-"""Structured Streaming forms of convert and link discovery."""
+"""Structured Streaming forms of convert, link discovery and the crawl."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webquire.operators.links import extract_links, scope_filter
+from webquire.functions.urls import in_scope, is_http
+from webquire.operators.links import extract_links, link_table, normal_seed, scope_filter
 from webquire.operators.markdown import convert
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_html(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """New ``.html`` files of a directory as ``(path, content)``."""
@@ -70,3 +79,93 @@ def stream_links(
     if event_time:
         return links.select("dst_url", event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dst_url"])
     return links.select("dst_url").dropDuplicates(["dst_url"])
+
+
+# What reaches a URL: ``links`` of its page (``ok``: it has HTML), or without them the news that a page ``depth`` - 1 points to it.
+MESSAGE = "url string, links array<string>, ok boolean, stored_error string, depth int"
+# What a URL tells: a target that it points to, or with ``fetched`` how it stands itself.
+NEWS = "url string, depth int, fetched boolean, ok boolean, stored_error string"
+# depth: null until some reached page points here; the rest is null until the page has come.
+KNOWN = "depth int, links array<string>, ok boolean, stored_error string"
+
+
+def _meet(key: tuple[str], messages: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
+    """One URL takes its messages: it tells its links once it is both reached and fetched, and again when reached sooner."""
+    if state.hasTimedOut:
+        state.remove()  # a page that nothing pointed to for so long
+        return
+    depth, links, ok, error = state.get if state.exists else (None, None, None, None)
+    before, had = depth, links is not None
+    for batch in messages:
+        for m in batch.itertuples(index=False):
+            if m.links is None:
+                depth = int(m.depth) if depth is None else min(depth, int(m.depth))
+            else:
+                links = list(dict.fromkeys([*(links if links is not None else []), *m.links]))
+                ok, error = bool(ok or m.ok), min((e for e in (error, m.stored_error) if e is not None), default=None)
+    state.update((depth, links, ok, error))
+    if depth is None:
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        return
+    if depth != before or (links is not None) != had:
+        own = (key[0], depth, links is not None, ok, error)
+        yield pd.DataFrame([own, *((link, depth + 1, None, None, None) for link in links or [])], columns=["url", "depth", "fetched", "ok", "stored_error"]).astype({"fetched": "object", "ok": "object"})
+
+
+def stream_discovery(
+    pages: DataFrame,
+    seed: str,
+    out: str,
+    checkpoint: str,
+    url: str = "url",
+    html: str = "html",
+    final_url: str | None = None,
+    error: str | None = None,
+    keep: int | None = None,
+) -> StreamingQuery:
+    """Crawl a stream of pages that come in any order: the running query, whose findings ``discovered`` reads from ``out``.
+
+    Each URL has a state of its own, hash-partitioned by URL: whether and how soon it is reached from ``seed``, and what
+    its page holds once that has come.  What a reached page points to is written to ``out`` and read back as the next
+    input, so levels follow one another within the query; a URL that is reached on a shorter way tells its links again.
+    A batch that runs again replaces its own output.  ``keep``: milliseconds after which a page is forgotten that
+    nothing has pointed to (such a query runs batches for its timers and never rests); without it the state grows with
+    the pages.
+    """
+    spark = pages.sparkSession
+    base = normal_seed(spark, seed)
+    if base is None:
+        raise ValueError(f"invalid seed: {seed}")
+    _tell(spark.createDataFrame([(base, 0, None, None, None)], NEWS), out, -1)
+    inside = F.filter("links", lambda link: in_scope(F.lit(base), link) & is_http(link))
+    come = link_table(pages, url, html, final_url, error).select(
+        "url", F.coalesce(inside, F.array().cast("array<string>")).alias("links"), F.col("has_html").alias("ok"), "stored_error", F.lit(None).cast("int").alias("depth")
+    )
+    told = spark.readStream.schema(f"{NEWS}, batch int").parquet(f"{out}/told=true")
+    told = told.select("url", F.lit(None).cast("array<string>").alias("links"), F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("string").alias("stored_error"), "depth")
+    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
+    news = come.unionByName(told).groupBy("url").applyInPandasWithState(partial(_meet, keep_ms=keep), NEWS, KNOWN, "update", timeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a target that many pages name is told once in a batch
+        _tell(batch.groupBy("url", "fetched", "ok", "stored_error").agg(F.min("depth").alias("depth")), out, number)
+
+    return news.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).start()
+
+
+def _tell(news: DataFrame, out: str, number: int) -> None:
+    """Write the news of one batch in place of what it may have told before; targets stand apart, as they are read again.
+
+    A batch without targets makes no file that is, so the stream comes to rest.
+    """
+    rows = news.withColumn("told", F.col("fetched").isNull()).withColumn("batch", F.lit(number))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("told", "batch").parquet(out)
+
+
+def discovered(spark: SparkSession, out: str) -> DataFrame:
+    """``(url, depth, status, error)`` of the URLs that ``stream_discovery`` has reached so far."""
+    news = spark.read.schema(f"{NEWS}, told boolean, batch int").parquet(out)
+    ok = F.coalesce(F.max("ok"), F.lit(False))
+    reason = F.when(F.max("fetched"), F.coalesce(F.min("stored_error"), F.lit("page has no html"))).otherwise("not in page store")
+    return news.groupBy("url").agg(F.min("depth").alias("depth"), F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, reason).alias("error"))
