@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -371,11 +372,21 @@ def test_parser_cases():
     assert text("<table><tr><td>a<td>b<tr><td>c</table>d") == "a|b|c|d"
     assert text("<textarea>no</textarea><title>no</title>yes<style>p{}</style>") == "yes"
     assert text("") == "" and text("&nbsp; &copy;") == "©"
+    # a quote delimits a value only behind "="
+    assert text("<p title=it's>First</p><p>Second don't</p><p>Third</p>") == "First|Second don't|Third"
+    assert text('<p class=x">a</p><p>b "c"</p>') == 'a|b "c"'
+    assert text('<p title = "a>b" data-x=\'>\'>c</p>') == "c" and text('<p title="a>b') == "b"
+    assert text("<ul><li><b>x<ul><li>y</b></ul><li>z</ul><p>u<div>v</x>w</div>") == "x|y|z|u|vw"
 
 
 def test_parser_is_linear():
     for bad in ("<a " * 200_000, "<!--" * 200_000, "<script>" * 100_000, '<p title="' * 100_000, "<div>" * 20_000, "</x>" * 100_000):
         dt.parse(bad)
+    start = time.time()
+    dt.parse("<div>" * 20_000 + "</x>" * 20_000)
+    dt.parse("<b>" * 20_000 + "<hr>" * 20_000 + "<li></li>" * 20_000)
+    dt.parse("<li><ul>" + "<b>" * 20_000 + "<li></li>" * 20_000)
+    assert time.time() - start < 10
 
 
 def test_extraction_odd_rows(spark, model):

@@ -6,6 +6,8 @@ import html
 import math
 import re
 import sys
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +38,9 @@ HINTS_OTHER = {
 }
 _OTHER = {word: 1 << i for i, words in enumerate(HINTS_OTHER.values()) for word in words.split()}
 
+# a quote delimits a value only behind "="; one anywhere else, or without its mate, is a character like others
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
 )
 _HINT = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -86,6 +89,8 @@ def parse(text: str) -> Page:
     nodes = [Node("#", -1, 0, 0)]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#", 0)]  # open elements with their block node
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack the elements of a tag are
+    solid, fences = [0], [0]  # where those are that are not inline, and those that implied end tags do not cross
     pieces: list[str] = []
     links, silent, chars, linked = 0, 0, 0, 0
 
@@ -110,7 +115,11 @@ def parse(text: str) -> Page:
         for t, _ in stack[k:]:
             links -= t == "a"
             silent -= t in SILENT
+            places[t].pop()
         del stack[k:]
+        for marks in (solid, fences):
+            while marks[-1] >= k:
+                marks.pop()
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -127,27 +136,15 @@ def parse(text: str) -> Page:
         if not tag:
             continue
         if m["close"]:
-            k = len(stack) - 1
-            while k and stack[k][0] != tag:
-                k -= 1
-            if k:
-                pop(k)
+            if places[tag]:
+                pop(places[tag][-1])
             continue
-        if tag in BLOCKS_P:
-            k = len(stack) - 1
-            while k and stack[k][0] in INLINE:
-                k -= 1
-            if k and stack[k][0] == "p":
-                pop(k)
+        if tag in BLOCKS_P and stack[solid[-1]][0] == "p":
+            pop(solid[-1])
         if tag in CLOSES:
-            k = len(stack) - 1
-            lowest = 0
-            while k and stack[k][0] not in BARRIERS or k and stack[k][0] in CLOSES[tag]:
-                if stack[k][0] in CLOSES[tag]:
-                    lowest = k
-                k -= 1
-            if lowest:
-                pop(lowest)
+            within = [x[i] for x in (places[t] for t in CLOSES[tag]) if (i := bisect_right(x, fences[-1])) < len(x)]
+            if within:
+                pop(min(within))
         if tag == "br":
             add(" ")
         if tag in VOID:
@@ -168,6 +165,11 @@ def parse(text: str) -> Page:
             nodes[owner].tags += 1
         if m["attrs"].endswith("/") and tag not in INLINE and tag in SILENT:
             continue
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            solid.append(len(stack))
+        if tag in BARRIERS:
+            fences.append(len(stack))
         stack.append((tag, owner))
         links += tag == "a"
         silent += tag in SILENT
@@ -211,6 +213,7 @@ def features(page: Page) -> np.ndarray:
         bad_chars[p] += bad_chars[i]
         marks[p] += marks[i]
     total = max(1, size[0])
+    alike = Counter((x.parent, x.tag) for x in nodes)
     out = np.zeros((n, N_FEATURES))
     up = [(0, 0, 0, 0, 0, 0)] * n  # hints and elements of the ancestors; the nearest hint and how far up it is
     bits = range(len(HINTS_OTHER))
@@ -227,7 +230,7 @@ def features(page: Page) -> np.ndarray:
             j = rank[i]
             before = size[sib[j - 1]] if j else 0
             after = size[sib[j + 1]] if j + 1 < len(sib) else 0
-            same = sum(nodes[s].tag == x.tag for s in sib[max(0, j - 20) : j + 21])
+            same = alike[x.parent, x.tag]
         else:
             good = bad = inside = framed = near = far = before = after = same = j = 0
             p, sib = x, [0]
