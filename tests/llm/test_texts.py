@@ -268,3 +268,20 @@ def test_line_templates_odd_rows(odd, none):
     assert one == [one[0]] * 2 and one[0]
     assert [r.text for r in got if r.doc_id == 2] == [""]
     assert lt.drop_recurring_lines(none).count() == 0
+
+
+def test_line_templates_of_a_row_without_id(spark):
+    """Two variants of one template, one in a row without id: it stays in the document with one."""
+    docs = spark.createDataFrame([(None, "user 17 left the room today"), (5, "user 21 left the room soon")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lt.drop_recurring_lines(docs).collect()}
+    assert got == {None: ("", 1), 5: ("user 21 left the room soon", 0)}
+
+
+def test_tokens_beyond_the_width_are_refused(spark, tmp_path):
+    """A vocabulary whose ids begin above what two bytes hold."""
+    with open(f"{FOLDER}/{VOCABULARY}") as f:
+        pairs = [line.split() for line in f]
+    (tmp_path / "large.tiktoken").write_text("".join(f"{token} {int(rank) + 70_000}\n" for token, rank in pairs))
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        ts.write_shards(docs, vocabulary=str(tmp_path / "large.tiktoken"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A word: a run of code points other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of a written table below which it is broadcast; each of its rows is narrow.
@@ -24,7 +29,10 @@ def n_words(text: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep an Arrow batch small whatever the texts' lengths: few rows, and a limit in bytes where Spark has one."""
+    """Keep an Arrow batch small whatever the texts' lengths: few rows, and a limit in bytes where Spark has one.
+
+    The settings are the session's and stay, as the plan that needs them runs later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

@@ -127,8 +127,9 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> tup
     joined = first.select("leaf", "v", "t").join(second.select(F.col("leaf").alias("l"), F.col("v").alias("x"), F.col("t").alias("top")), (F.col("leaf") == F.col("l")) & (F.col("t") == F.col("x"))).select("leaf", "v", "top")
     member = variants.join(joined.select(F.col("leaf").alias("l"), F.col("v").alias("x"), "top"), (F.col("leaf") == F.col("l")) & (F.col("v") == F.col("x"))).select("leaf", "v", "top", "n", "first_doc")
     member = cut(member, "line-members")
-    top = member.groupBy(F.col("leaf").alias("l"), F.col("top").alias("x")).agg(F.sum("n").alias("docs"), F.min("first_doc").alias("first"), F.max("first_doc").alias("last"), F.max("n").alias("most"))
-    top = top.where((F.col("docs") >= min_docs) & ((F.col("most") > 1) | (F.col("first") < F.col("last"))))
+    top = member.groupBy(F.col("leaf").alias("l"), F.col("top").alias("x")).agg(F.sum("n").alias("docs"), F.min("first_doc").alias("first"), F.max("first_doc").alias("last"), F.max("n").alias("most"), F.bool_or(F.col("first_doc").isNull()).alias("nameless"))
+    two = (F.col("most") > 1) | (F.col("first") < F.col("last")) | (F.col("nameless") & F.col("first").isNotNull())
+    top = top.where((F.col("docs") >= min_docs) & two)
     found = member.join(top, (F.col("leaf") == F.col("l")) & (F.col("top") == F.col("x"))).select("leaf", "v", "top", F.col("first").alias("first_doc"))
     return cut(found, "line-recurring"), at
 

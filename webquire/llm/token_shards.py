@@ -99,6 +99,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = np.append(encoder.encode(text.as_py() or ""), END_OF_TEXT)
+                if tokens.max() > np.iinfo(TOKEN).max:
+                    raise ValueError(f"token {tokens.max()} does not fit {TOKEN}")
                 at = 0
                 while at < len(tokens):
                     n = min(length - fill, len(tokens) - at)
