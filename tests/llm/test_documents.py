@@ -264,6 +264,17 @@ def test_mix_properties(spark, odd, none):
     assert mx.mix(none).count() == mx.draw(none).count() == 0
 
 
+def test_mix_buckets_are_even_at_every_quality(spark):
+    """Rows of the lowest quality alone, of one class among others, and of every class."""
+    q = F.when(F.col("source") == "junk", 0.05).when(F.col("source") == "both", F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.05)).otherwise(0.05 + 0.95 * F.rand(5))
+    rows = spark.range(240_000).select("id", F.element_at(F.array(*map(F.lit, ("junk", "both", "any"))), (F.col("id") % 3 + 1).cast("int")).alias("source"), F.lit(1).alias("size"))
+    narrow = rows.withColumn("quality", q).withColumn("key", -F.log(mx.uniform(F.col("id").cast("string"))) / F.col("quality"))
+    keyed = mx.key_buckets(narrow, mx.source_targets(rows))
+    per = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("source", "bucket").collect()
+    assert max(r.n for r in per) < 2 * mx.BUCKET_DOCS and len(per) > 50
+    assert all(a.high <= b.low for a, b in zip(per, per[1:]) if a.source == b.source)
+
+
 def test_mix_prefers_quality(spark):
     good, junk = "plain words of prose " * 5, "### $$$ %%% *** " * 6
     docs = spark.createDataFrame([(i, good if i % 2 else junk, "abc"[i % 3]) for i in range(3_000)], "doc_id long, text string, source string")

@@ -4,8 +4,9 @@ Each document draws ``u`` from a hash of its id and gets the exponential key ``-
 documents are taken in key order until the words reach the source's budget. Whole epochs come first: a source whose
 target is 2.4 times its size gives every document twice, and the keys choose the rest.
 
-No source is sorted in one task. ``exp(-key)`` lies in (0, 1]; it is cut into buckets in proportion to the source's
-documents. Bucket sums are prefix-summed per source, and only inside a bucket do rows get a running sum.
+No source is sorted in one task. The keys of a source follow a mixture of exponentials, one per quality; its distribution
+function over the source's quality classes turns keys into even ranks, which are cut into buckets in proportion to the
+source's documents. Bucket sums are prefix-summed per source, and only inside a bucket do rows get a running sum.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from webquire.session import cut
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKET_DOCS = 4_096
+LEAST_QUALITY = 0.05
+# classes of quality, even on a logarithmic scale
+CLASSES = 24
 SYMBOLS = "#*$%&|<>{}[]_=~^"
 
 
@@ -26,7 +30,7 @@ def quality_weight(text: Column) -> Column:
     """1 for plain prose, falling with the share of markup symbols; 0.05 at least."""
     length = F.length(text)
     symbols = length - F.length(F.translate(text, SYMBOLS, ""))
-    return F.when(length > 0, F.greatest(F.lit(0.05), 1.0 / (1.0 + 20.0 * symbols / length))).otherwise(F.lit(0.05))
+    return F.when(length > 0, F.greatest(F.lit(LEAST_QUALITY), 1.0 / (1.0 + 20.0 * symbols / length))).otherwise(F.lit(LEAST_QUALITY))
 
 
 def uniform(key: Column) -> Column:
@@ -62,17 +66,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
 
 
+def key_buckets(narrow: DataFrame, targets: DataFrame) -> DataFrame:
+    """``narrow`` with its source's ``targets`` and a ``bucket`` that rises with ``key``; about ``BUCKET_DOCS`` rows each.
+
+    A source's share of keys up to ``k`` is about the sum over its quality classes of ``n * (1 - exp(-quality * k))``,
+    whatever the qualities are. The sum rises with ``k`` for any classes, so these touch the evenness alone.
+    """
+    place = F.floor(F.log(F.col("quality") / LEAST_QUALITY) / F.log(F.lit(1 / LEAST_QUALITY)) * CLASSES)
+    classes = narrow.groupBy("source", place.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("q"))
+    classes = classes.groupBy(F.col("source").alias("__of")).agg(F.collect_list(F.struct("n", "q")).alias("classes"))  # CLASSES + 1 at most
+    known = targets.join(classes, F.col("source").eqNullSafe(F.col("__of"))).drop("__of").withColumn("buckets", 1 + F.floor(F.col("n_docs") / BUCKET_DOCS))
+    known = cut(known.withColumnRenamed("source", "__s"), "mix-targets")
+    # sources beyond the broadcast limit are many and small; a hot one among them is spread by AQE's skew join
+    keyed = narrow.join(small(known, known.count()), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    below = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["n"] * (1.0 - F.exp(-c["q"] * F.col("key"))))
+    return keyed.withColumn("bucket", F.floor(below / F.col("n_docs") * F.col("buckets"))).drop("classes", "buckets")
+
+
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
     """``id, source, size, tie, source_size, target, copies`` for every row."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text).alias("size"), quality_weight(text).alias("quality"), F.xxhash64(text).alias("tie"))
     u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     narrow = cut(rows.withColumn("key", -F.log(u) / F.col("quality")), "mix-sizes")
-    targets = cut(source_targets(narrow, weights, max_epochs).withColumn("buckets", 1 + F.floor(F.col("n_docs") / BUCKET_DOCS)), "mix-targets")
-    n_sources = targets.count()
-    # sources beyond the broadcast limit are many and small; a hot one among them is spread by AQE's skew join
-    keyed = narrow.join(small(targets.withColumnRenamed("source", "__s"), n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    keyed = keyed.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * F.col("buckets")))
+    keyed = key_buckets(narrow, source_targets(narrow, weights, max_epochs))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("s")).select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     # rows that nothing tells apart are peers: they share the running sum and so the decision
