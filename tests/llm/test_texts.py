@@ -285,3 +285,10 @@ def test_tokens_beyond_the_width_are_refused(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     with pytest.raises(Exception, match="does not fit"):
         ts.write_shards(docs, vocabulary=str(tmp_path / "large.tiktoken"))
+
+
+def test_toxicity_with_ids_of_text(spark):
+    """The order of the fit follows the ids, or their hashes where they are no numbers."""
+    docs = spark.createDataFrame([(f"k{i}", "you are an awful idiot" if i % 2 else "a fine day at the lake") for i in range(80)], "doc_id string, text string")
+    labels = docs.select("doc_id", F.lit(0).alias("quality"), F.col("text").contains("awful").cast("int").alias("toxic"))
+    assert {(r.text, r.predicted) for r in fm.toxicity(docs, labels).collect()} == {("you are an awful idiot", 1), ("a fine day at the lake", 0)}

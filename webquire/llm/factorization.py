@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             terms = pa.array([text_terms(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], schema=arrow)
 
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(id_col).cast("long").alias("key"), F.col("__y").alias("y"), text_col)
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.coalesce(F.col(id_col).try_cast("long"), F.xxhash64(id_col)).alias("key"), F.col("__y").alias("y"), text_col)
     got = rows.mapInArrow(hash_terms, schema).toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
     terms = got.column("terms").combine_chunks()
     flat, ends = terms.values.to_numpy(zero_copy_only=False).astype(np.int64), terms.offsets.to_numpy()
