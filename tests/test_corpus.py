@@ -135,6 +135,7 @@ def test_build_corpus(spark):
     ok = {r.step: r.n for r in built.outcomes.filter("status = 'ok'").groupBy("step").agg(F.count("*").alias("n")).collect()}
     assert ok["crawl"] == ok["convert"] > 1
     assert built.parts.agg(F.sum("files")).head()[0] == ok["convert"]
+    assert {(c.part, c.content) for c in built.chunks.collect()} == {(p.part, p.content) for p in built.parts.collect()}
 
 
 def test_streams_equal_batch(spark, tmp_path):
