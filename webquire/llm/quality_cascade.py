@@ -116,7 +116,11 @@ RULES = (
 
 
 def profile(docs: DataFrame, text_col: str, rules: Sequence[Rule], sample_fraction: float, sample_rows: int, seed: int) -> list[int]:
-    """Order of ``rules`` by rejections per cost on at most ``sample_rows`` sampled texts; the given order if there are none."""
+    """Order of ``rules`` by rejections per cost on a sample; the given order if it is empty.
+
+    The sample is ``sample_fraction`` of the rows, or less, so that about ``sample_rows`` are drawn. They are measured
+    where they are read: only counts by pattern leave a task.
+    """
     schema = StructType.fromDDL("pattern long, n long, ns array<double>")
     arrow = to_arrow_schema(schema)
 
@@ -137,7 +141,8 @@ def profile(docs: DataFrame, text_col: str, rules: Sequence[Rule], sample_fracti
                 patterns[pattern] += 1
         yield from flush([(p, n, ns if k == 0 else None) for k, (p, n) in enumerate(patterns.items())], arrow)
 
-    sample = docs.select(F.col(text_col).alias("text")).sample(sample_fraction, seed).limit(sample_rows)
+    fraction = min(sample_fraction, sample_rows / max(1, docs.count()))
+    sample = docs.select(F.col(text_col).alias("text")).sample(fraction, seed)
     got = sample.mapInArrow(measure, schema).groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(F.col("ns")[i]).alias(f"r{i}") for i in range(len(rules)))).collect()  # at most 2^rules rows
     cost = [max(1.0, sum(row[f"r{i}"] or 0 for row in got)) for i in range(len(rules))]
     left, order = {row["pattern"]: row["n"] for row in got}, []
