@@ -249,6 +249,119 @@ def test_clusters_against_a_full_scan(spark):
     assert got == expected and len(set(got.values())) < len(got)
 
 
+def greedy(rows):
+    """Template name of every ``v, words, n``, comparing each line with all templates so far; and the templates' words."""
+    templates, names = [], {}
+    for v, words, _ in sorted(rows, key=lambda x: (-x[2], x[1], x[0])):
+        w = words.split(" ")
+        scores = [sum(a == b for a, b in zip(t, w)) for _, t in templates]
+        if scores and 100 * max(scores) >= lt.SIMILARITY * len(w):
+            k = scores.index(max(scores))
+            templates[k] = templates[k][0], [a if a == b else "<*>" for a, b in zip(templates[k][1], w)]
+            names[v] = templates[k][0]
+        else:
+            templates.append((v, w))
+            names[v] = v
+    return names, dict(templates)
+
+
+def joined(templates):
+    """Smallest name that links of similar templates reach, by comparing all pairs."""
+    root = {v: v for v in templates}
+    for a in sorted(templates):
+        for b in sorted(templates):
+            same = sum(x == y for x, y in zip(templates[a], templates[b]))
+            if root[a] != root[b] and 100 * same >= lt.SIMILARITY * len(templates[a]):
+                low, high = sorted((root[a], root[b]))
+                root = {v: low if r == high else r for v, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_clusters_above_the_block_size(spark, monkeypatch, block):
+    """A leaf of several blocks, one of a single block and one of a single line, against comparing everything."""
+    monkeypatch.setattr(lt, "BLOCK", block)
+    r = random.Random(7)
+    rows = [(9, 10_000, "one line of its own here", 2)]
+    for leaf, count, size, letters in ((0, 2 * block + 90, 9, "abcdefghijkl"), (1, block // 2, 12, "abcd"), (2, 2 * block, 5, "abcdefghijklmnopqrstuvwxyz")):
+        seen = set()
+        while len(seen) < count:
+            tail = [r.choice(letters) + (r.choice(letters) if leaf == 2 else "") for _ in range(size - 4)]
+            seen.add(" ".join(["w", "x", "<*>", "z", *("<*>" if r.random() < 0.1 else t for t in tail)]))
+        rows += [(leaf, 1_000 * leaf + v, words, r.randint(1, 5)) for v, words in enumerate(sorted(seen)[:999])]
+    variants = spark.createDataFrame(rows, "leaf long, v long, words string, n long")
+    sizes = Counter(x[0] for x in rows)
+    of = {x.v: x.h for x in variants.select("v", F.xxhash64("v").alias("h")).collect()}
+    expected, first, crowded = {}, {}, 0
+    for leaf, count in sizes.items():
+        blocks = defaultdict(list)
+        for x in rows:
+            if x[0] == leaf:
+                blocks[of[x[1]] % -(-count // block)].append(x[1:])
+        names, templates = {}, {}
+        for part in blocks.values():
+            some, words = greedy(part)
+            names |= some
+            templates |= words
+        crowded += len(templates) > block
+        root = joined(templates)
+        first |= names
+        expected |= {v: root[t] for v, t in names.items()}
+    got = {x.v: x.top for x in lt.clusters(variants).collect()}
+    assert got == expected and len(set(expected.values())) < len(set(first.values()))
+    assert crowded or block == 256
+
+
+def test_a_hot_leaf_makes_bounded_groups(spark, monkeypatch):
+    """20,000 unlike lines of one leaf: no task gets more than two blocks, and the similar ones are found."""
+    rows = [(5, v, f"time level host user {' '.join(f'k{v}w{j}' for j in range(8))}") for v in range(20_000)]
+    rows += [(5, 30_000 + v, f"{rows[v][2].rsplit(' ', 2)[0]} other end") for v in range(50)]
+    groups, compare = [], lt.compare_blocks
+
+    def seen(df):
+        groups.append(df.groupBy("leaf", "key", "p", "q").count().agg(F.max("count"), F.sum("count")).first())
+        return compare(df)
+
+    monkeypatch.setattr(lt, "compare_blocks", seen)
+    pairs = {tuple(sorted(x)) for x in lt.similar(spark.createDataFrame(rows, "leaf long, v long, words string")).collect()}
+    assert pairs == {(v, 30_000 + v) for v in range(50)}
+    assert groups[0][0] <= 2 * lt.BLOCK and groups[0][1] < 2_000
+
+
+def test_every_document_counts_once(spark):
+    """Two variants of a template in one document are one document; documents are counted exactly where bounds leave it open."""
+    line = "user {} left the big room {}"
+    texts = ["{}\n{}".format(line.format(1, "now"), line.format(2, "later")), line.format(3, "today"), "job a b c done\njob a b c ended", "job a b c failed", "job a b c lost"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lt.drop_recurring_lines(docs, min_docs=3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
+    got = {r.doc_id: r.n_dropped for r in lt.drop_recurring_lines(docs, min_docs=2).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
+    assert all(r.n_dropped == 0 for r in lt.drop_recurring_lines(docs, min_docs=4).collect())
+
+
+def test_short_lines(spark):
+    """With a limit of one word, lines of one to three words recur when they are equal but for fields; blank lines stay."""
+    texts = ["abc\n\nall rights reserved\npage 3\na b", "abc\n\nall rights gone\nPage 4\na  b", " all rights  reserved\n \npage 17\nb", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in lt.drop_recurring_lines(docs, min_words=1).orderBy("doc_id").collect()]
+    assert got == [texts[0], "\nall rights gone\nPage 4", " \nb", None, ""]
+    kept = [r.text for r in lt.drop_recurring_lines(docs).orderBy("doc_id").collect()]
+    assert kept == texts
+
+
+def test_short_lines_of_the_table(spark):
+    """The registered query: a line of any length is in the first document with its words only."""
+    docs = table(spark, "documents")
+    first = {}
+    key = lambda x: tuple("<*>" if re.search(r"[0-9]", w) else w for w in WORDS.findall(x))
+    for r in docs.orderBy("doc_id").collect():
+        for x in (r.text or "").split("\n"):
+            first.setdefault(key(x), r.doc_id)
+    got = lt.drop_recurring_lines(docs, min_words=1).collect()
+    assert all(not key(x) or first[key(x)] == r.doc_id for r in got for x in (r.text or "").split("\n"))
+
+
 def test_line_templates_exact_lines(spark):
     """Equal lines of different documents always go, whatever else is in their leaf."""
     docs = table(spark, "documents")
