@@ -701,7 +701,8 @@ def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.readStream.schema("page_id bigint, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf)
+    """The pages as a stream; the table may be one file or a folder of files, which a pattern finds alike."""
+    return spark.readStream.schema("page_id bigint, url string, html string").parquet(f"{sf}/pages.parque[t]")
 
 
 @query
