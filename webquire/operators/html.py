@@ -4,7 +4,8 @@ A page is cut into tokens by one lossless regular expression, so no parser runs
 outside of Catalyst.  Nesting comes from windows over the tokens.  All windows
 partition by the page key (plus the tag at most); ``by_page`` hash-partitions the
 compact page rows once *before* the explode, and every window and grouping after
-it reuses that partitioning without another shuffle.
+it reuses that partitioning without another shuffle.  The windows sort a partition's
+tokens several times over, so partitions hold a bounded number of bytes of HTML.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ ENDS_P = (
 )
 # elements whose end also ends a paragraph inside
 HOLDS_P = tuple(t for t in ENDS_P if t not in ("p", "hr")) + ("body", "html")
+# bytes of HTML in one partition of pages; a task needs up to about 100 times as much for its sorts
+PARTITION_BYTES = 4 << 20
 # ------------------------------------------------------------------------------
 
 # after a tag name: a quote delimits a value only directly behind "="; a tag may meet the end of the page
@@ -65,9 +68,23 @@ BARE = re.compile(r"[^\s>.#\[\]:*+~(),=\"']+")
 TAG_NAME = rf"^</?([A-Za-z][^{WS}/>]*)"
 
 
-def by_page(pages: DataFrame, key: str, html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
-    """The one shuffle of the HTML chain: page rows by key, before they are exploded."""
-    return pages.select(key, *keep, html).repartition(key)
+def by_page(pages: DataFrame, key: str, html: str = "html", keep: Sequence[str] = (), size: int | None = None) -> DataFrame:
+    """The one shuffle of the HTML chain: page rows by key, before they are exploded.
+
+    There are as many partitions as ``size``, the bytes of HTML, asks for; it is counted if not given.  Adaptive
+    execution would merge them by the compact rows' size, which tells little of what a task holds after the explode.
+    """
+    rows, spark = pages.select(key, *keep, html), pages.sparkSession
+    if pages.isStreaming:
+        return rows.repartition(key)
+    if size is None:
+        size = html_bytes(pages, html)
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(max(least, -(-size // PARTITION_BYTES)), key)
+
+
+def html_bytes(pages: DataFrame, html: str = "html") -> int:
+    return pages.agg(F.sum(F.octet_length(html))).head()[0] or 0
 
 
 def token_array(html: Column) -> Column:
@@ -183,14 +200,14 @@ def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     )
 
 
-def _page_tokens(pages: DataFrame, key: str, html: str, keep: Sequence[str]) -> DataFrame:
+def _page_tokens(pages: DataFrame, key: str, html: str, keep: Sequence[str], size: int | None = None) -> DataFrame:
     """Content tokens of each page plus one ``eof`` row, on which the ``keep`` columns ride.
 
     The ``eof`` row stands for the page itself, so that a page without any content
     (or without HTML) needs no join to stay in the result.
     """
     with_end = F.concat(F.coalesce(token_array(F.col(html)), F.array().cast("array<string>")), F.array(F.lit("")))
-    exploded = by_page(pages, key, html, keep).select(
+    exploded = by_page(pages, key, html, keep, size).select(
         key, *keep, F.col(html).isNull().alias("missing"), F.posexplode_outer(with_end).alias("pos", "token")
     )
     at_end = F.col("token") == ""
@@ -289,15 +306,16 @@ def content_tokens(
     region: bool = True,
     media: bool = True,
     non_content: bool = True,
+    size: int | None = None,
 ) -> DataFrame:
     """Tokens of the main content after stripping, with pairing columns, and the ``eof`` row.
 
     An entry of ``strip_tags`` is a tag name or a selector (``operators.selectors``), one of ``strip_classes`` a class
-    name or what follows the dot of one.
+    name or what follows the dot of one.  ``size``: the bytes of HTML, if known (``by_page``).
     """
     names, marked = split_names(strip_tags), split_names(strip_classes)
     selectors = [s for s in names if not BARE.fullmatch(s)] + [f".{c}" for c in marked if not BARE.fullmatch(c)]
-    tokens = _paired(_page_tokens(pages, key, html, keep), key)
+    tokens = _paired(_page_tokens(pages, key, html, keep, size), key)
     if selectors:
         # before the region is cut out, as an element around it counts
         tokens = with_selected(tokens, key, selectors)

@@ -341,14 +341,16 @@ def convert(
     html: str = "html",
     path: str | None = None,
     keep: Sequence[str] = (),
+    size: int | None = None,
 ) -> DataFrame:
     """``(key, *keep, path, markdown, status, error)``: one row per page.
 
     ``path`` names the column whose extension becomes ``.md`` (a key called ``path`` is
     handed on as ``source``).  A page without HTML is an ``error`` row; the others go on.
+    ``size``: the bytes of HTML, if known.
     """
     carried = list(dict.fromkeys([*keep, *([path] if path and path != key else [])]))
-    tokens = content_tokens(pages, key, html, strip_tags, strip_classes, keep=carried)
+    tokens = content_tokens(pages, key, html, strip_tags, strip_classes, keep=carried, size=size)
     done = to_markdown(tokens, key)
     missing = F.col("page.missing")
     source = F.col(key) if path == key else F.col(f"page.{path}") if path else F.col(key).cast("string")

@@ -60,9 +60,11 @@ def build_corpus(
     )
     stored = pages.select(normalize_url(url).alias("url"), F.col(html).alias("html")).filter(F.col("html").isNotNull())
     # the store should hold one row per URL; of several, the one with the smallest hash is taken
-    one = stored.select("url", F.xxhash64("html").alias("h")).groupBy("url").agg(F.min("h").alias("h")).join(winner, "url")
-    files = stored.withColumn("h", F.xxhash64("html")).join(one, ["url", "h"]).dropDuplicates(["url", "h"]).select("filename", "html")
-    docs = cut(convert(files, strip_tags, strip_classes, key="filename", html="html", path="filename"), "converted")
+    least = stored.select("url", F.struct(F.xxhash64("html").alias("h"), F.octet_length("html").alias("size")).alias("page")).groupBy("url").agg(F.min("page").alias("page"))
+    one = cut(least.join(winner, "url").select("url", "page.h", "page.size", "filename"), "chosen")
+    size = one.agg(F.sum("size")).head()[0] or 0
+    files = stored.withColumn("h", F.xxhash64("html")).join(one.drop("size"), ["url", "h"]).dropDuplicates(["url", "h"]).select("filename", "html")
+    docs = cut(convert(files, strip_tags, strip_classes, key="filename", html="html", path="filename", size=size), "converted")
     converted = _now(pages)
     done = combine(docs.filter(F.col("status") == "ok").withColumnRenamed("markdown", "content"), max_words, output=output)
     outcomes = outcome_union(
