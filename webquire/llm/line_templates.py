@@ -210,7 +210,9 @@ def clusters(variants: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """``v, t, first_doc`` of the masked lines whose template recurs, and ``v, doc`` of their occurrences."""
     doc = F.col(id_col).alias("doc")
-    lines = docs.select(doc, F.explode(F.split(text_col, "\n")).alias("line")).select("doc", masked(F.col("line")).alias("w")).where(F.size("w") >= max(1, min_words))
+    lines = docs.select(doc, F.explode(F.split(text_col, "\n")).alias("line"))
+    # exploded, so that the words are made once: a filter on a plain column would be pushed below it and make them twice
+    lines = lines.select("doc", F.explode(F.array(masked(F.col("line")))).alias("w")).where(F.size("w") >= max(1, min_words))
     # one pass over the texts; what follows reads the columns that it needs
     lines = cut(lines.select("doc", F.xxhash64(F.size("w"), F.slice("w", 1, LEADING)).alias("leaf"), F.xxhash64("w").alias("v"), F.array_join("w", " ").alias("words")), "lines")
     some, other = F.min("doc"), F.max("doc")
