@@ -7,8 +7,9 @@ A template that occurs in ``min_docs`` documents or more is dropped from all of
 
 Only leaves that occur in two documents can hold such a template, so the others leave at once, as hashes. In a leaf the
 distinct lines are clustered in blocks of bounded size, most frequent first. Then templates that share ``SIMILARITY`` of
-their words are linked, and the templates of a component are one. Links are sought between bounded blocks: templates of a
-large leaf meet only where they agree on one of so many segments of their words that two similar ones must agree on some.
+their words are linked, and the templates of a component are one. A leaf of one block is linked where it is clustered.
+Else links are sought between bounded blocks: templates of a large leaf meet only where they agree on one of so many
+segments of their words that two similar ones must agree on some.
 """
 
 from __future__ import annotations
@@ -55,20 +56,24 @@ def line_hashes(text: Column, min_words: int = MIN_WORDS) -> Column:
 
 
 def generalise(groups: DataFrame) -> DataFrame:
-    """``leaf, v, t, template``: the cluster ``t`` of every row ``leaf, block, v, words, n``, named by its first member.
+    """``leaf, v, t, top, template``: the cluster ``t`` of every row ``leaf, block, v, words, n``, named by its first member.
 
-    ``template`` is set on the row with ``v = t``. Clusters form within ``(leaf, block)``, in the order of falling ``n``.
+    ``template`` is set on the row with ``v = t``. Clusters form within ``(leaf, block)``, in the order of falling ``n``;
+    ``top`` is the smallest name that links of similar templates reach there.
     """
-    schema = StructType.fromDDL("leaf long, v long, t long, template string")
+    schema = StructType.fromDDL("leaf long, v long, t long, top long, template string")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, templates, rows = None, [], []  # templates: name and words
+        key, templates, members, rows = None, [], [], []  # templates: name and words
         places: dict[tuple[int, str], list[int]] = {}  # templates by the word at a position
 
         def close() -> None:
-            rows.extend((key[0], t, t, " ".join(words)) for t, words in templates)
+            top = {b: a for a, b in linked([t for t, _ in templates], coded([words for _, words in templates]))} if len(templates) > 1 else {}
+            rows.extend((key[0], t, t, top.get(t, t), " ".join(words)) for t, words in templates)
+            rows.extend((key[0], v, t, top.get(t, t), None) for v, t in members)
             templates.clear()
+            members.clear()
             places.clear()
 
         def candidates(words: list[str], need: int) -> list[int]:
@@ -100,7 +105,7 @@ def generalise(groups: DataFrame) -> DataFrame:
                         if a != b and a != FIELD:
                             template[i] = FIELD
                             places.setdefault((i, FIELD), []).append(best)
-                    rows.append((leaf, v, t, None))
+                    members.append((v, t))
         if key is not None:
             close()
         yield from flush(rows, arrow)
@@ -129,10 +134,31 @@ def spanning(left: np.ndarray, right: np.ndarray | None, need: int) -> list[tupl
     return pairs
 
 
+def coded(lines: list[list[str]]) -> np.ndarray:
+    """A row of numbers for every line of equally many words; equal words have equal numbers."""
+    codes: dict[str, int] = {}
+    return np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lines], dtype=np.int32)
+
+
+def linked(names: list[int], left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The smallest name of every component of similar rows (``spanning``) with each of its other names; names are of ``left``, then ``right``."""
+    root: dict[int, int] = {}
+
+    def low(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for i, j in spanning(left, right, -(-left.shape[1] * SIMILARITY // 100)):
+        a, b = low(names[i]), low(names[j])
+        root[max(a, b)] = min(a, b)
+    return [(low(v), v) for v in root if low(v) != v]
+
+
 def compare_blocks(groups: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the similar templates of every group ``leaf, key, p, q`` of rows ``own, v, words``.
+    """``a, b``: edges whose components are those of the similar templates of every group ``leaf, key, p, q`` of rows ``own, v, words``.
 
-    A group holds the blocks ``p`` and ``q`` of a key; ``own`` tells which of them a row is from.
+    They are stars, so that few rounds find the components of all groups. A group holds the blocks ``p`` and ``q`` of a key; ``own`` tells which of them a row is from.
     """
     schema = StructType.fromDDL("a long, b long")
     arrow = to_arrow_schema(schema)
@@ -141,17 +167,14 @@ def compare_blocks(groups: DataFrame) -> DataFrame:
         key, held, edges = None, [], []
 
         def close() -> None:
-            codes: dict[str, int] = {}
             names = [v for v, _, _ in held]
-            table = np.array([[codes.setdefault(w, len(codes)) for w in words.split(" ")] for _, _, words in held], dtype=np.int32)
-            need = -(-table.shape[1] * SIMILARITY // 100)
+            table = coded([words.split(" ") for _, _, words in held])
             if key[2] == key[3]:
-                edges.extend((names[i], names[j]) for i, j in spanning(table, None, need))
+                edges.extend(linked(names, table))
             else:
                 own = np.array([o for _, o, _ in held])
                 first, other = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
-                order = [*first, *other]
-                edges.extend((names[order[i]], names[order[j]]) for i, j in spanning(table[first], table[other], need))
+                edges.extend(linked([names[i] for i in [*first, *other]], table[first], table[other]))
             held.clear()
 
         for batch in batches:
@@ -200,11 +223,17 @@ def similar(templates: DataFrame) -> DataFrame:
 def clusters(variants: DataFrame) -> DataFrame:
     """``leaf, v, top``: the template of every row ``leaf, v, words, n``, named by a member; alike for leaves of every size."""
     sizes = variants.groupBy(F.col("leaf").alias("l")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(F.split("words", " "))).alias("size"))
-    sizes = cut(sizes.select("l", n_blocks(F.col("rows"), F.col("size")).alias("blocks")), "line-sizes")
-    blocked = variants.join(sizes, F.col("leaf") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    large = cut(sizes.select("l", n_blocks(F.col("rows"), F.col("size")).alias("blocks")).where("blocks > 1"), "line-sizes")
+    crowded = large.count()
+    large = small(large, crowded)
+    blocked = variants.join(large, F.col("leaf") == F.col("l"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("v"), F.col("blocks")), F.lit(0)))
     first = cut(generalise(blocked), "line-templates")
-    of = components(similar(first.where("template is not null").select("leaf", "v", F.col("template").alias("words"))))
-    return first.join(of, F.col("t") == F.col("node"), "left").select("leaf", "v", F.coalesce("root", "t").alias("top"))
+    if not crowded:
+        return first.select("leaf", "v", "top")
+    many = first.join(large, F.col("leaf") == F.col("l"), "left_semi")
+    of = components(similar(many.where("template is not null").select("leaf", "v", F.col("template").alias("words"))))
+    many = many.join(of, F.col("t") == F.col("node"), "left").select("leaf", "v", F.coalesce("root", "t").alias("top"))
+    return many.unionByName(first.join(large, F.col("leaf") == F.col("l"), "left_anti").select("leaf", "v", "top"))
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
