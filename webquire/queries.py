@@ -730,12 +730,18 @@ def stream_first_links(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+# bytes of HTML in one file of a stream of pages
+FILE_BYTES = 16 << 20
+
+
 @query
 def stream_discovered(spark: SparkSession, sf: str) -> DataFrame:
     """The crawl of the linked site, whose pages come in files in an order of no meaning."""
     store, out = work_path(spark, "arriving"), work_path(spark, "found")
-    site(spark, sf).repartitionByRange(6, F.md5("url")).write.parquet(store)
-    coming = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 2).parquet(store)
+    # three arrivals of two files, or of as many times two as keep a file, and so a task, from growing with the table
+    times = max(1, -(-H.html_bytes(pages(spark, sf)) // (6 * FILE_BYTES)))
+    site(spark, sf).repartitionByRange(6 * times, F.md5("url")).write.parquet(store)
+    coming = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 2 * times).parquet(store)
     query = stream_discovery(coming, SEED, out, work_path(spark, "state"))
     try:
         query.processAllAvailable()

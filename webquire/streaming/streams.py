@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -82,14 +83,15 @@ def stream_links(
 
 
 # What reaches a URL: ``links`` of its page (``ok``: it has HTML), or without them the news that a page ``depth`` - 1 points to it.
-MESSAGE = "url string, links array<string>, ok boolean, stored_error string, depth int"
+MESSAGE = ("links", "ok", "stored_error", "depth")
 # What a URL tells: a target that it points to, or with ``fetched`` how it stands itself.
 NEWS = "url string, depth int, fetched boolean, ok boolean, stored_error string"
+NEWS_COLUMNS = pd.Index([c.split()[0] for c in NEWS.split(", ")], dtype=object)
 # depth: null until some reached page points here; the rest is null until the page has come.
 KNOWN = "depth int, links array<string>, ok boolean, stored_error string"
 
 
-def _meet(key: tuple[str], messages: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
+def _meet(key: tuple[str], messages: Iterator[pd.DataFrame | dict[str, list]], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
     """One URL takes its messages: it tells its links once it is both reached and fetched, and again when reached sooner."""
     if state.hasTimedOut:
         state.remove()  # a page that nothing pointed to for so long
@@ -97,20 +99,26 @@ def _meet(key: tuple[str], messages: Iterator[pd.DataFrame], state: GroupState,
     depth, links, ok, error = state.get if state.exists else (None, None, None, None)
     before, had = depth, links is not None
     for batch in messages:
-        for m in batch.itertuples(index=False):
-            if m.links is None:
-                depth = int(m.depth) if depth is None else min(depth, int(m.depth))
+        for its_links, its_ok, its_error, its_depth in zip(*(batch[c] for c in MESSAGE)):
+            if its_links is None:
+                depth = int(its_depth) if depth is None else min(depth, int(its_depth))
             else:
-                links = list(dict.fromkeys([*(links if links is not None else []), *m.links]))
-                ok, error = bool(ok or m.ok), min((e for e in (error, m.stored_error) if e is not None), default=None)
+                links = list(dict.fromkeys([*(links if links is not None else []), *its_links]))
+                ok, error = bool(ok or its_ok), min((e for e in (error, its_error) if e is not None), default=None)
     state.update((depth, links, ok, error))
     if depth is None:
         if keep_ms is not None:
             state.setTimeoutDuration(keep_ms)
         return
     if depth != before or (links is not None) != had:
-        own = (key[0], depth, links is not None, ok, error)
-        yield pd.DataFrame([own, *((link, depth + 1, None, None, None) for link in links or [])], columns=["url", "depth", "fetched", "ok", "stored_error"]).astype({"fetched": "object", "ok": "object"})
+        rows = [(key[0], depth, links is not None, ok, error), *((link, depth + 1, None, None, None) for link in links or [])]
+        # one block of objects: a frame is made for every URL, and types that pandas infers or casts cost more than the rest
+        yield pd.DataFrame(np.array(rows, dtype=object), columns=NEWS_COLUMNS, dtype=object)
+
+
+def _meet_packed(key: tuple[str], messages: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
+    """``_meet`` of messages in one column of structs: Spark converts every column of every URL by itself, which takes longer than all else."""
+    yield from _meet(key, ({c: [m[c] for m in batch["message"]] for c in MESSAGE} for batch in messages), state, keep_ms)
 
 
 def stream_discovery(
@@ -145,7 +153,8 @@ def stream_discovery(
     told = spark.readStream.schema(f"{NEWS}, batch int").parquet(f"{out}/told=true")
     told = told.select("url", F.lit(None).cast("array<string>").alias("links"), F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("string").alias("stored_error"), "depth")
     timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
-    news = come.unionByName(told).groupBy("url").applyInPandasWithState(partial(_meet, keep_ms=keep), NEWS, KNOWN, "update", timeout)
+    messages = come.unionByName(told).select("url", F.struct(*MESSAGE).alias("message"))
+    news = messages.groupBy("url").applyInPandasWithState(partial(_meet_packed, keep_ms=keep), NEWS, KNOWN, "update", timeout)
 
     def write(batch: DataFrame, number: int) -> None:
         # a target that many pages name is told once in a batch
