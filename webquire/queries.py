@@ -71,15 +71,20 @@ def url_variants(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", F.posexplode(F.array(*forms)).alias("v", "u"))
 
 
-def shaped_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """``(key, html)``: every page in every shape."""
-    forms = []
+def shaped_pages(spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
+    """``(key, html)``: every page in every shape.
+
+    For a shuffle by ``key`` the pages are ``dealt`` by their bytes while they are one row each: the shuffle holds what
+    a task gives to it, and that would be all shapes of a file.
+    """
+    source, forms = pages(spark, sf), []
     for edits in SHAPES:
         form = F.col("html")
         for old, new in edits:
             form = F.replace(form, F.lit(old), F.lit(new))
         forms.append(form)
-    exploded = pages(spark, sf).select("page_id", F.posexplode(F.array(*forms)).alias("shape", "html"))
+    source = H.by_page(source, "page_id") if dealt else source
+    exploded = source.select("page_id", F.posexplode(F.array(*forms)).alias("shape", "html"))
     return exploded.select((F.col("page_id") * 10 + F.col("shape")).alias("key"), "html")
 
 
@@ -366,12 +371,12 @@ def html_unescape(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return H.html_tokens(shaped_pages(spark, sf), "key").select("key", "pos", "kind", "tag", F.sha2("token", 256).alias("token_hash"))
+    return H.html_tokens(shaped_pages(spark, sf, dealt=False), "key").select("key", "pos", "kind", "tag", F.sha2("token", 256).alias("token_hash"))
 
 
 @query
 def html_attrs(spark: SparkSession, sf: str) -> DataFrame:
-    attrs = H.html_attrs(H.html_tokens(shaped_pages(spark, sf), "key"))
+    attrs = H.html_attrs(H.html_tokens(shaped_pages(spark, sf, dealt=False), "key"))
     return attrs.select("key", "pos", "tag", F.explode("attrs").alias("name", "value"))
 
 
