@@ -111,7 +111,8 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     keyed = fps.select("fp", tables.alias("k")).select("k.t", "k.key", "fp")
     buckets = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = keyed.join(buckets, ["t", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # Spark takes the exploded rows for about as many as before and would broadcast all of them
+    placed = keyed.hint("merge").join(buckets, ["t", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     grouped = placed.withColumn("other", other).select("t", "key", "fp", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     schema = StructType.fromDDL("a long, b long")
