@@ -1,14 +1,8 @@
 """Markdown rendering of HTML tokens.
 
-Three steps, all on the one partitioning by page that ``content_tokens`` set up:
-
-* context columns per token (list depth and indent, quotes, headings, code) from
-  windows over the page;
-* tokens grouped into blocks: a block starts at every block-level tag;
-* blocks joined to documents.
-
-Inside a block, inline markup is first written as non-characters (U+FDD0...), so
-that white space can be moved out of it before the final signs are put in.
+The tokens of a page, in order, go through one pass (``markdown_pages``) that writes its Markdown. What needs the
+text of a tag or character references is made by column functions before. The pass needs no shuffle: the tokens
+lie partitioned by page as ``content_tokens`` left them, and are already sorted.
 
 Own rules where the output format leaves a choice: ``\\``, ``*``, ``[``, ``]``, a
 backtick and an underscore at a word edge are escaped in text, and ``#``, ``>``,
@@ -19,30 +13,21 @@ ends with its block.  Two or more line breaks in a row end the paragraph.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from webquire.functions.text import md_path, tidy_newlines, trim_unicode
+from webquire.functions.text import md_path, tidy_newlines
 from webquire.functions.urls import let
 from webquire.operators.html import WS, attribute, content_tokens, token_text
+from webquire.operators.markdown_pages import L_CLOSE, L_END, pages_text
 
 # --- fixed values -------------------------------------------------------------
-BLOCK_TAGS = (
-    "address", "article", "aside", "blockquote", "body", "canvas", "dd", "details", "dialog", "div", "dl", "dt",
-    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
-    "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "thead", "tfoot",
-    "tr", "ul", "video",
-)
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-STRONG, EMPHASIS, CODE = ("b", "strong"), ("i", "em"), ("code", "kbd", "samp", "tt")
-RULE = "* * *"
-FENCE = "```"
 # percent escapes in link targets
 TARGET_ESCAPES = {" ": "%20", "[": "%5B", "]": "%5D", "(": "%28", ")": "%29", "<": "%3C", ">": "%3E"}
-# stand-ins for inline signs while a block is put together
-S_OPEN, S_CLOSE, E_OPEN, E_CLOSE = "﷐", "﷑", "﷒", "﷓"
-C_OPEN, C_CLOSE, L_OPEN, L_CLOSE, L_END = "﷔", "﷕", "﷖", "﷗", "﷘"
 # ------------------------------------------------------------------------------
 
 
@@ -59,278 +44,26 @@ def _link_tail(token: Column) -> Column:
     return F.concat(F.lit(L_CLOSE + "("), target, titled, F.lit(L_END))
 
 
-def _escaped(text: Column) -> Column:
-    marked = F.regexp_replace(text, r"([\\*\[\]`])", r"\\$1")
-    return F.regexp_replace(marked, r"(?<![\p{L}\p{N}_])_|_(?![\p{L}\p{N}_])", r"\\_")
-
-
-def _with_context(tokens: DataFrame, key: str) -> DataFrame:
-    """Block numbers and the list, quote, heading and code context of each token."""
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    tag, kind, pos = F.col("tag"), F.col("kind"), F.col("pos")
-    start, end = kind == "start", kind == "end"
-    closes = F.coalesce("close_pos", F.col("region.close_pos"))
-    is_list = tag.isin("ul", "ol")
-    paired_end = end & F.col("open_pos").isNotNull()
-
-    def nesting(hit: Column) -> Column:
-        return F.sum(F.when(start & hit, 1).when(paired_end & hit, -1).otherwise(0)).over(so_far)
-
-    boundary = tag.isin(*BLOCK_TAGS) & kind.isin("start", "end", "void")
-    heading = F.max(F.when(start & tag.isin(*HEADINGS), F.struct(pos.alias("at"), closes.alias("to"), tag.alias("h"))))
-    link = F.when(start & (tag == "a") & F.lower("token").contains("href"), _link_tail(F.col("token")))
+def to_markdown(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+    """``(key, page, markdown)`` from ``content_tokens``; one row per page."""
+    tag, start, token = F.col("tag"), F.col("kind") == "start", F.col("token")
+    link = F.when(start & (tag == "a") & F.lower(token).contains("href"), _link_tail(token))
     link = let(link, lambda tail: F.when(~tail.contains(L_CLOSE + "(" + L_END), tail))
-    inline_end = F.coalesce("close_pos", F.lit(-1))
-    open_link = F.max(F.when(F.col("link").isNotNull(), F.struct(pos.alias("at"), inline_end.alias("to"), F.col("link").alias("tail"))))
     first_number = F.expr(
         "coalesce(try_cast(nullif(regexp_extract(token, '(?i)[ \\t\\n\\f\\r]start[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*[\"\\']?([0-9]++)', 1), '') as int), 1)"
     )
-
-    # One select per dependency level: the windows of a level share a single pass.
-    tokens = tokens.withColumn("link", link).select(
-        "*",
-        (
-            F.sum(boundary.cast("int")).over(so_far) + F.coalesce(F.sum(F.when(tag == "hr", 1)).over(before), F.lit(0))
-        ).alias("block"),
-        nesting(is_list).alias("list_depth"),
-        nesting(tag == "blockquote").alias("quotes"),
-        F.coalesce(F.max(F.when(start & (tag == "pre"), closes)).over(so_far) >= pos, F.lit(False)).alias("in_pre"),
-        # an enclosing link or inline code may have begun in an earlier block; neither nests
-        F.coalesce(F.max(F.when(start & tag.isin(*CODE), inline_end)).over(so_far) >= pos, F.lit(False)).alias("in_code"),
-        heading.over(so_far).alias("open_heading"),
-        open_link.over(so_far).alias("open_link"),
-    )
-    outer = F.struct(pos.alias("at"), F.col("quotes").alias("n"))
-    tokens = tokens.select(
-        "*",
-        F.when(F.col("open_heading.to") >= pos, F.substring("open_heading.h", 2, 1).cast("int")).alias("heading"),
-        F.max(F.when(start & is_list & (F.col("list_depth") == 1), outer)).over(so_far)["n"].alias("outer_quotes"),
-        F.max(F.when(start & (tag == "blockquote") & (F.col("quotes") == 1), pos)).over(so_far).alias("quote_id"),
-        (F.col("list_depth") + F.when(paired_end & is_list, 1).otherwise(0)).alias("own_depth"),
-    ).drop("open_heading")
-
-    # the list a token stands in, then the item and its number within that list
-    by_depth = Window.partitionBy(key, "own_depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(start & is_list, F.struct(pos.alias("at"), (tag == "ol").alias("ordered"), first_number.alias("first")))
-    tokens = tokens.withColumn(
-        "list", F.when(F.col("own_depth") > 0, F.last(opened, ignorenulls=True).over(by_depth))
-    ).withColumn("list_at", F.col("list.at"))
-    in_list = Window.partitionBy(key, "list_at").orderBy("pos")
-    running = in_list.rowsBetween(Window.unboundedPreceding, 0)
-    whole = in_list.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    item_start = start & (tag == "li") & F.col("list_at").isNotNull()
-    tokens = tokens.select(
-        "*",
-        F.when(F.col("list_at").isNotNull(), F.max(F.when(item_start, pos)).over(running)).alias("item"),
-        (F.count(F.when(item_start, 1)).over(running) + F.col("list.first") - 1).alias("nth"),
-        F.when(
-            F.col("list.ordered"),
-            F.length((F.count(F.when(item_start, 1)).over(whole) + F.col("list.first") - 1).cast("string")) + 2,
-        ).when(F.col("list_at").isNotNull(), 2).alias("width"),
-    )
-    return tokens.withColumn(
-        "indent",
-        F.sum(F.when(start & is_list, F.col("width")).when(paired_end & is_list, -F.col("width")).otherwise(0)).over(so_far),
-    )
-
-
-def _fragment() -> Column:
-    """Text of one token: ``sign`` o/c opens or closes inline markup, t is plain text."""
-    kind, tag = F.col("kind"), F.col("tag")
-    text = token_text(kind, F.col("token"))
-    inline = ~F.col("in_pre") & ~F.col("in_code")
-    flat = F.regexp_replace(text, rf"[{WS}]+", " ")
-    fragment = (
-        F.when((kind.isin("text", "raw")) & F.col("in_pre"), F.regexp_replace(text, r"\r\n?", "\n"))
-        .when((kind.isin("text", "raw")) & F.col("in_code"), flat)
-        .when(kind.isin("text", "raw"), _escaped(flat))
-        .when((tag == "br") & kind.isin("void", "end"), F.lit("\n"))
-        .when((kind == "void") & (tag == "hr"), F.lit(RULE))
-        .when((kind == "start") & tag.isin("td", "th"), F.lit(" "))
-        .otherwise("")
-    )
-    sign = (
-        F.when(F.col("in_pre"), "t")
-        .when(tag.isin(*CODE) | (inline & tag.isin(*STRONG, *EMPHASIS)), F.when(kind == "start", "o").when(kind == "end", "c"))
-        .when(inline & (kind == "start") & F.col("link").isNotNull(), "o")
-        .when(inline & (kind == "end") & (tag == "a") & (F.col("open_pos") == F.col("open_link.at")), "l")
-    )
-
-    def sign_text(strong: str, emphasis: str, code: str) -> Column:
-        return F.when(tag.isin(*STRONG), strong).when(tag.isin(*EMPHASIS), emphasis).when(tag.isin(*CODE), code)
-
-    opener = F.coalesce(sign_text(S_OPEN, E_OPEN, C_OPEN), F.when(tag == "a", L_OPEN))
-    closer = F.coalesce(sign_text(S_CLOSE, E_CLOSE, C_CLOSE), F.col("open_link.tail"))
-    return F.struct(
-        F.coalesce(sign, F.lit("t")).alias("sign"),
-        F.coalesce("close_pos", "open_pos", F.lit(-1)).alias("mate"),
-        F.when(sign == "o", opener).when(sign.isin("c", "l"), closer).otherwise(fragment).alias("text"),
-        F.when(sign == "o", closer).otherwise("").alias("closer"),
-    )
-
-
-def _inline(parts: Column, first: Column, last: Column, head: Column) -> Column:
-    """Concatenate a block's fragments; markup opened or closed elsewhere is completed here."""
-    # a link that encloses the whole block is opened again in it
-    reopened = (head["link"]["at"] < first) & (head["link"]["to"] > first) & ~head["in_pre"]
-    text = F.array_join(
-        F.transform(
-            parts,
-            lambda p: F.when((p["sign"] == "c") & (p["mate"] < first), "").otherwise(p["text"]),
-        ),
-        "",
-    )
-    unclosed = F.filter(parts, lambda p: (p["sign"] == "o") & ((p["mate"] < 0) | (p["mate"] > last)))
-    tail = F.array_join(F.reverse(F.transform(unclosed, lambda p: p["closer"])), "")
-    link_head = F.when(reopened, F.lit(L_OPEN)).otherwise("")
-    link_tail = F.when(reopened & (head["link"]["to"] > last), head["link"]["tail"]).otherwise("")
-    return F.concat(F.coalesce(link_head, F.lit("")), text, tail, F.coalesce(link_tail, F.lit("")))
-
-
-def _steps(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
-    for pattern, value in steps:
-        text = F.regexp_replace(text, pattern, value)
-    return text
-
-
-def _polish(text: Column) -> Column:
-    """Move white space out of inline markup, drop empty markup, put the signs in.
-
-    The passes over the text are taken only where it holds markup or line breaks.
-    """
-    opens, closes = f"[{S_OPEN}{E_OPEN}{C_OPEN}{L_OPEN}]", f"[{S_CLOSE}{E_CLOSE}{C_CLOSE}]"
-    loosen = (
-        (f"{S_OPEN}([ \n]*){S_CLOSE}|{E_OPEN}([ \n]*){E_CLOSE}|{C_OPEN}([ \n]*){C_CLOSE}", "$1$2$3"),
-        (f"{L_OPEN}([ \n]*){L_CLOSE}[^{L_END}]*{L_END}", "$1"),
-        (f"({opens}+)([ \n]+)", "$2$1"),
-        (f"([ \n]+)({closes}+)", "$2$1"),
-        (f"([ \n]+)({L_CLOSE}[^{L_END}]*{L_END})", "$2$1"),
-    )
-    tidy = ((" {2,}", " "), (r"\A[ \n]+|[ \n]+\z", ""))
-    block_signs = (
-        (r"(?m)^(#{1,6}(?= |$)|>|[-+](?= ))", r"\\$1"),
-        (r"(?m)^(\d{1,9})([.)])(?= )", r"$1\\$2"),
-    )
-    breaks = ((r"\n{2,}", "\n\n"), (r"(?<!\n)\n(?!\n)", "  \n"))
-    signs = (
-        (f"{C_OPEN}([^{C_CLOSE}]*`[^{C_CLOSE}]*){C_CLOSE}", "`` $1 ``"),
-        (f"[{C_OPEN}{C_CLOSE}]", "`"),
-        (f"[{S_OPEN}{S_CLOSE}]", "**"),
-        (f"[{E_OPEN}{E_CLOSE}]", "*"),
-        (L_OPEN, "["),
-        (L_CLOSE, "]"),
-        (L_END, ")"),
-    )
-
-    def where(test: str, steps: Sequence[tuple[str, str]]):
-        return lambda t: F.when(t.rlike(test), _steps(t, steps)).otherwise(t)
-
-    inline = f"[{S_OPEN}-{L_END}]"
-    text = let(text, where(inline, loosen))
-    text = let(_steps(text, tidy[:1]), where(r"\n", ((" ?\n ?", "\n"),)))
-    text = let(_steps(text, tidy[1:]), where(r"(?m)^[#>+\-0-9]", block_signs))
-    text = let(text, where(r"\n", breaks))
-    return let(text, where(inline, signs))
-
-
-def to_markdown(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """``(key, page, markdown)`` from ``content_tokens``; one row per page."""
-    context = F.struct(
-        "list_depth", "list_at", "indent", "quotes", "heading", "in_pre", "item", "width", "quote_id",
-        F.col("list.ordered").alias("ordered"),
-        "nth",
-        F.when(F.col("list_depth") > 0, F.coalesce("outer_quotes", F.lit(0))).otherwise(F.col("quotes")).alias("outer"),
-    )
     lang = rf"(?i)class[{WS}]*=[{WS}]*[^>]*?\b(?:language|lang)-([A-Za-z0-9_+#.\-]+)"
-    # One list per block holds everything: a single aggregate is far cheaper to build
-    # and merge than one per property.  Its parts are columns first, so that they are
-    # compiled; inside the aggregate they would be interpreted.
-    extras = F.struct(
-        context.alias("ctx"),
-        F.struct(F.col("open_link").alias("link"), "in_pre").alias("head"),
-        ((F.col("kind") == "void") & (F.col("tag") == "hr")).alias("rule"),
-        F.when(F.col("in_pre") & (F.col("kind") == "start"), F.regexp_extract("token", lang, 1)).alias("lang"),
-        F.col("page"),
-    )
-    blocks = (
-        _with_context(tokens, key)
-        .select(key, "block", F.struct("pos", _fragment().alias("part"), extras.alias("x")).alias("token"))
-        .groupBy(key, "block")
-        .agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    )
-    head, last = F.col("tokens")[0], F.element_at("tokens", -1)
-    blocks = blocks.select(
-        key,
-        "block",
-        last["x"]["ctx"].alias("ctx"),
-        last["x"]["page"].alias("page"),
-        F.exists("tokens", lambda t: t["x"]["rule"]).alias("is_rule"),
-        F.array_max(F.transform("tokens", lambda t: t["x"]["lang"])).alias("lang"),
-        _inline(F.transform("tokens", lambda t: t["part"]), head["pos"], last["pos"], head["x"]["head"]).alias("raw"),
-    )
-    code = F.regexp_replace(F.col("raw"), r"^\n|\n+$", "")
-    fence = F.when(code.contains(FENCE), FENCE + "`").otherwise(FENCE)
-    text = (
-        F.when(F.col("is_rule"), RULE)
-        .when(
-            F.col("ctx.in_pre"),
-            F.when(trim_unicode(code) == "", "").otherwise(F.concat(fence, F.coalesce("lang", F.lit("")), F.lit("\n"), code, F.lit("\n"), fence)),
-        )
-        .otherwise(_polish(F.col("raw")))
-    )
-    # exploded, so that the text is made once: a filter on a plain column would be
-    # pushed below it and bring a second copy of the whole expression along
-    blocks = (
-        blocks.select("*", F.explode_outer(F.array(text)).alias("text"))
-        .filter((F.col("text") != "") | F.col("page").isNotNull())
-        .drop("raw", "lang", "is_rule")
-    )
-
-    # the item sign goes to the first block with text of each item
-    shown = F.col("text") != ""
-    by_item = Window.partitionBy(key, "item").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    by_block = Window.partitionBy(key).orderBy("block")
-    blocks = (
-        blocks.withColumn("item", F.when(shown, F.col("ctx.item")))
-        .withColumn("marked", F.col("item").isNotNull() & (F.count("*").over(by_item) == 1))
-        .withColumn("above", F.lag(F.col("ctx")).over(by_block))
-    )
-    ctx, above = F.col("ctx"), F.col("above")
-    inner = ctx["quotes"] - ctx["outer"]
-    sign = F.when(ctx["ordered"], F.concat(ctx["nth"].cast("string"), F.lit("."))).otherwise("-")
-    pad = F.repeat(F.lit(" "), ctx["indent"].cast("int"))
-    outer_signs, inner_signs = F.repeat(F.lit("> "), ctx["outer"].cast("int")), F.repeat(F.lit("> "), inner.cast("int"))
-    rest = F.concat(outer_signs, pad, inner_signs)
-    lead = F.when(
-        F.col("marked"),
-        F.concat(outer_signs, F.repeat(F.lit(" "), (ctx["indent"] - ctx["width"]).cast("int")), F.rpad(sign, ctx["width"].cast("int"), " "), inner_signs),
-    ).otherwise(rest)
-    title = F.when(ctx["heading"].isNotNull() & ~ctx["in_pre"], F.concat(F.repeat(F.lit("#"), ctx["heading"]), F.lit(" "))).otherwise("")
-    body = F.when(title != "", F.regexp_replace("text", r" *\n+", " ")).otherwise(F.col("text"))
-    lines = F.regexp_replace(F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), rest)), r"(?m)^((?:> )*>) +$|^ +$", "$1")
-    next_list = (above["list_depth"] == ctx["list_depth"]) & (above["list_at"] != ctx["list_at"])
-    tight = F.col("marked") & (above["list_depth"] > 0) & (above["quotes"] == ctx["quotes"]) & ~next_list
-    same_quote = F.coalesce(above["quote_id"] == ctx["quote_id"], F.lit(False)) & (above["quotes"] > 0) & (ctx["quotes"] > 0)
-    shared = F.least(ctx["outer"], above["outer"])
-    gap = F.when(tight, "\n").when(
-        same_quote & (shared > 0), F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), shared.cast("int"))), F.lit("\n"))
-    ).otherwise("\n\n")
-    row = F.struct("block", F.when(shown, gap).otherwise("").alias("gap"), F.when(shown, F.concat(lead, title, lines)).otherwise("").alias("text"))
-    return (
-        blocks.select(key, "page", row.alias("row"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("row")).alias("rows"), F.max("page").alias("page"))
-        .select(
-            key,
-            "page",
-            tidy_newlines(
-                F.array_join(
-                    F.transform("rows", lambda r, i: F.when(i == 0, r["text"]).otherwise(F.concat(r["gap"], r["text"]))), ""
-                )
-            ).alias("markdown"),
-        )
-    )
+    rows = tokens.select(
+        key, "pos", "kind", "tag", "open_pos", "close_pos", F.col("region.close_pos").alias("region_end"),
+        token_text(F.col("kind"), token).alias("text"),
+        link.alias("link"),
+        F.when(start & tag.isin("ul", "ol"), first_number).alias("number"),
+        F.when(start & F.lower(token).contains("lang"), F.regexp_extract(token, lang, 1)).alias("lang"),
+        "page",
+    )
+    schema = StructType([StructField(key, tokens.schema[key].dataType), StructField("page", tokens.schema["page"].dataType), StructField("markdown", StringType())])
+    done = rows.sortWithinPartitions(key, "pos").mapInArrow(partial(pages_text, schema=to_arrow_schema(schema)), schema)
+    return done.withColumn("markdown", tidy_newlines("markdown"))
 
 
 def convert(
